@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,26 +49,31 @@ class Encoder:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.whole = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes | None] = {}
+        self.starts = {i for t, i in ranks.items() if t[:1] == b" "}
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.whole(text), dtype="<u4").tobytes()
+    @staticmethod
+    def bytes_of(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self.known
-        try:
-            return self.ids(first) + b"".join(map(known.__getitem__, rest)) if first and not first[-1].isspace() else self.ids(text)
-        except KeyError:
-            pass
-        except TypeError:
-            return self.ids(text)
         if len(known) > CACHE:
             known.clear()
-        for w in rest:
-            if w not in known:
-                known[w] = self.ids(" " + w) if w and not w[0].isspace() and not w[-1].isspace() else None
-        return self(text)
+        if new := [w for w in {*rest} if w not in known]:
+            if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+                return self.bytes_of(self.whole(text))
+            # only a word's first token starts with a space
+            ids = self.whole(" " + " ".join(new))
+            at = [i for i, x in enumerate(ids) if x in self.starts] + [len(ids)]
+            known.update((w, self.bytes_of(ids[i:j])) for w, i, j in zip(new, at, at[1:]))
+        if not first or first[-1].isspace():
+            return self.bytes_of(self.whole(text))
+        return self.bytes_of(self.whole(first)) + b"".join(map(known.__getitem__, rest))
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .licenses import op9_licenses
 from .mixing import OP3_SQL, op3_mixing
 from .packing import op7_packing
 from .sharding import op4_sharding
+from .toxicity import op10_toxicity
 
-QUERIES = {"op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op7_packing": op7_packing}
+QUERIES = {"op3_mixing": op3_mixing, "op4_sharding": op4_sharding, "op7_packing": op7_packing, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op3_mixing": OP3_SQL}
