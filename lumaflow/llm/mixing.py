@@ -58,6 +58,26 @@ def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return m.withColumn("taken", F.col("size") * rounds + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))).drop("_key", "_range", "_before")
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: each once for every whole epoch taken, and the document
+    on a source's edge cut to its first words (n_chars counts anew). Texts are shuffled once, to meet what is taken of them."""
+    th = F.xxhash64("text")
+    taken = mix(docs.withColumn("_th", th), ["_th"]).where("taken > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).agg(F.collect_list(F.struct("taken", "size")).alias("_takes"))
+    d = docs.withColumn("_th", th).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    # repeated rows share a list; each takes its own entry
+    d = d.withColumn("_n", F.when(F.size("_takes") > 1, F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(0)))).otherwise(1))
+    d = d.withColumn("_take", F.element_at("_takes", F.col("_n"))).where("_take IS NOT NULL")
+    whole, rest = F.floor(F.col("_take.taken") / F.col("_take.size")).cast("int"), F.pmod("_take.taken", "_take.size").cast("int")
+    words_ = F.split(F.regexp_replace("text", "^[ \\t\\n\\x0B\\f\\r]+", ""), "(?<=[ \\t\\n\\x0B\\f\\r])(?=[^ \\t\\n\\x0B\\f\\r])")
+    part = F.array_join(F.slice(words_, F.lit(1), rest), "")
+    texts = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    d = d.withColumn("text", F.explode(texts))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, documents, partitions
-from .shingles import SIZE, Shingler, set_id, sets_of, verified
+from .shingles import BROADCAST_IDS, SIZE, Shingler, set_id, sets_of, verified
 
 PERCENT = 75
 #: Counters of the frequency sketch. It only orders tokens: any count gives the same links, at another cost.
@@ -151,6 +151,14 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
     return components(found.union(more))
 
 
+def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """Rows (th, doc_id, n, component) of ``docs``: component names a group of linked classes, null without words."""
+    rows, sketch = classes(docs, size)
+    found = cut(links(docs, rows, sketch, percent, size))
+    out = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left")
+    return out.select("th", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
+
+
 def join(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
@@ -158,14 +166,35 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame
     component_id is the smallest doc_id of the component; rows without a doc_id belong to components but don't name
     them (null if none of theirs has one). Repeated rows are rows of their own. Other columns have no effect.
     """
-    rows, sketch = classes(docs, size)
-    found = cut(links(docs, rows, sketch, percent, size))
-    per = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = per.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = per.join(named, "component").select("cls", "component_id")
-    out = rows.join(named, "cls", "left")
+    g = cut(grouped(docs, percent, size))
+    named = g.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = g.join(named, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component one document does: the smallest doc_id (null last), then text hash.
+
+    Documents without words stay. Of rows that repeat a doc_id and a text one stays. What goes is looked up in the
+    documents, not what stays, so that texts need no shuffle as long as it is no more than a checked number of rows.
+    """
+    g = cut(grouped(docs, percent, size))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = g.where("component IS NOT NULL").groupBy("component").agg(F.min(key).alias("first"))
+    gone = cut(g.join(first, "component").where(key != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct())
+    twice = cut(g.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
+    d = docs.withColumn("_th", F.xxhash64("text"))
+
+    def without(d: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+        return d.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), how)
+
+    left = without(d, gone, "left_anti")
+    if twice.isEmpty():
+        return left.drop("_th")
+    once = without(left, twice, "left_semi").dropDuplicates(["doc_id", "_th"])
+    return without(left, twice, "left_anti").unionByName(once).drop("_th")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

@@ -177,6 +177,11 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return src.mapInArrow(run, f"{fields}, _score double, _predicted int, _hits long, _words long")
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that a lexicon learned from the labels doesn't reject, with the columns of ``docs``."""
+    return score(docs, train(docs, labels), [c for c in docs.columns if c != "text"] + ["text"]).where("_predicted = 0").select(*docs.columns)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lexicon = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
