@@ -68,7 +68,7 @@ ma AS (SELECT video_id, target_pos, 'shot' AS kind, [CAST("index" AS INT)] AS sh
        UNION ALL SELECT video_id, 3, 'pair', [CAST("index" AS INT), CAST(i2 AS INT)], start_seconds, e2, round(m2 - mean_motion_intensity, 8) FROM nx WHERE b2 - end_seconds <= 0.5 AND mean_motion_intensity <= 0.15 AND m2 >= 0.30),
 mt AS (SELECT *, ['battle_effects', 'blood_intensity', 'romance_intimacy', 'daily_turbulence', 'group_action'][target_pos + 1] AS target_id FROM ma),
 md AS (SELECT * EXCLUDE (rk), list_distinct_in_order FROM (SELECT *, row_number() OVER (PARTITION BY video_id, start_seconds, end_seconds ORDER BY score DESC, target_pos) AS rk, list(target_id) OVER (PARTITION BY video_id, start_seconds, end_seconds ORDER BY score DESC, target_pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS list_distinct_in_order FROM mt) WHERE rk = 1)"""
-PX = """px AS MATERIALIZED (SELECT CAST(label AS BIGINT) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"""
+PX = """px AS (SELECT CAST(label AS BIGINT) AS video_id, CAST(count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"""
 
 
 def _shots(spark: SparkSession, sf_dir: str) -> DataFrame:
