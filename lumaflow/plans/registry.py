@@ -295,7 +295,7 @@ def static_overlay(spark, d):
     return fingerprints.static_overlay(pictures(spark, d))
 
 
-@query(f"{OVER} , x AS (SELECT *, round(0.70 + 0.03 * video_id, 6) AS similarity, greatest(top_left, top_right, bottom_left, bottom_right) AS cm FROM ov JOIN bb USING (video_id)) SELECT video_id, similarity, CASE WHEN similarity >= 0.9 THEN 'block' WHEN similarity >= 0.75 OR cm >= 0.55 OR black_bar_ratio >= 0.12 THEN 'review' ELSE 'pass' END AS verdict, array_to_string(list_filter([CASE WHEN similarity >= 0.9 THEN 'near_duplicate' WHEN similarity >= 0.75 THEN 'high_similarity' END, CASE WHEN cm >= 0.55 THEN 'suspected_watermark_residual' END, CASE WHEN black_bar_ratio >= 0.12 THEN 'suspected_black_bars' END], lambda f: f IS NOT NULL), ',') AS flags FROM x")
+@query(f"{OVER} , x AS (SELECT *, round(CAST(0.70 AS DOUBLE) + CAST(0.03 AS DOUBLE) * video_id, 6) AS similarity, greatest(top_left, top_right, bottom_left, bottom_right) AS cm FROM ov JOIN bb USING (video_id)) SELECT video_id, similarity, CASE WHEN similarity >= 0.9 THEN 'block' WHEN similarity >= 0.75 OR cm >= 0.55 OR black_bar_ratio >= 0.12 THEN 'review' ELSE 'pass' END AS verdict, array_to_string(list_filter([CASE WHEN similarity >= 0.9 THEN 'near_duplicate' WHEN similarity >= 0.75 THEN 'high_similarity' END, CASE WHEN cm >= 0.55 THEN 'suspected_watermark_residual' END, CASE WHEN black_bar_ratio >= 0.12 THEN 'suspected_black_bars' END], lambda f: f IS NOT NULL), ',') AS flags FROM x")
 def dedup_verdict(spark, d):
     o = fingerprints.static_overlay(pictures(spark, d)).withColumn("similarity", F.round(0.70 + 0.03 * F.col("video_id"), 6))
     return fingerprints.verdict(o, books.DEDUP_THRESHOLDS).select("video_id", "similarity", "verdict", F.array_join("flags", ",").alias("flags"))
@@ -331,13 +331,13 @@ def fake_embedding(spark, d):
 LENGTH = "CASE WHEN length(p_name) <= 0 THEN -10.0 WHEN length(p_name) BETWEEN 6 AND 22 THEN 2.0 ELSE -abs(length(p_name) - 14) * 0.15 END"
 
 
-@query(f"SELECT p_partkey, round({LENGTH}, 6) AS length_score FROM part")
+@query(f"SELECT p_partkey, CAST(round({LENGTH}, 6) AS DOUBLE) AS length_score FROM part")
 def length_score(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(scalars.length_score(F.col("p_name")), 6).alias("length_score"))
 
 
 @query(f"""WITH s AS (SELECT p_brand, p_partkey, p_name, {LENGTH} + CASE WHEN contains(p_name, '?') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(p_name, '!') THEN 0.5 ELSE 0.0 END + ('0x' || substr(sha256(p_name || '#' || p_partkey), 1, 2))::INT / 1000.0 AS score FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 6) DESC, p_partkey) AS rank FROM s) SELECT p_brand, rank, p_partkey, round(score, 6) AS score FROM r WHERE rank <= 3""")
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY round(score, 6) DESC, p_partkey) AS rank FROM s) SELECT p_brand, rank, p_partkey, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 3""")
 def title_ranking(spark, d):
     s = table(spark, d, "part").withColumn("score", F.round(scalars.title_score(F.col("p_name"), F.col("p_partkey")), 6))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey"))).where("rank <= 3")
