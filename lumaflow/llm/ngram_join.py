@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, documents, partitions
-from .shingles import BROADCAST_IDS, SIZE, Shingler, set_id, sets_of, verified
+from .shingles import BROADCAST_IDS, SIZE, Shingler, against, set_id, sets_of, verified
 
 PERCENT = 75
 #: Counters of the frequency sketch. It only orders tokens: any count gives the same links, at another cost.
@@ -64,7 +64,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> tuple[n
     m = np.arange(1, most + 1)
     reach = lookups[n - least + m - 1]
     best = int(np.argmin(reach + VERIFY * n * reach / m)) + 1
-    return s[order[: n - least + best]], best, int(min(255, 16 * np.log2(1 + count.mean())))
+    return s[order[: n - least + best]], best, int(256 * np.log2(1 + count.mean()))
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, sketch: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -89,18 +89,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, sketch: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(flat, kinds)], names=["token", "cls", "n", "pos", "m", "common"])
 
 
-def _may_link(x, y, percent: int):
-    """Both places are in the prefixes that this pair of sizes needs: |s| - o + m, o the overlap at which the two sets link."""
-    both = x["n"] + y["n"]
-    needed = F.floor((percent * both + (100 + percent) - 1) / (100 + percent))
-    m = F.least(x["m"], y["m"])
-    fits = (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
-    return fits & (x["pos"] < x["n"] - needed + m) & (y["pos"] < y["n"] - needed + m)
+def _needed(x, y, percent: int):
+    """The overlap from which sets of these sizes link."""
+    return F.floor((percent * (x["n"] + y["n"]) + (100 + percent) - 1) / (100 + percent))
 
 
-def _candidates(matches: DataFrame) -> DataFrame:
-    """Matches (a, b, m), one for each shared token, to pairs with m or more of them."""
-    return matches.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("m").alias("m")).where("shared >= m").select("a", "b")
+def _alike_in_size(x, y, percent: int):
+    return 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+
+
+def _may_link(x, y, percent: int):
+    """Both places are in the prefixes that this pair of sizes needs: |s| - o + m, o the overlap at which the two sets link."""
+    needed, m = _needed(x, y, percent), F.least(x["m"], y["m"])
+    return _alike_in_size(x, y, percent) & (x["pos"] < x["n"] - needed + m) & (y["pos"] < y["n"] - needed + m)
 
 
 def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
@@ -120,8 +121,11 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
 
     Only tokens of prefixes are shuffled, once; those that one class alone has fall away. In the first turn each token
     ties its other classes to one hub, the class with the commonest tokens, so a large group of near copies costs as
-    many pairs as members, not their square. In the second turn every pair is compared that shares enough prefix tokens
-    and isn't in one component yet: no link between components is lost.
+    many pairs as members, not their square. In the second turn pairs are compared that aren't in one component yet:
+    those that share enough prefix tokens; but if x and y were both compared with hub h and the lesser overlap with h
+    is below the o that x and y need, then only those that share a token outside h: with c tokens of x in h at most c
+    of the shared ones are, and the other o - c or more are among the few that x and y have besides. No link between
+    components is lost.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(sketch)
@@ -130,24 +134,44 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
     several = posts.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y").select("token")
     live = cut(posts.join(several, "token", "left_semi").dropDuplicates(["token", "cls"]))
     named = rows.where("n > 0").groupBy("cls").agg(F.min("th").alias("th"))
+    x, y = F.col("x"), F.col("y")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        return cut(verified(pairs, sets_of(docs, named.join(wanted, "cls").select("cls", "th"), size), percent))
+    def sets(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        wanted = pairs.select(F.col(a).alias("cls")).union(pairs.select(F.col(b).alias("cls"))).distinct()
+        return sets_of(docs, named.join(wanted, "cls").select("cls", "th"), size)
 
-    ordered = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.m", "y.m").alias("m")]
+    # first turn: to the hubs
     hubs = live.groupBy("token").agg(F.max(F.struct("common", "cls", "n", "pos", "m")).alias("y"))
-    x = F.struct("cls", "n", "pos", "m")
-    tied = live.select("token", x.alias("x")).join(hubs, "token").where("x.cls != y.cls").where(_may_link(F.col("x"), F.col("y"), percent))
-    found = compare(_candidates(tied.select(*ordered)))
-    joined = cut(components(found))
-
-    labelled = live.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    tied = live.select("token", F.struct("cls", "n", "pos", "m").alias("x")).join(hubs, "token").where("x.cls != y.cls").where(_may_link(x, y, percent))
+    tied = tied.groupBy(F.col("x.cls").alias("cls"), F.col("y.cls").alias("hub")).agg(F.count("*").alias("shared"), F.min(F.least("x.m", "y.m")).alias("m")).where("shared >= m")
+    tied = cut(tied.select("cls", "hub"))
+    compared = cut(against(tied, sets(tied, "cls", "hub"), percent))
+    found = compared.where("linked").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+    joined = cut(components(found)).withColumnRenamed("node", "cls")
+
+    # each class's main hub is the one most compared with, itself counted; what it has besides is its extra
+    used = compared.groupBy("hub").agg(F.count("*").alias("uses"))
+    own = used.select(F.col("hub").alias("cls"), "hub").join(rows.groupBy("cls").agg(F.first("n").cast("int").alias("n")), "cls").select("cls", "hub", F.col("n").alias("shared"), "n", F.array().cast("array<long>").alias("extra"))
+    main = compared.where("extra IS NOT NULL").select("cls", "hub", "shared", "n", "extra").union(own).join(used, "hub")
+    main = main.groupBy("cls").agg(F.max_by(F.struct("hub", "shared", "n", "extra"), F.struct("uses", "hub")).alias("h"))
+    main = cut(main.join(joined, "cls", "left").select("cls", "h.hub", "h.shared", "h.n", "h.extra", F.coalesce("component", "cls").alias("component")))
+
+    # second turn: the rest
+    labelled = live.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = cut(labelled.join(open_, "token", "left_semi").select("token", F.struct("cls", "n", "pos", "m", "component").alias("x")))
-    rest = left.join(left.select("token", F.col("x").alias("y")), "token").where("x.component < y.component").where(_may_link(F.col("x"), F.col("y"), percent))
-    more = compare(_candidates(rest.select(*ordered)))
+    left = labelled.join(open_, "token", "left_semi").join(main.select("cls", "hub", "shared"), "cls", "left")
+    left = cut(left.select("token", F.struct("cls", "n", "pos", "m", "component", "hub", "shared").alias("x")))
+    by_hub = F.coalesce((F.col("x.hub") == F.col("y.hub")) & (F.least("x.shared", "y.shared") < _needed(x, y, percent)), F.lit(False))
+    pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+    rest = left.join(left.select("token", x.alias("y")), "token").where("x.component < y.component").where(_may_link(x, y, percent) & ~by_hub)
+    rest = rest.groupBy(*pair).agg(F.count("*").alias("k"), F.min(F.least("x.m", "y.m")).alias("m")).where("k >= m").select("a", "b")
+    extra = main.select("hub", F.explode("extra").alias("token"), F.struct("cls", "n", "shared", "component").alias("x"))
+    shared = extra.groupBy("hub", "token").agg(F.min("x.component").alias("lo"), F.max("x.component").alias("hi")).where("lo < hi").select("hub", "token")
+    extra = cut(extra.join(shared, ["hub", "token"], "left_semi"))
+    besides = extra.join(extra.select("hub", "token", x.alias("y")), ["hub", "token"]).where("x.component < y.component").where(_alike_in_size(x, y, percent))
+    besides = besides.groupBy(*pair).agg(F.count("*").alias("k"), F.min(_needed(x, y, percent) - F.least("x.shared", "y.shared")).alias("m")).where("k >= m").select("a", "b")
+    pairs = cut(rest.union(besides).distinct())
+    more = verified(pairs, sets(pairs, "a", "b"), percent)
     return components(found.union(more))
 
 

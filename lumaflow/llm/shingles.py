@@ -95,3 +95,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     return p.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (cls, hub) with linked, shared (size of the intersection), n, and extra: the tokens of cls that hub lacks, if they are at most half."""
+    sets = cut(sets)
+    p = pairs.select("cls", "hub").join(sets.select("cls", F.col("tokens").alias("s")), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("tokens").alias("t")), "hub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            linked, shared, size, extra = [], [], [], []
+            for s, t in zip(b.column(2), b.column(3)):
+                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                own = np.setdiff1d(s, t, assume_unique=True)
+                both = len(s) - len(own)
+                linked.append(100 * both >= percent * (len(t) + len(own)) and both > 0), shared.append(both), size.append(len(s))
+                extra.append(own.view(np.int64) if 2 * both >= len(s) else None)
+            cols = [pa.array(linked, pa.bool_()), pa.array(shared, pa.int32()), pa.array(size, pa.int32()), pa.array(extra, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["cls", "hub", "linked", "shared", "n", "extra"])
+
+    return p.select("cls", "hub", "s", "t").mapInArrow(run, "cls long, hub long, linked boolean, shared int, n int, extra array<long>")
