@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words
+from .common import cut, documents, words
 
 #: Fixed by the contract.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT, SYMBOLS = 8, 20, 30, "[#*$%&|<>]"
@@ -17,6 +18,8 @@ BUCKETS = 1 << 14
 SCALE, SMOOTH = 1000, 1.0
 #: A document is kept if the mean weight of its words and pairs is at least this.
 LEAST_MEAN = -100
+#: Up to so many trusted ids are broadcast to the documents; beyond, both are shuffled by doc_id.
+BROADCAST_IDS = 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -72,15 +75,14 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     by bucket before they are shuffled, so a hot word costs a row for each task. The result has BUCKETS entries. Without
     trusted words all weights are 0.
     """
-    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_trusted", F.lit(1))
+    ids = cut(trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_trusted", F.lit(1)))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), words(F.col("text")).alias("_w"))
     counts = marked.select("t", F.explode(features(F.col("_w"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted")).collect()
     raw, t = {r["b"]: r["raw"] for r in counts}, {r["b"]: r["trusted"] for r in counts}
     n_raw, n_t = sum(raw.values()), sum(t.values())
     if not n_t:
         return [0] * BUCKETS
-    import math
-
     of = lambda x, n: math.log((x + SMOOTH) / (n + SMOOTH * BUCKETS))
     return [round(SCALE * (of(t.get(b, 0), n_t) - of(raw.get(b, 0), n_raw))) for b in range(BUCKETS)]
 
