@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,44 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list, value
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_base")
 
 
+#: Members of a band that meet in one block, and longs of a set's parity bits.
+BLOCK, WORDS = 512, 8
+
+
+def parity(h: str) -> list[Column]:
+    """Aggregates over the distinct 64-bit hashes ``h`` of a set: its size and WORDS longs of parity bits, as ``crowd`` takes them."""
+    words = [F.bit_xor(F.expr(f"IF((({h} >> 6) & {WORDS - 1}) = {i}, shiftleft(1L, CAST({h} & 63 AS INT)), 0L)")).alias(f"w{i}") for i in range(WORDS)]
+    return [F.count("*").alias("size"), *words]
+
+
+def crowd(shared: DataFrame, linked: DataFrame, marks: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+    """Pairs (a, b) still to be verified, after each band's members were compared with its ends; None if there are none.
+
+    ``shared`` (band, node, lo, hi): members of bands and the bands' ends; ``linked`` (node, component): what those
+    comparisons tied. Of the members between the ends, every two of a band that aren't of one component are looked at,
+    but those of the band's largest component only meet the others, and only pairs whose sizes and parity bits allow
+    ``percent`` of likeness become rows: two sets differ in at least as many elements as their parity bits differ in.
+    ``marks`` gives (node, size, w0, w1, ...) for a table of nodes. A band is dealt into blocks of about BLOCK members,
+    so a hot one is spread; its rows grow with members outside the largest component times blocks.
+    """
+    held = shared.where("node != lo AND node != hi").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    held = cut(held)
+    per = held.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    left_over = cut(held.join(per, "band"))
+    if left_over.isEmpty():
+        return None
+    x = left_over.join(marks(left_over.select("node").distinct()), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    x = cut(x)
+    words = [f"w{i}" for i in range(WORDS)]
+    left = x.where("component != main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "component", "size", *words)])
+    right = x.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "main", *[F.col(c).alias(f"r_{c}") for c in ("node", "component", "size", *words)])
+    apart = " + ".join(f"bit_count(l_{w} ^ r_{w})" for w in words)
+    once = "l_component != r_component AND (r_component = main OR l_node < r_node)"
+    sizes = f"100 * least(l_size, r_size) >= {percent} * greatest(l_size, r_size)"
+    pairs = left.hint("shuffle_merge").join(right, ["band", "block"]).where(f"{once} AND {sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (l_size + r_size)")
+    return cut(pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct())
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links as (node, component), component the smallest node.
 

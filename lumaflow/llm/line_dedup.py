@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, partitions
+from .common import components, crowd, cut, documents, parity, partitions
 
 #: Characters of a shingle; lines with fewer words than LEAST_WORDS are only compared as wholes.
 SHINGLE, LEAST_WORDS, PERCENT = 8, 5, 75
@@ -36,8 +36,10 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(lid, component): near-duplicate lines, tied by verified pairs.
 
     Signatures are least universal hashes, summed up by line before and after one shuffle, so a line that occurs
-    everywhere is one row for each task. Lines that share a band are tied to the band's least and greatest line; each
-    such pair's exact Jaccard likeness is verified; verified pairs are joined up. No band is expanded into its pairs.
+    everywhere is one row for each task. Lines that share a band are tied to the band's least and greatest line, and
+    each such pair's exact Jaccard likeness is verified. Then ``crowd`` finds, among the other lines of a band, those
+    not yet of one component that can be alike; these are verified too, and all verified pairs are joined up. So every
+    two lines that share a band are compared or of one component.
     """
     spark = docs.sparkSession
     h = lines(docs).where("lid IS NOT NULL").select("lid", F.explode(shingles(F.col("line"))).alias("h")).withColumn("h", F.pmod("h", F.lit(PRIME)))
@@ -46,15 +48,30 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{i * ROWS + j}") for j in range(ROWS)]) for i in range(BANDS)])
     posts = s.select("lid", F.explode(bands).alias("band")).repartition(partitions(spark), "band")
     ends = posts.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")
-    tied = posts.join(ends, "band").select("lid", F.explode(F.array("lo", "hi")).alias("o")).where("lid != o")
-    pairs = cut(tied.select(F.least("lid", "o").alias("a"), F.greatest("lid", "o").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct())
+    shared = cut(posts.join(ends, "band").select("band", F.col("lid").alias("node"), "lo", "hi"))
+    tied = shared.select("node", F.explode(F.array("lo", "hi")).alias("o")).where("node != o")
+    pairs = cut(tied.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+    wanted = cut(shared.select(F.col("node").alias("lid")).distinct())
     few = wanted.count() <= BROADCAST_LINES
     full = lines(docs).where("lid IS NOT NULL").select("lid", "line").join(F.broadcast(wanted) if few else wanted, "lid", "left_semi")
-    sets = cut(full.groupBy("lid").agg(F.first("line").alias("line")).select("lid", F.array_distinct(shingles(F.col("line"))).alias("s")))
-    p = pairs.join(sets.select(F.col("lid").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("lid").alias("b"), F.col("s").alias("t")), "b")
-    p = p.withColumn("shared", F.size(F.array_intersect("s", "t"))).where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared")))
-    return components(p.select("a", "b")).select(F.col("node").alias("lid"), "component")
+    texts = cut(full.groupBy("lid").agg(F.first("line").alias("line")))
+    linked = cut(verified(pairs, texts, percent))
+    found = components(linked)
+
+    def marks(nodes: DataFrame) -> DataFrame:
+        of = texts.join(nodes.withColumnRenamed("node", "lid"), "lid", "left_semi")
+        return of.select(F.col("lid").alias("node"), F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")).groupBy("node").agg(*parity("h"))
+
+    if (rest := crowd(shared, found, marks, percent)) is not None:
+        found = components(linked.union(verified(rest, texts, percent)))
+    return found.select(F.col("node").alias("lid"), "component")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets have 100 * intersection >= percent * union; ``texts`` has (lid, line)."""
+    p = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    p = p.select("a", "b", F.array_distinct(shingles(F.col("la"))).alias("s"), F.array_distinct(shingles(F.col("lb"))).alias("t"))
+    return p.withColumn("shared", F.size(F.array_intersect("s", "t"))).where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared"))).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -140,3 +140,26 @@ def test_pipeline(spark):
             assert o == at
             at += n
         assert at <= 1024
+
+
+def test_templated_lines_between_strangers(spark):
+    """Thousands of lines of one template: every two lines that share a band are compared, whatever the band's ends are."""
+    import random
+
+    rng = random.Random(8)
+    template = [f"c{k:02d}ommon" for k in range(40)]
+    rows = []
+    for k in range(1500):
+        own = [f"own{rng.randrange(10**6):06d}" for _ in range(9)]
+        for edit in (own, [*own[:-1], f"own{rng.randrange(10**6):06d}"]):
+            rows.append((len(rows), " ".join(template + edit)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(line_dedup.alike(docs).collect())
+    # the bands as alike makes them
+    h = line_dedup.lines(docs).select("doc_id", "lid", F.explode(line_dedup.shingles(F.col("line"))).alias("h")).withColumn("h", F.pmod("h", F.lit(line_dedup.PRIME)))
+    sig = h.groupBy("doc_id", "lid").agg(*[F.min((F.col("h") * a + b) % line_dedup.PRIME).alias(f"m{i}") for i, (a, b) in enumerate(line_dedup.FACTORS)]).collect()
+    by = {r["doc_id"]: (r["lid"], [tuple(r[f"m{i * line_dedup.ROWS + j}"] for j in range(line_dedup.ROWS)) for i in range(line_dedup.BANDS)]) for r in sig}
+    share = [(by[k][0], by[k + 1][0]) for k in range(0, len(rows), 2) if any(x == y for x, y in zip(by[k][1], by[k + 1][1]))]
+    assert len(share) > 1400
+    assert all(found.get(a, a) == found.get(b, b) for a, b in share)
+    assert len({found.get(a, a) for a, _ in share}) == len(share)
