@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import components, crowd, cut, documents, parity, partitions
 
-#: Characters of a shingle; lines with fewer words than LEAST_WORDS are only compared as wholes.
-SHINGLE, LEAST_WORDS, PERCENT = 8, 5, 75
+#: Characters of a shingle; shorter lines are only compared as wholes.
+SHINGLE, PERCENT = 8, 75
 #: Bands of rows of a signature: at a likeness of 0.75 a band is shared with odds 0.99, at 0.85 with 0.9999.
 BANDS, ROWS = 8, 3
 #: A prime above the hashes (31 bits), so that hash * factor fits 63 bits.
@@ -22,8 +22,8 @@ FACTORS = [(_rng.randrange(1, PRIME), _rng.randrange(PRIME)) for _ in range(BAND
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of a line's character shingles: SHINGLE code points (fewer at the line's end) from each start of a word, in lower case."""
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(f"(?:^|(?<=[ \\t\\x0B\\f\\r]))(?=([^ \\t\\x0B\\f\\r].{{0,{SHINGLE - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+    """Hashes of a line's character shingles: SHINGLE code points from each place, in lower case."""
+    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     h = lines(docs).where("lid IS NOT NULL").select("lid", F.explode(shingles(F.col("line"))).alias("h")).withColumn("h", F.pmod("h", F.lit(PRIME)))
     signature = [F.min((F.col("h") * a + b) % PRIME).cast("int").alias(f"m{i}") for i, (a, b) in enumerate(FACTORS)]
-    s = h.groupBy("lid").agg(F.count("*").alias("n"), *signature).where(F.col("n") >= LEAST_WORDS)
+    s = h.groupBy("lid").agg(*signature)
     bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{i * ROWS + j}") for j in range(ROWS)]) for i in range(BANDS)])
     posts = s.select("lid", F.explode(bands).alias("band")).repartition(partitions(spark), "band")
     ends = posts.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")

@@ -163,3 +163,16 @@ def test_templated_lines_between_strangers(spark):
     assert len(share) > 1400
     assert all(found.get(a, a) == found.get(b, b) for a, b in share)
     assert len({found.get(a, a) for a, _ in share}) == len(share)
+
+
+def test_lines_without_blanks_are_compared(spark):
+    """Near copies without blanks, of few words, or edited past a word's eighth character; surrogate pairs stay whole."""
+    han = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(80))
+    url = "https://host.example/" + "/".join(f"part{k}" for k in range(20))
+    short = "internationalisation of characterisations everywhere"
+    face = "".join(chr(0x1F600 + 7 * k % 64) for k in range(60))
+    rows = [(0, han), (1, han[:-1] + "x"), (2, url), (3, url + "?a=1"), (4, short), (5, short + "s"), (6, face), (7, face + "!"), (8, "tiny"), (9, "tiny!")]
+    got = {r["doc_id"]: r["_kept_lines"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k % 2 == 0 or k == 9) for k in range(10)}
+    n = spark.createDataFrame([(x,) for x in (face, "12345678", "1234567", "a\r\u2028b345678")], "x string").select(F.size(line_dedup.shingles(F.col("x")))).collect()
+    assert [r[0] for r in n] == [53, 1, 0, 3]
