@@ -18,8 +18,9 @@ BLOCKS = set("address article aside blockquote body br center dd details dialog
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the left closes an open element of the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class or id, and roles, that mark what isn't main text.
+#: Whole tokens of class or id, and roles, that mark what isn't main text; elements that no class or id excludes.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer dsq disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+UNMARKED = set("html body article main h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: A token belongs to a template if it is on so many pages of the host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
@@ -29,17 +30,26 @@ ROOT_SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?]?[a-z][^>]*>?|<!\[CDATA\[.*?(?:\]\]>|\Z)|[^<]+|<", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def _excluded(tag: str, attrs: str, inside: bool) -> bool:
+def attributes(attrs: str) -> dict[str, str]:
+    """Name (in lower case) to value of a start tag's attributes; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(attrs) if attrs else ():
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _excluded(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in NEVER or tag == "header" and not inside:
         return True
-    for name, *values in _ATTR.findall(attrs) if attrs else ():
-        name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and MARKS & {*re.split(r"[^a-z]+", value)} or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+    if not attrs:
+        return False
+    a = {k: attrs.get(k, "").lower() for k in ("class", "id", "role", "aria-hidden", "style")}
+    if tag not in UNMARKED and MARKS & {*a["class"].split(), *a["id"].split()}:
+        return True
+    return a["role"] in ROLES or "hidden" in attrs or a["aria-hidden"] == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"]))
 
 
 def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
@@ -87,14 +97,14 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
                         break
             if name in VOID or t.endswith("/>") and name not in BLOCKS:
                 continue
-            attrs = t[1 + len(name) : -1]
+            attrs = attributes(t[1 + len(name) : -1])
             parent = stack[-1] if stack else ("", 0, "", False)
             bad = parent[3] or _excluded(name, attrs, any(x[0] in ("article", "main") for x in stack))
             if bad != parent[3]:
                 flush()
-            kind = re.search(r"class\s*=\s*[\"']?([^\"'>\s]+)", attrs, re.I)
+            kind = attrs.get("class", "").split()
             number += 1
-            stack.append((name, number, f"{parent[2]}/{name}" + (f".{kind[1]}" if kind else ""), bad))
+            stack.append((name, number, f"{parent[2]}/{name}" + (f".{kind[0]}" if kind else ""), bad))
     flush()
     return out
 

@@ -176,3 +176,10 @@ def test_lines_without_blanks_are_compared(spark):
     assert got == {k: int(k % 2 == 0 or k == 9) for k in range(10)}
     n = spark.createDataFrame([(x,) for x in (face, "12345678", "1234567", "a\r\u2028b345678")], "x string").select(F.size(line_dedup.shingles(F.col("x")))).collect()
     assert [r[0] for r in n] == [53, 1, 0, 3]
+
+
+def test_marks_are_whole_names_and_tokens():
+    """Values of other attributes, words of compounds, and marks on body, article or headings exclude nothing."""
+    page = '<body class="no-sidebar has-banner search"><article class="share"><h2 id="related-work">Related work</h2><h2 id="search">Search</h2><p title="the hidden truth">One <a href="/hidden-valley">valley</a></p><p data-class="ad" data-hidden="x">two</p>{}</article></body>'
+    gone = '<p hidden>a</p><p class="big ad">b</p><div id=comments>c</div><p HIDDEN="">d</p><p aria-hidden="true">e</p><p style="display: none">f</p><div role="search">g</div>'
+    assert html_extract.main_text(page.format(gone), None, set()) == "Related work Search One valley two"
