@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, words
+from .common import documents, words
 
 #: Fixed by the contract.
 WINDOW, LEAST_WORDS, REPEAT_PERCENT, SYMBOLS = 8, 20, 30, "[#*$%&|<>]"
@@ -18,8 +18,6 @@ BUCKETS = 1 << 14
 SCALE, SMOOTH = 1000, 1.0
 #: A document is kept if the mean weight of its words and pairs is at least this.
 LEAST_MEAN = -100
-#: Up to so many trusted ids are broadcast to the documents; beyond, both are shuffled by doc_id.
-BROADCAST_IDS = 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -27,16 +25,18 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _word_numbers(w: Column) -> Column:
-    return F.transform(w, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
+def word_buckets(w: Column) -> Column:
+    """The bucket of each word: its CRC-32 modulo BUCKETS."""
+    return F.transform(w, lambda x: F.crc32(x.cast("binary")).bitwiseAND(BUCKETS - 1).cast("short"))
 
 
-def features(w: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbours."""
+def features(buckets: Column) -> Column:
+    """Buckets of all words and of all pairs of neighbours; a pair's bucket follows from its words' buckets."""
     def of(n: Column) -> Column:
-        pairs = F.zip_with(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: F.pmod(a * 31 + b * 17 + 7, F.lit(BUCKETS)).cast("int"))
-        return F.concat(F.transform(n, lambda a: F.pmod(a, F.lit(BUCKETS)).cast("int")), pairs)
-    return _let(_word_numbers(w), of)
+        most = F.greatest(F.size(n) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(n, F.lit(1), most), F.slice(n, F.lit(2), most), lambda a, b: (a.cast("int") * 31 + b.cast("int") * 17 + 7).bitwiseAND(BUCKETS - 1).cast("short"))
+        return F.concat(n, pairs)
+    return _let(buckets, of)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -50,10 +50,14 @@ def _repeat_words(w: Column) -> Column:
             return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
         ordered = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(win)) < F.size(win), _let(ordered, alike)).otherwise(0)
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    def doubled(h: Column, k: int) -> Column:
+        n = F.size(h) - k
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(1 + k), n), lambda a, b: F.xxhash64(a, b))
+    def of(half: Column) -> Column:
+        # a window that occurs twice has a half that does
+        return F.when(F.size(F.array_distinct(half)) < F.size(half), _let(doubled(half, WINDOW // 2), places)).otherwise(0)
     hashed = F.transform(w, lambda x: F.xxhash64(x))
-    return F.when(F.size(w) > WINDOW, _let(_let(hashed, windows), places)).otherwise(0).cast("long")
+    return F.when(F.size(w) > WINDOW, _let(_let(_let(hashed, lambda h: doubled(h, 1)), lambda h: doubled(h, 2)), of)).otherwise(0).cast("long")
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,14 +75,16 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Weights of the buckets: log(p_trusted / p_raw), times SCALE, rounded.
 
-    The raw multinomial counts every document, the trusted one those whose doc_id is in ``trusted``. Counts are summed
-    by bucket before they are shuffled, so a hot word costs a row for each task. The result has BUCKETS entries. Without
-    trusted words all weights are 0.
+    The raw multinomial counts every document, the trusted one those whose doc_id is in ``trusted``. What is shuffled to
+    meet the trusted ids is two bytes a word, not the texts; documents without an id stay where they are. Counts are
+    summed by bucket before they are shuffled, so a hot word costs a row for each task. The result has BUCKETS entries.
+    Without trusted words all weights are 0.
     """
-    ids = cut(trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_trusted", F.lit(1)))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), words(F.col("text")).alias("_w"))
-    counts = marked.select("t", F.explode(features(F.col("_w"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted")).collect()
+    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_trusted", F.lit(1))
+    d = docs.select("doc_id", word_buckets(words(F.col("text"))).alias("_b"))
+    marked = d.where("doc_id IS NOT NULL").join(ids.hint("merge"), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), "_b")
+    marked = marked.union(d.where("doc_id IS NULL").select(F.lit(0).alias("t"), "_b"))
+    counts = marked.select("t", F.explode(features(F.col("_b"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted")).collect()
     raw, t = {r["b"]: r["raw"] for r in counts}, {r["b"]: r["trusted"] for r in counts}
     n_raw, n_t = sum(raw.values()), sum(t.values())
     if not n_t:
@@ -95,7 +101,7 @@ def judge(docs: DataFrame, weights: list[int]) -> DataFrame:
     """
     table = F.from_json(F.lit(json.dumps(weights)), "array<int>")
     d = with_base(docs)
-    d = d.withColumn("_f", features(F.col("_w"))).withColumn("n_features", F.size("_f").cast("long"))
+    d = d.withColumn("_f", features(word_buckets(F.col("_w")))).withColumn("n_features", F.size("_f").cast("long"))
     d = d.withColumn("score", F.aggregate("_f", F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)))
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_MEAN * F.col("n_features"))).drop("_w", "_f")
 
@@ -109,7 +115,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 u AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
-n AS (SELECT *, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM u),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS crc),
+x AS (SELECT word, hex(encode(word)) AS hx FROM (SELECT DISTINCT word FROM u)),
+y AS (SELECT word, list_transform(range(len(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+z AS (SELECT word, xor(4294967295, list_reduce(bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM y, tab),
+n AS (SELECT u.*, z.h FROM u JOIN z USING (word)),
 f AS (SELECT r, doc_id, h % {BUCKETS} AS b FROM n
       UNION ALL
       SELECT r, doc_id, (h * 31 + k * 17 + 7) % {BUCKETS} FROM (SELECT r, doc_id, h, lead(h) OVER (PARTITION BY r ORDER BY i) AS k FROM n) WHERE k IS NOT NULL),
