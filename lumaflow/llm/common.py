@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: with texts of some kB each a batch takes some MB.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Gives a session that left the size of Arrow batches alone a smaller one, fit for whole documents. Buffers of batches
+    live outside the heap, twice for each task, and grow to the largest batch seen."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -28,17 +41,53 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, BLANK))).cast("long")
 
 
+def texts_of(column: pa.Array, rows: int = 64) -> Iterator[str]:
+    """The column's texts, null as empty, some rows at a time: what Python holds besides the Arrow batch is bounded by these."""
+    for i in range(0, len(column), rows):
+        for t in column.slice(i, rows).to_pylist():
+            yield t or ""
+
+
+#: Longs of a sieve's bits: at most so many rows of 16 bytes are broadcast, whatever the table's size.
+SIEVE = 1 << 18
+
+
+def sieved(df: DataFrame, key: Column, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in the one column of ``wanted``: all that are, and some others.
+
+    One hash sets one bit of SIEVE longs. While ``wanted`` has less than some millions of rows hardly another row
+    passes; beyond, more and more do. It only saves shuffling: the exact join that follows decides, at every size, so
+    the plan is the same whatever the counts. With ``how`` "left" all rows stay and _may tells which pass.
+    """
+    placed = lambda d, k: d.withColumn("_h", F.xxhash64(k)).withColumn("_at", F.col("_h").bitwiseAND(SIEVE - 1)).withColumn("_bit", F.expr("shiftleft(1L, CAST((_h >> 40) & 63 AS INT))")).drop("_h")
+    bits = cut(placed(wanted, F.col(wanted.columns[0])).groupBy("_at").agg(F.bit_or("_bit").alias("_bits")))
+    d = placed(df, key).join(F.broadcast(bits), "_at", how)
+    may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    d = d.where(may) if how == "inner" else d.withColumn("_may", may)
+    return d.drop("_at", "_bit", "_bits")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, a laptop) a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``, see ``shared_folder``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a session with a local master may do without: driver and executors are
+    one process there, and a folder of that machine is used. On a cluster a session without the setting is an error."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -102,21 +151,32 @@ def crowd(shared: DataFrame, linked: DataFrame, marks: Callable[[DataFrame], Dat
     return cut(pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct())
 
 
+#: Links of a node from which on they are dealt to several tasks, so many to each.
+HUB = 100_000
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """(u, v, m): the links with the least v of each u. A hub's links are dealt by a hash of v; there is at most one hub for
+    every HUB links, so the table of hubs that is broadcast has a HUB-th of their rows at most."""
+    per = links.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / HUB).cast("int").alias("deals"))
+    hubs = F.broadcast(per.where("deals > 1").select("u", "deals"))
+    dealt = links.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("deals")).cast("int"), F.lit(0)).alias("deal"))
+    return dealt.join(per.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")), ["u", "deal"]).drop("deal")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links as (node, component), component the smallest node.
 
     Large-star and small-star turns (Kiveris et al. 2014) until no link changes. Links stay distributed; each turn is
-    checkpointed, so a lost executor costs at most one turn. A hub's links are joined with one row, its least neighbour.
+    checkpointed, so a lost executor costs at most one turn. A hub's links are spread over tasks.
     Nodes without links are not in the result; self links and repeated links do no harm; null ends are dropped.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").where("u > v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -8,17 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, partitions
-from .shingles import BROADCAST_IDS, SIZE, Shingler, against, set_id, sets_of, verified
+from .common import components, cut, documents, sieved, small_batches, texts_of
+from .shingles import SIZE, Shingler, against, set_id, sets_of, verified
 
 PERCENT = 75
 #: Counters of the frequency sketch. It only orders tokens: any count gives the same links, at another cost.
 COUNTERS, CHUNKS = 1 << 22, 64
 #: The longest prefixes ask for so many shared tokens; comparing one pair costs about VERIFY times the set's size.
 MOST_MATCHES, VERIFY = 6, 0.05
+#: Classes that a task remembers, so that it doesn't give the prefix of each copy anew.
+SEEN = 200_000
 
 
 def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -30,7 +32,7 @@ def _read(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     kind = None
     for b in batches:
         kind = b.column(1).type
-        sets = [shingle(t or "") for t in b.column(2).to_pylist()]
+        sets = [shingle(t) for t in texts_of(b.column(2))]
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         counts += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         k = len(sets)
@@ -68,12 +70,13 @@ def prefix(s: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> tuple[n
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, sketch: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    shingle = Shingler(size)
+    shingle, seen = Shingler(size), set()
     for b in batches:
         token, cls, n, pos, m, common = [], [], [], [], [], []
-        seen = set()
-        for t in b.column(0).to_pylist():
-            s = shingle(t or "")
+        if len(seen) > SEEN:
+            seen.clear()
+        for t in texts_of(b.column(0)):
+            s = shingle(t)
             c = set_id(s)
             if not len(s) or c in seen:
                 continue
@@ -98,9 +101,9 @@ def _alike_in_size(x, y, percent: int):
     return 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
 
 
-def _may_link(x, y, percent: int):
+def _may_link(x, y, percent: int, m=None):
     """Both places are in the prefixes that this pair of sizes needs: |s| - o + m, o the overlap at which the two sets link."""
-    needed, m = _needed(x, y, percent), F.least(x["m"], y["m"])
+    needed, m = _needed(x, y, percent), F.least(x["m"], y["m"]) if m is None else m
     return _alike_in_size(x, y, percent) & (x["pos"] < x["n"] - needed + m) & (y["pos"] < y["n"] - needed + m)
 
 
@@ -122,17 +125,19 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
     Only tokens of prefixes are shuffled, once; those that one class alone has fall away. In the first turn each token
     ties its other classes to one hub, the class with the commonest tokens, so a large group of near copies costs as
     many pairs as members, not their square. In the second turn pairs are compared that aren't in one component yet:
-    those that share enough prefix tokens; but if x and y were both compared with hub h and the lesser overlap with h
-    is below the o that x and y need, then only those that share a token outside h: with c tokens of x in h at most c
-    of the shared ones are, and the other o - c or more are among the few that x and y have besides. No link between
-    components is lost.
+    those that share enough prefix tokens. The first of m shared ones is among the first |s| - o + 1 tokens of both, so
+    only these places make pairs, and the pair's whole prefixes are counted then. And if x and y were both compared
+    with hub h and the lesser overlap with h is below the o that x and y need, then only those are compared that share
+    a token outside h: with c tokens of x in h at most c of the shared ones are, and the other o - c or more are among
+    the few that x and y have besides. No link between components is lost.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(sketch)
     posts = docs.select("text").mapInArrow(lambda it: _prefixes(it, size, known.value, percent), "token long, cls long, n int, pos int, m short, common short")
-    posts = posts.repartition(partitions(spark), "token")
-    several = posts.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y").select("token")
-    live = cut(posts.join(several, "token", "left_semi").dropDuplicates(["token", "cls"]))
+    # one shuffle: the tokens that two classes have are told by a window over it
+    of_token = Window.partitionBy("token")
+    several = posts.withColumn("lo", F.min("cls").over(of_token)).withColumn("hi", F.max("cls").over(of_token)).where("lo < hi").drop("lo", "hi")
+    live = cut(several.dropDuplicates(["token", "cls"]))
     named = rows.where("n > 0").groupBy("cls").agg(F.min("th").alias("th"))
     x, y = F.col("x"), F.col("y")
 
@@ -163,8 +168,17 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
     left = cut(left.select("token", F.struct("cls", "n", "pos", "m", "component", "hub", "shared").alias("x")))
     by_hub = F.coalesce((F.col("x.hub") == F.col("y.hub")) & (F.least("x.shared", "y.shared") < _needed(x, y, percent)), F.lit(False))
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    rest = left.join(left.select("token", x.alias("y")), "token").where("x.component < y.component").where(_may_link(x, y, percent) & ~by_hub)
-    rest = rest.groupBy(*pair).agg(F.count("*").alias("k"), F.min(F.least("x.m", "y.m")).alias("m")).where("k >= m").select("a", "b")
+    rest = left.join(left.select("token", x.alias("y")), "token").where("x.component < y.component").where(_may_link(x, y, percent, 1) & ~by_hub)
+    rest = cut(rest.select(*pair).distinct())
+    # of a pair's whole prefixes m tokens are shared
+    ordered = F.array_sort(F.collect_list(F.struct("x.pos", "token")))
+    whole = left.groupBy("x.cls").agg(F.first("x.n").alias("n"), F.first("x.m").alias("m"), ordered.alias("p"))
+    side = lambda c: whole.select(F.col("cls").alias(c), F.struct("n", "m", "p").alias(f"of_{c}"))
+    rest = rest.join(side("a"), "a").join(side("b"), "b")
+    s, t = F.col("of_a"), F.col("of_b")
+    m = F.least(s["m"], t["m"])
+    within = lambda z: F.transform(F.filter(z["p"], lambda e: e["pos"] < z["n"] - _needed(s, t, percent) + m), lambda e: e["token"])
+    rest = rest.where(F.size(F.array_intersect(within(s), within(t))) >= m).select("a", "b")
     extra = main.select("hub", F.explode("extra").alias("token"), F.struct("cls", "n", "shared", "component").alias("x"))
     shared = extra.groupBy("hub", "token").agg(F.min("x.component").alias("lo"), F.max("x.component").alias("hi")).where("lo < hi").select("hub", "token")
     extra = cut(extra.join(shared, ["hub", "token"], "left_semi"))
@@ -199,26 +213,21 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame
 def representatives(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` that stay when of each component one document does: the smallest doc_id (null last), then text hash.
 
-    Documents without words stay. Of rows that repeat a doc_id and a text one stays. What goes is looked up in the
-    documents, not what stays, so that texts need no shuffle as long as it is no more than a checked number of rows.
+    Documents without words stay. Of rows that repeat a doc_id and a text one stays. What doesn't simply stay is looked
+    up in the documents, so texts are only shuffled if a sieve can't tell that they stay.
     """
     g = cut(grouped(docs, percent, size))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = g.where("component IS NOT NULL").groupBy("component").agg(F.min(key).alias("first"))
-    gone = cut(g.join(first, "component").where(key != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct())
-    twice = cut(g.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")))
-    d = docs.withColumn("_th", F.xxhash64("text"))
-
-    def without(d: DataFrame, table: DataFrame, how: str) -> DataFrame:
-        side = F.broadcast(table) if table.count() <= BROADCAST_IDS else table
-        return d.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), how)
-
-    left = without(d, gone, "left_anti")
-    if twice.isEmpty():
-        return left.drop("_th")
-    once = without(left, twice, "left_semi").dropDuplicates(["doc_id", "_th"])
-    return without(left, twice, "left_anti").unionByName(once).drop("_th")
+    rows = g.where("component IS NOT NULL").groupBy("component", "doc_id", "th").agg(F.count("*").alias("k"))
+    odd = rows.join(first, "component").withColumn("_gone", key != F.col("first")).where("_gone OR k > 1")
+    odd = cut(odd.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_gone"))
+    d = sieved(docs.withColumn("_th", F.xxhash64("text")), F.col("_th"), odd.select("_t"), "left")
+    doubtful = d.where("_may").join(odd.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    once = doubtful.where("_gone = false").dropDuplicates(["doc_id", "_th"])
+    return d.where("NOT _may").select(*docs.columns).unionByName(doubtful.where("_gone IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return join(documents(spark, sf_dir))

@@ -10,19 +10,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sieved, texts_of
 
 SIZE = 5
-#: Words whose hashes a worker keeps before it starts anew.
-CACHE = 1_000_000
-#: Up to so many ids are broadcast as a filter of documents; beyond, they are joined.
-BROADCAST_IDS = 500_000
+#: Bytes of words whose hashes a worker keeps before it starts anew, and those that an entry takes besides.
+CACHE, ENTRY = 16 << 20, 180
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
         self[word] = out = xxhash.xxh64_intdigest(word)
+        self.held += len(word) + ENTRY
         return out
 
 
@@ -40,8 +41,8 @@ class Shingler:
         w = text.encode("utf-8", "surrogatepass").lower().split()
         if not w:
             return np.empty(0, np.uint64)
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if self.known.held > CACHE:
+            self.known = _Hashes()
         h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
         size = min(self.size, len(w))
         n = len(h) - size + 1
@@ -62,19 +63,20 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
-    """(cls, tokens) for the classes in ``wanted`` (cls, th): th is xxhash64 of the text of one document of the class."""
+    """(cls, tokens) for the classes in ``wanted`` (cls, th): th is xxhash64 of the text of one document of the class.
+
+    Texts aren't shuffled: those that a sieve over th lets pass are shingled where they are, and their sets meet the
+    wanted classes."""
     wanted = cut(wanted)
-    ids = wanted.select("th").distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(F.broadcast(ids) if few else ids, "th", "left_semi").select("text")
+    texts = sieved(docs.select(F.xxhash64("text").alias("th"), "text"), F.col("th"), wanted.select("th")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for b in batches:
-            sets = [shingle(t or "") for t in b.column(0).to_pylist()]
+            sets = [shingle(t) for t in texts_of(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "tokens"])
 
-    return texts.mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return texts.mapInArrow(run, "cls long, tokens binary").join(wanted.select("cls").distinct().hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
