@@ -67,7 +67,7 @@ def analyze_motion(frames: DataFrame, windows: DataFrame, conf: EngineConf = Eng
     return motion.motion_windows(frames, per_video(windows, "windows"), conf)
 
 
-def analyze_visual(frames: DataFrame, catalog: DataFrame, score: float = closed_set.SCORE, margin: float = closed_set.MARGIN) -> DataFrame:
+def analyze_visual(frames: DataFrame, catalog: DataFrame, score: float | None = None, margin: float = closed_set.MARGIN) -> DataFrame:
     return closed_set.answers(frames, catalog, score, margin)
 
 

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, sigmoid, unit
 
-#: Least margin of the first over the second, default least score, slope of the confidence.
-MARGIN, SCORE, SLOPE = 0.01, 0.10, 10.0
+#: Least margin of the first over the second, slope of the confidence, least score of a question, and of any other.
+MARGIN, SLOPE = 0.01, 10.0
+SCORES = {"time_of_day": 0.05, "action": 0.10, "object": 0.10, "shot_size": 0.08, "visual_effect": 0.10, "mood": 0.08}
+SCORE = 0.10
+#: Most questions of a catalog, and least and most values of a question.
+QUESTIONS, VALUES = 8, (2, 12)
+
+
+def least_score(question: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, question), F.lit(SCORE))
+
+
+def as_array(catalog: DataFrame) -> Column:
+    """The catalog (question, value, v) as one array of (question, value, unit vector). A catalog is a request's; its size is checked when the plan is built."""
+    most = QUESTIONS * VALUES[1]
+    rows = catalog.select("question", "value", unit(F.col("v")).alias("text")).limit(most + 1).collect()
+    per = Counter(r["question"] for r in rows)
+    if len(rows) > most or len(per) > QUESTIONS or any(not VALUES[0] <= n <= VALUES[1] for n in per.values()):
+        raise ValueError(f"a catalog has at most {QUESTIONS} questions of {VALUES[0]} to {VALUES[1]} values")
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), "array<struct<question:string,value:string,text:array<double>>>")
 
 
-def answers(frames: DataFrame, catalog: DataFrame, score: float = SCORE, margin: float = MARGIN) -> DataFrame:
+def answers(frames: DataFrame, catalog: DataFrame, score: float | None = None, margin: float = MARGIN) -> DataFrame:
     """(item_id, question, answer, status, margin, confidence, top value and score).
 
-    ``frames`` is (item_id, v), ``catalog`` (question, value, v) with at most 8 x 12 rows, which are broadcast. A value's
-    score for an item is its best over the item's frames; the answer is null where score or margin is too low.
+    ``frames`` is (item_id, v). A value's score for an item is its best over the item's frames; the answer is null where
+    the score is below the question's least (or ``score``, if given) or the margin is too low. Each frame meets the
+    catalog as an array; there is no join.
     """
-    c = F.broadcast(catalog.select("question", "value", unit(F.col("v")).alias("text")))
-    f = frames.select("item_id", unit(F.col("v")).alias("image"))
-    s = f.join(c).groupBy("item_id", "question", "value").agg(F.max(dot(F.col("image"), F.col("text"))).alias("score"))
+    f = frames.select("item_id", unit(F.col("v")).alias("image"), F.explode(as_array(catalog)).alias("c"))
+    s = f.groupBy("item_id", F.col("c.question").alias("question"), F.col("c.value").alias("value")).agg(F.max(dot(F.col("image"), F.col("c.text"))).alias("score"))
     w = Window.partitionBy("item_id", "question").orderBy(F.desc("score"), "value")
     r = s.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("score").over(w)).where("rank = 1")
     gap = F.col("score") - F.col("next")
-    ok = (F.col("score") >= score) & (gap >= margin)
+    ok = (F.col("score") >= (least_score(F.col("question")) if score is None else F.lit(score))) & (gap >= margin)
     return r.select("item_id", "question", F.when(ok, F.col("value")).alias("answer"), F.when(ok, "answered").otherwise("abstained").alias("status"), F.round(gap, 6).alias("margin"), F.round(sigmoid(SLOPE * gap), 6).alias("confidence"), F.col("value").alias("top_value"), F.round("score", 6).alias("top_score"))

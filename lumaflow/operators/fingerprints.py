@@ -11,6 +11,8 @@ from ..functions.scalars import hamming_likeness
 
 #: Side of the hash grid, and the overlay's thresholds.
 GRID, VARIANCE, CORNER, DARK, ROW_SHARE = 8, 0.002, 0.25, 0.08, 0.9
+#: Fixed value: most frames of a video that are compared.
+FRAMES = 64
 
 
 def average_hash(cells: Column) -> Column:
@@ -41,11 +43,12 @@ def block_means(gray: Column, height: Column, width: Column) -> Column:
 def similarity(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """(a, b, similarity): for pairs of videos, the lower of the two means of each frame's best match in the other.
 
-    ``prints`` is (video_id, hash). Frames meet only within a given pair, whose frame counts the sampler bounds (64 at
-    most): the pairs come from a candidate step, never from all videos. A video without frames has likeness 0.
+    ``prints`` is (video_id, hash). Frames meet only within a given pair; a video has at most FRAMES of them, which the
+    sampler gives, more are an error. The pairs are given (references, or videos that share near hashes), never all. A
+    video without frames has likeness 0.
     """
     left, right = prints.select(F.col("video_id").alias("a"), F.col("hash").alias("x")), prints.select(F.col("video_id").alias("b"), F.col("hash").alias("y"))
-    hashes = lambda d, k, h, n: d.groupBy(k).agg(F.collect_list(h).alias(n))
+    hashes = lambda d, k, h, n: d.groupBy(k).agg(F.when(F.count("*") > FRAMES, F.raise_error(F.lit("more frames than are compared")).cast("array<long>")).otherwise(F.collect_list(h)).alias(n))
     p = pairs.join(hashes(left, "a", "x", "xs"), "a", "left").join(hashes(right, "b", "y", "ys"), "b", "left")
     def best(of: Column, among: Column) -> Column:
         return F.aggregate(F.transform(of, lambda h: F.array_max(F.transform(among, lambda o: hamming_likeness(h, o)))), F.lit(0.0), lambda s, x: s + x) / F.size(of)
@@ -53,19 +56,17 @@ def similarity(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return p.select("a", "b", F.coalesce(F.round(F.when((F.size("xs") > 0) & (F.size("ys") > 0), both), 6), F.lit(0.0)).alias("similarity"))
 
 
-def near_prints(prints: DataFrame, most: int = 7) -> DataFrame:
-    """Pairs of videos that have frames at a Hamming distance of at most ``most`` (7 or less), found by equal bytes.
+def near_hashes(prints: DataFrame, most: int = 7) -> DataFrame:
+    """(hash, other): different hashes at a Hamming distance of at most ``most`` (7 or less), found by equal bytes.
 
-    Of 64 bits in eight bytes, seven differences leave one byte equal, so frames meet on (byte place, byte) only; equal
-    hashes are one row before they meet. The bytes' groups grow with distinct hashes, not with videos.
+    Of 64 bits in eight bytes, seven differences leave one byte equal, so hashes meet on (byte place, byte) only. Equal
+    hashes are one row: the videos of a hash are the rows of ``prints`` that have it, and aren't listed in pairs, so a
+    frame that all videos share (a black one) costs one hash. The bytes' groups grow with distinct hashes.
     """
     distinct = prints.select("hash").distinct()
     chunks = distinct.select("hash", F.posexplode(F.array(*[F.shiftright("hash", 8 * i).bitwiseAND(255) for i in range(8)])).alias("i", "byte"))
     other = chunks.select(F.col("hash").alias("other"), "i", "byte")
-    near = chunks.join(other, ["i", "byte"]).where((F.col("hash") <= F.col("other")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))) <= most)).select("hash", "other").distinct()
-    a, b = prints.select(F.col("video_id").alias("a"), "hash").distinct(), prints.select(F.col("video_id").alias("b"), F.col("hash").alias("other")).distinct()
-    met = near.join(a, "hash").join(b, "other").where("a != b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return chunks.join(other, ["i", "byte"]).where((F.col("hash") < F.col("other")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("other"))) <= most)).select("hash", "other").distinct()
 
 
 def static_overlay(frames: DataFrame, width: int = GRID, height: int = GRID) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..conf import EngineConf
 from ..sources.views import durations
@@ -13,9 +16,9 @@ CONF = EngineConf()
 
 
 def pair_diffs(frames: DataFrame) -> DataFrame:
-    """(video_id, t, diff): change of luminance since the frame before; the first frame has none."""
+    """(video_id, t, diff): mean change of the pixels since the frame before; the first frame has none."""
     w = Window.partitionBy("video_id").orderBy("t")
-    return frames.withColumn("diff", F.abs(F.col("lum") - F.lag("lum").over(w))).where("diff IS NOT NULL").select("video_id", "t", "diff")
+    return with_steps(frames, w).where("mean_diff IS NOT NULL").select("video_id", "t", F.col("mean_diff").alias("diff"))
 
 
 def pixel_change(first: Column, second: Column, conf: EngineConf = CONF) -> tuple[Column, Column]:
@@ -27,6 +30,45 @@ def pixel_change(first: Column, second: Column, conf: EngineConf = CONF) -> tupl
     return total / n, changed / n
 
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("mean_diff", "changed_ratio", "lum_diff")]))
+def _gray_change(before: pa.Array, gray: pa.Array, shape_before: pa.Array, shape: pa.Array, threshold: pa.Array) -> pa.Array:
+    """The same measures of 8-bit frames, and the change of their mean; null for a frame without one before it. Differences are whole numbers, so sums are exact."""
+    out = []
+    for a, b, s, t, least in zip(before, gray, shape_before.to_pylist(), shape.to_pylist(), threshold.to_pylist()):
+        if not a.is_valid or not b.is_valid:
+            out.append(None)
+            continue
+        if s != t:
+            raise ValueError(f"frames differ in shape: {s}, {t}")
+        x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int16) for v in (a, b))
+        d = np.abs(y - x)
+        out.append({"mean_diff": float(d.mean()) / 255, "changed_ratio": float((d >= 255 * least).mean()), "lum_diff": abs(float(y.mean()) - float(x.mean())) / 255})
+    return pa.array(out, pa.struct([("mean_diff", pa.float64()), ("changed_ratio", pa.float64()), ("lum_diff", pa.float64())]))
+
+
+def with_steps(frames: DataFrame, w: WindowSpec, conf: EngineConf = CONF) -> DataFrame:
+    """Adds mean_diff, changed_ratio and lum_diff of each frame against the one before it in ``w``; null for the first.
+
+    Frames are ``gray`` (8-bit pixels row by row, with height and width), or ``px`` (an array of pixels in 0..1), or one
+    pixel, ``lum``, for which the three are the same number.
+    """
+    if "gray" in frames.columns:
+        f = frames.withColumn("_shape", F.concat_ws("x", "height", "width"))
+        f = f.withColumn("_before", F.lag("gray").over(w)).withColumn("_shape_before", F.lag("_shape").over(w))
+        f = f.withColumn("_d", _gray_change("_before", "gray", "_shape_before", "_shape", F.lit(conf.changed_pixel_threshold)))
+        return f.select("*", "_d.mean_diff", "_d.changed_ratio", "_d.lum_diff").drop("_d", "_before", "_shape", "_shape_before")
+    if "px" in frames.columns:
+        f = frames.withColumn("_before", F.lag("px").over(w))
+        mean, changed = pixel_change(F.col("_before"), F.col("px"), conf)
+        known = F.col("_before").isNotNull()
+        return f.select("*", F.when(known, mean).alias("mean_diff"), F.when(known, changed).alias("changed_ratio"), F.when(known, F.abs(mean_of(F.col("px")) - mean_of(F.col("_before")))).alias("lum_diff")).drop("_before")
+    return frames.withColumn("lum_diff", F.abs(F.col("lum") - F.lag("lum").over(w))).select("*", F.col("lum_diff").alias("mean_diff"), F.col("lum_diff").alias("changed_ratio"))
+
+
+def mean_of(px: Column) -> Column:
+    return F.aggregate(px, F.lit(0.0), lambda s, x: s + x) / F.size(px)
+
+
 def crop(px: Column, height: int, width: int, roi: tuple[float, float, float, float]) -> Column:
     """Pixels in a region (x_min, x_max, y_min, y_max as shares of the frame); an empty region is an error."""
     x0, x1, y0, y1 = round(roi[0] * width), round(roi[1] * width), round(roi[2] * height), round(roi[3] * height)
@@ -42,7 +84,7 @@ def summary(pairs: DataFrame, keys: list[str], conf: EngineConf = CONF) -> DataF
         F.count("*").alias("samples"), F.count("changed_ratio").alias("pairs"),
         F.count_if(ratio >= conf.active_changed_pixel_ratio).alias("active_pairs"),
         F.coalesce(F.bool_or((ratio >= conf.abrupt_changed_pixel_ratio) & (mean >= conf.abrupt_mean_absolute_difference)), F.lit(False)).alias("abrupt"),
-        F.avg("changed_ratio").alias("mean_ratio"), F.max("changed_ratio").alias("peak_ratio"),
+        F.avg("changed_ratio").alias("mean_ratio"), F.max("changed_ratio").alias("peak_ratio"), F.avg("mean_diff").alias("mean_difference"),
         F.avg((F.col("lum_diff") >= conf.luminance_spike_threshold).cast("double")).alias("spike"),
     )
     pattern = F.when(F.col("pairs") < 1, F.lit(None)).when(F.col("abrupt"), "abrupt").when(F.col("active_pairs") == F.col("pairs"), "continuous").when(F.col("active_pairs") > 0, "intermittent").otherwise("stable")
@@ -57,8 +99,7 @@ def motion_windows(frames: DataFrame, windows: DataFrame, conf: EngineConf = CON
     duration = F.col("n").cast("double")
     points = windows.select("video_id", "n", "start", F.explode_outer(grids.window_times(F.col("start"), duration)).alias("ts"))
     got = grids.sampled(points.where("ts IS NOT NULL"), frames)
-    step = F.abs(F.col("lum") - F.lag("lum").over(Window.partitionBy("video_id", "start").orderBy("ts")))
-    got = got.withColumn("changed_ratio", step).withColumn("mean_diff", F.col("changed_ratio")).withColumn("lum_diff", F.col("changed_ratio"))
+    got = with_steps(got, Window.partitionBy("video_id", "start").orderBy("ts"), conf)
     s = windows.join(summary(got, ["video_id", "start"], conf), ["video_id", "start"], "left")
     status = F.when(F.coalesce("samples", F.lit(0)) >= 2, "completed").when(F.col("start") >= duration, "outside_duration").otherwise("insufficient_data")
     return s.withColumn("status", status)
@@ -74,28 +115,37 @@ def uniform(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
 
 
 def spike_ratio(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
-    """(video_id, luminance_spike_ratio): share of steps with a clear change of luminance; 0 for less than two frames."""
-    step = F.abs(F.col("lum") - F.lag("lum").over(Window.partitionBy("video_id").orderBy("t")))
-    return frames.withColumn("step", step).groupBy("video_id").agg(F.coalesce(F.avg((F.col("step") >= conf.luminance_spike_threshold).cast("double")), F.lit(0.0)).alias("luminance_spike_ratio"))
+    """(video_id, luminance_spike_ratio): share of steps on the luminance grid with a clear change; 0 for less than two samples."""
+    points = durations(frames).select("video_id", "n", F.explode(grids.luminance_times(F.col("n").cast("double"), conf)).alias("ts"))
+    got = with_steps(grids.sampled(points, frames), Window.partitionBy("video_id").orderBy("ts"), conf)
+    return got.groupBy("video_id").agg(F.coalesce(F.avg((F.col("lum_diff") >= conf.luminance_spike_threshold).cast("double")), F.lit(0.0)).alias("luminance_spike_ratio"))
 
 
 def scene_cuts(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
     return pair_diffs(frames).where(F.col("diff") > conf.scene_cut_threshold).select("video_id", F.col("t").cast("double").alias("ts"), F.col("diff").alias("scene_score"))
 
 
-def video_signals(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
-    """A row of signals for each video with a measured window."""
+def video_signals(frames: DataFrame, conf: EngineConf = CONF, info: DataFrame | None = None) -> DataFrame:
+    """A row of signals for each video with a measured window.
+
+    ``info`` (video_id and any of width, height, fps, audio_mean_volume_db) gives what a probe and an audio log say; what
+    it lacks is null, and so is everything of it for videos that it doesn't have.
+    """
     w = motion_windows(frames, uniform(frames, conf), conf).where("status = 'completed'")
     motion = w.groupBy("video_id").agg(F.avg("mean_ratio").alias("mean_motion_intensity"), F.max("mean_ratio").alias("peak_motion_intensity"), (F.count_if("continuous") / F.count("*")).alias("continuous_motion_window_ratio"))
     cuts = scene_cuts(frames, conf).groupBy("video_id").agg(F.count("*").alias("scene_count"))
     s = durations(frames).join(motion, "video_id").join(cuts, "video_id", "left").join(spike_ratio(frames, conf), "video_id")
+    kinds = {"width": "int", "height": "int", "fps": "double", "audio_mean_volume_db": "double"}
+    told = info.select("video_id", *[F.col(c).cast(k).alias(f"_{c}") for c, k in kinds.items() if c in info.columns]) if info is not None else None
+    s = s if told is None else s.join(told, "video_id", "left")
+    of = lambda c: (F.col(f"_{c}") if f"_{c}" in s.columns else F.lit(None).cast(kinds[c])).alias(c)
     count, seconds = F.coalesce("scene_count", F.lit(0)), F.col("n").cast("double")
     return s.select(
         "video_id", F.round(count / F.greatest(seconds / 60.0, F.lit(1e-6)), 3).alias("shot_cut_rate_per_min"), count.cast("int").alias("scene_count"),
         F.round("mean_motion_intensity", 8).alias("mean_motion_intensity"), F.round("peak_motion_intensity", 6).alias("peak_motion_intensity"),
-        F.round("continuous_motion_window_ratio", 3).alias("continuous_motion_window_ratio"), F.lit(None).cast("double").alias("audio_mean_volume_db"),
+        F.round("continuous_motion_window_ratio", 3).alias("continuous_motion_window_ratio"), of("audio_mean_volume_db"),
         F.round("luminance_spike_ratio", 6).alias("luminance_spike_ratio"), seconds.alias("duration_seconds"),
-        F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(1.0).alias("fps"),
+        of("width"), of("height"), of("fps"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..conf import EngineConf
 from ..sources.views import durations
-from . import grids
+from . import grids, motion
 
 CONF = EngineConf()
 #: Fixed value: shorter fragments are no shots.
@@ -31,10 +31,9 @@ def shot_signals(frames: DataFrame, cuts: DataFrame, conf: EngineConf = CONF) ->
     s = shots(cuts, videos).withColumn("in_video", F.count("*").over(Window.partitionBy("video_id"))).join(videos, "video_id")
     points = s.withColumn("ts", F.explode(grids.shot_times(F.col("start_seconds"), F.col("end_seconds"), grids.per_shot(F.col("in_video"), conf))))
     got = grids.sampled(points, frames)
-    step = F.abs(F.col("lum") - F.lag("lum").over(Window.partitionBy("video_id", "index").orderBy("ts")))
-    got = got.withColumn("step", step)
+    got = motion.with_steps(got, Window.partitionBy("video_id", "index").orderBy("ts"), conf)
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return got.groupBy("video_id", "index", "start_seconds", "end_seconds").agg(
-        F.count("*").cast("int").alias("sampled_frames"), zero(F.avg("step")).alias("mean_motion_intensity"), zero(F.max("step")).alias("peak_motion_intensity"),
-        zero(F.avg((F.col("step") >= conf.luminance_spike_threshold).cast("double"))).alias("luminance_spike_ratio"), zero(F.max("step")).alias("luminance_delta_max"),
+        F.count("*").cast("int").alias("sampled_frames"), zero(F.avg("changed_ratio")).alias("mean_motion_intensity"), zero(F.max("changed_ratio")).alias("peak_motion_intensity"),
+        zero(F.avg((F.col("lum_diff") >= conf.luminance_spike_threshold).cast("double"))).alias("luminance_spike_ratio"), zero(F.max("lum_diff")).alias("luminance_delta_max"),
     ).withColumn("duration_seconds", F.round(F.col("end_seconds") - F.col("start_seconds"), 3))

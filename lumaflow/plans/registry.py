@@ -11,7 +11,7 @@ from ..conf import EngineConf
 from ..functions import books, scalars
 from ..operators import closed_set, fingerprints, gate, grids, motion, narrative, planner, platforms, storyboard, styles, titles
 from ..sources import media
-from ..sources.views import durations, pictures, table, timelines
+from ..sources.views import durations, gray_frames, pictures, table, timelines
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,10 +40,14 @@ ut AS (SELECT video_id, n, start, start + j AS ts FROM us, range(3) r(j) WHERE s
 ui AS (SELECT *, CAST(least(round_even(ts, 0), n - 1) AS BIGINT) AS t FROM ut),
 up AS (SELECT ui.video_id, ui.n, ui.start, abs(lum - lag(lum) OVER (PARTITION BY ui.video_id, ui.start ORDER BY ts)) AS d FROM ui JOIN fr ON ui.video_id = fr.video_id AND ui.t = fr.t),
 ws AS (SELECT video_id, n, start, {MEASURE} FROM up GROUP BY video_id, n, start HAVING count(*) >= 2)"""
+GRID = """lk AS (SELECT video_id, n, least(120, greatest(2, n)) AS k FROM n),
+lt AS (SELECT video_id, n, round(i * (n::DOUBLE / k) + (n::DOUBLE / k) / 2, 3) AS ts FROM lk, range(120) r(i) WHERE i < k AND round(i * (n::DOUBLE / k) + (n::DOUBLE / k) / 2, 3) < n),
+ld AS (SELECT lt.video_id, abs(lum - lag(lum) OVER (PARTITION BY lt.video_id ORDER BY ts)) AS d FROM lt JOIN fr ON lt.video_id = fr.video_id AND fr.t = CAST(least(round_even(ts, 0), n - 1) AS BIGINT)),
+sp AS (SELECT video_id, round(coalesce(avg(CAST(d >= 0.12 AS DOUBLE)), 0), 6) AS luminance_spike_ratio FROM ld GROUP BY video_id)"""
 SIG = f"""{WS},
 mo AS (SELECT video_id, round(avg(mean), 8) AS mean_motion_intensity, round(max(mean), 6) AS peak_motion_intensity, round(CAST(count(*) FILTER (active = pairs) AS DOUBLE) / count(*), 3) AS continuous_motion_window_ratio FROM ws GROUP BY video_id),
 cu AS (SELECT video_id, count(*) AS c FROM pr WHERE d > 0.3 GROUP BY video_id),
-sp AS (SELECT video_id, round(coalesce(avg(CAST(d >= 0.12 AS DOUBLE)), 0), 6) AS luminance_spike_ratio FROM pr GROUP BY video_id),
+{GRID},
 sig AS (SELECT n.video_id, round(coalesce(c, 0) / greatest(n / 60.0, 1e-6), 3) AS shot_cut_rate_per_min, coalesce(c, 0) AS scene_count, mean_motion_intensity, peak_motion_intensity, continuous_motion_window_ratio, luminance_spike_ratio, CAST(n AS DOUBLE) AS duration_seconds
         FROM n JOIN mo USING (video_id) LEFT JOIN cu USING (video_id) JOIN sp USING (video_id))"""
 CAND = f"""{WS},
@@ -93,9 +97,32 @@ def pixel_pair_change(spark, d):
     return p.select("video_id", "t", F.round(mean, 6).alias("mean_diff"), F.round(changed, 6).alias("changed_ratio"))
 
 
-@query(f"WITH {FR} SELECT video_id, t, CAST(t + j AS DOUBLE) AS ts FROM fr, range(3) r(j) WHERE t % 5 = 0 AND t + 2 < (SELECT n FROM n WHERE n.video_id = fr.video_id)")
+PIX = """q AS (SELECT video_id, t, t // 3 * 3.0 AS start, v, lag(v) OVER (PARTITION BY video_id, t // 3 ORDER BY t) AS u FROM px),
+z AS (SELECT video_id, CAST(start AS DOUBLE) AS start, t, u IS NOT NULL AS pair, CASE WHEN u IS NOT NULL THEN list_aggregate(list_transform(list_zip(u, v), lambda p: abs(p[2] - p[1])), 'avg') END AS m,
+             CASE WHEN u IS NOT NULL THEN list_aggregate(list_transform(list_zip(u, v), lambda p: CASE WHEN abs(p[2] - p[1]) >= least_change THEN 1.0 ELSE 0.0 END), 'avg') END AS c, abs(list_aggregate(v, 'avg') - list_aggregate(u, 'avg')) AS l FROM q, one),
+mw AS (SELECT video_id, start, count(*) AS samples, count(c) AS pairs, count(*) FILTER (c >= 0.05) AS active, coalesce(bool_or(c >= 0.65 AND m >= 0.35), false) AS abrupt, avg(c) AS mean, max(c) AS peak, avg(m) AS difference, avg(CAST(l >= 0.12 AS DOUBLE)) AS spike FROM z GROUP BY video_id, start)"""
+PIXEL_WINDOWS = f"SELECT video_id, start, samples, active AS active_pairs, round(mean, 6) AS mean_ratio, round(peak, 6) AS peak_ratio, round(difference, 6) AS mean_difference, round(spike, 6) AS spike, CASE WHEN pairs > 0 THEN {PATTERN} END AS pattern FROM mw"
+
+
+def _pixel_windows(frames: DataFrame) -> DataFrame:
+    w = motion.motion_windows(frames, motion.tumbling(frames))
+    six = lambda c: F.round(c, 6).alias(c)
+    return w.select("video_id", "start", "samples", "active_pairs", six("mean_ratio"), six("peak_ratio"), six("mean_difference"), six("spike"), "pattern")
+
+
+@query(f"WITH {PX}, one AS (SELECT 0.1 AS least_change), {PIX} {PIXEL_WINDOWS}")
+def pixel_window_summary(spark, d):
+    return _pixel_windows(pictures(spark, d))
+
+
+@query(f"WITH {PX.replace('CAST(x AS DOUBLE)', 'greatest(0.0, least(255.0, round_even((CAST(x AS DOUBLE) + 0.5) * 255, 0))) / 255')}, one AS (SELECT 0.1 AS least_change), {PIX} {PIXEL_WINDOWS}")
+def gray_window_summary(spark, d):
+    return _pixel_windows(gray_frames(spark, d))
+
+
+@query(f"WITH {FR} SELECT video_id, t, CAST(t + j AS DOUBLE) AS ts FROM fr JOIN n USING (video_id), range(3) r(j) WHERE t + j < n")
 def window_timestamps(spark, d):
-    f = timelines(spark, d).join(durations(timelines(spark, d)), "video_id").where("t % 5 = 0 AND t + 2 < n")
+    f = timelines(spark, d).join(durations(timelines(spark, d)), "video_id")
     return f.select("video_id", "t", F.explode(grids.window_times(F.col("t").cast("double"), F.col("n").cast("double"))).alias("ts"))
 
 
@@ -121,7 +148,7 @@ def motion_window_summary(spark, d):
     return w.select("video_id", "start", "samples", "pairs", "active_pairs", F.round("mean_ratio", 6).alias("mean_ratio"), F.round("peak_ratio", 6).alias("peak_ratio"), "pattern", "status")
 
 
-@query(f"WITH {FR} SELECT video_id, round(coalesce(avg(CAST(d >= 0.12 AS DOUBLE)), 0), 6) AS luminance_spike_ratio FROM pr GROUP BY video_id")
+@query(f"WITH {FR}, {GRID} SELECT * FROM sp")
 def luminance_spike_ratio(spark, d):
     return motion.spike_ratio(timelines(spark, d)).withColumn("luminance_spike_ratio", F.round("luminance_spike_ratio", 6))
 
@@ -270,19 +297,33 @@ def ahash_fingerprint(spark, d):
     return pictures(spark, d).select("video_id", "t", scalars.hex16(fingerprints.average_hash(F.col("px"))).alias("fingerprint"))
 
 
+PRINTS = f"""WITH {PX}, pn AS (SELECT video_id, count(*) AS n FROM px GROUP BY video_id), pk AS (SELECT video_id, n, greatest(4, least(24, greatest(4, n))) AS k FROM pn),
+pt AS (SELECT video_id, i, CAST(least(round_even(round(n * (i + 0.5) / k, 3), 0), n - 1) AS BIGINT) AS t FROM pk, range(24) r(i) WHERE i < k),
+b AS (SELECT px.video_id, pt.i, list_transform(v, lambda x: CASE WHEN x > list_aggregate(v, 'sum') / 64 THEN 1 ELSE 0 END) AS bits FROM px JOIN pt ON px.video_id = pt.video_id AND px.t = pt.t),
+rf AS (SELECT p.video_id AS a, q.video_id AS b FROM pn p, range(1, 9) r(k), pn q WHERE q.video_id = (p.video_id + k) % 10),
+m AS (SELECT rf.a, rf.b, p.i AS ta, q.i AS tb, 1 - list_aggregate(list_transform(list_zip(p.bits, q.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END), 'sum') / 64.0 AS s FROM rf JOIN b p ON p.video_id = rf.a JOIN b q ON q.video_id = rf.b),
+l AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, ta, max(s) AS s FROM m GROUP BY a, b, ta) GROUP BY a, b), r AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, tb, max(s) AS s FROM m GROUP BY a, b, tb) GROUP BY a, b),
+fs AS (SELECT l.a, l.b, round(least(l.s, r.s), 6) AS similarity FROM l JOIN r ON l.a = r.a AND l.b = r.b)"""
+
+
 def _prints(spark, d):
-    return pictures(spark, d).where("t < 16").select("video_id", fingerprints.average_hash(F.col("px")).alias("hash"))
+    """Hashes of frames spread evenly over each video's whole length."""
+    p = pictures(spark, d)
+    points = durations(p).select("video_id", "n", F.explode(grids.uniform_times(F.col("n").cast("double"), 24)).alias("ts"))
+    return grids.sampled(points, p).select("video_id", fingerprints.average_hash(F.col("px")).alias("hash"))
 
 
-@query(f"""WITH {PX}, b AS (SELECT video_id, t, list_transform(v, lambda x: CASE WHEN x > list_aggregate(v, 'sum') / 64 THEN 1 ELSE 0 END) AS bits FROM px WHERE t + 0 < 16),
-m AS (SELECT p.video_id AS a, q.video_id AS b, p.t AS ta, q.t AS tb, 1 - list_aggregate(list_transform(list_zip(p.bits, q.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END), 'sum') / 64.0 AS s FROM b p JOIN b q ON q.video_id = p.video_id + 1),
-l AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, ta, max(s) AS s FROM m GROUP BY a, b, ta) GROUP BY a, b), r AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, tb, max(s) AS s FROM m GROUP BY a, b, tb) GROUP BY a, b)
-SELECT l.a, l.b, round(least(l.s, r.s), 6) AS similarity FROM l JOIN r ON l.a = r.a AND l.b = r.b""")
-def fingerprint_similarity(spark, d):
+def _similar(spark, d):
+    """Each video against eight given references: those of the eight numbers after its own, in a ring of ten."""
     p = _prints(spark, d)
-    v = p.select(F.col("video_id").alias("a")).distinct()
-    pairs = v.join(p.select(F.col("video_id").alias("b")).distinct(), F.col("b") == F.col("a") + 1)
-    return fingerprints.similarity(pairs, p)
+    v = p.select("video_id").distinct()
+    pairs = v.select(F.col("video_id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select("a", F.pmod(F.col("a") + F.col("k"), F.lit(10)).alias("b"))
+    return fingerprints.similarity(pairs.join(v.withColumnRenamed("video_id", "b"), "b"), p)
+
+
+@query(f"{PRINTS} SELECT * FROM fs")
+def fingerprint_similarity(spark, d):
+    return _similar(spark, d)
 
 
 OVER = f"""WITH {PX}, pi AS (SELECT video_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM px), ps AS (SELECT video_id, i, i // 8 AS r, i % 8 AS c, var_pop(x) < 0.002 AS st, avg(x) < 0.08 AS dk FROM pi GROUP BY video_id, i),
@@ -295,9 +336,10 @@ def static_overlay(spark, d):
     return fingerprints.static_overlay(pictures(spark, d))
 
 
-@query(f"{OVER} , x AS (SELECT *, round(CAST(0.70 AS DOUBLE) + CAST(0.03 AS DOUBLE) * video_id, 6) AS similarity, greatest(top_left, top_right, bottom_left, bottom_right) AS cm FROM ov JOIN bb USING (video_id)) SELECT video_id, similarity, CASE WHEN similarity >= 0.9 THEN 'block' WHEN similarity >= 0.75 OR cm >= 0.55 OR black_bar_ratio >= 0.12 THEN 'review' ELSE 'pass' END AS verdict, array_to_string(list_filter([CASE WHEN similarity >= 0.9 THEN 'near_duplicate' WHEN similarity >= 0.75 THEN 'high_similarity' END, CASE WHEN cm >= 0.55 THEN 'suspected_watermark_residual' END, CASE WHEN black_bar_ratio >= 0.12 THEN 'suspected_black_bars' END], lambda f: f IS NOT NULL), ',') AS flags FROM x")
+@query(f"{PRINTS}, {OVER.removeprefix(f'WITH {PX}, ')}, ms AS (SELECT a AS video_id, max(similarity) AS similarity FROM fs GROUP BY a), x AS (SELECT *, greatest(top_left, top_right, bottom_left, bottom_right) AS cm FROM ov JOIN bb USING (video_id) JOIN ms USING (video_id)) SELECT video_id, similarity, CASE WHEN similarity >= 0.9 THEN 'block' WHEN similarity >= 0.75 OR cm >= 0.55 OR black_bar_ratio >= 0.12 THEN 'review' ELSE 'pass' END AS verdict, array_to_string(list_filter([CASE WHEN similarity >= 0.9 THEN 'near_duplicate' WHEN similarity >= 0.75 THEN 'high_similarity' END, CASE WHEN cm >= 0.55 THEN 'suspected_watermark_residual' END, CASE WHEN black_bar_ratio >= 0.12 THEN 'suspected_black_bars' END], lambda f: f IS NOT NULL), ',') AS flags FROM x")
 def dedup_verdict(spark, d):
-    o = fingerprints.static_overlay(pictures(spark, d)).withColumn("similarity", F.round(0.70 + 0.03 * F.col("video_id"), 6))
+    most = _similar(spark, d).groupBy(F.col("a").alias("video_id")).agg(F.max("similarity").alias("similarity"))
+    o = fingerprints.static_overlay(pictures(spark, d)).join(most, "video_id")
     return fingerprints.verdict(o, books.DEDUP_THRESHOLDS).select("video_id", "similarity", "verdict", F.array_join("flags", ",").alias("flags"))
 
 

@@ -24,6 +24,13 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").cast("long").alias("video_id"), t.cast("long").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("px"))
 
 
+def gray_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, t, height, width, gray): the same frames as 8-bit pixels, row by row."""
+    level = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.bround((x + 0.5) * 255, 0))).cast("int")
+    gray = F.unhex(F.array_join(F.transform("px", lambda x: F.lpad(F.hex(level(x)), 2, "0")), ""))
+    return pictures(spark, sf_dir).select("video_id", "t", F.lit(8).alias("height"), F.lit(8).alias("width"), gray.alias("gray"))
+
+
 def durations(frames: DataFrame) -> DataFrame:
     """(video_id, n): frames of a video, which are its seconds."""
     return frames.groupBy("video_id").agg(F.count("*").alias("n"))

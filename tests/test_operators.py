@@ -3,11 +3,11 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumaflow.functions import books, scalars
-from lumaflow.operators import fingerprints, grids, motion, narrative, planner, storyboard, titles
-from lumaflow.operators.narrative import Piece
+from lumaflow.operators import closed_set, fingerprints, grids, motion, narrative, planner, storyboard, titles
 from lumaflow.sources import media
 
 STORY = books.narratives()
@@ -104,48 +104,97 @@ def test_choice_is_greedy(windows, target):
     assert [windows[k][:2] for k in got] == have
 
 
-def piece(start, end, score=0.5, target="t", kind="shot", shot=None):
-    return Piece(float(start), float(end), score, kind, target, frozenset([shot if shot is not None else int(start * 100)]), (target,))
+SEGMENTS = "video_id int, position int, start_seconds double, end_seconds double, score double, shot_indexes array<int>, target_ids array<string>, role string"
+MATCHES = "video_id int, target_pos int, target_id string, kind string, shot_indexes array<int>, start_seconds double, end_seconds double, score double"
 
 
-def test_rhythm():
-    runs, dropped = narrative.steadied([piece(0, 3), piece(10, 10.5), piece(20, 20.4), piece(30, 33)], STORY)
-    assert len(runs) == 4 and not dropped
-    alone, dropped = narrative.steadied([piece(0, 3), piece(10, 10.5), piece(30, 33)], STORY)
-    assert len(alone) == 2 and dropped == 1
-    before, dropped = narrative.steadied([piece(0, 3), piece(3, 3.5), piece(30, 33)], STORY)
-    assert before[0].end == 3.5 and not dropped
-    after, dropped = narrative.steadied([piece(10, 10.5), piece(10.5, 13)], STORY)
-    assert [(p.start, p.end) for p in after] == [(10.0, 13.0)] and not dropped
+def steady(spark, *videos, book=STORY):
+    rows = [(v, k, float(a), float(b), 0.5, [k], [f"t{k}"], "opening" if k == 0 else "body") for v, pieces in enumerate(videos) for k, (a, b) in enumerate(pieces)]
+    return {r["video_id"]: ([(p["start"], p["end"], p["role"], p["shots"]) for p in r["pieces"]], r["dropped"]) for r in narrative.steadied(spark.createDataFrame(rows, SEGMENTS), book).collect()}
 
 
-def test_chain_goes_to_what_is_near():
-    opener, near, far = piece(50, 53, 0.9), piece(55, 57, 0.4), piece(5, 8, 0.5, "u")
-    assert [p.start for p in narrative.chain(opener, [far, near])] == [50, 55, 5]
+def test_rhythm(spark):
+    got = steady(spark, [(0, 3), (10, 10.5), (20, 20.4), (30, 33)], [(0, 3), (10, 10.5), (30, 33)], [(0, 3), (3, 3.5), (30, 33)], [(10, 10.5), (10.5, 13)], [(0, 3), (9, 9.5)])
+    assert len(got[0][0]) == 4 and got[0][1] == 0
+    assert len(got[1][0]) == 2 and got[1][1] == 1
+    assert got[2] == ([(0.0, 3.5, "opening", [0, 1]), (30.0, 33.0, "body", [2])], 0)
+    # what is carried forward takes the receiver's role
+    assert got[3] == ([(10.0, 13.0, "body", [0, 1])], 0)
+    assert got[4] == ([(0.0, 3.0, "opening", [0])], 1)
 
 
-def test_templates():
-    pieces = [piece(0, 4, 0.2), piece(5, 9, 0.9), piece(10, 14, 0.4, "p", "pair")]
-    pieces.sort(key=lambda p: -p.score)
-    first = lambda t: narrative.tell(pieces, STORY, t)[0][0]
-    assert first("linear").start == 0 and first("linear").role == "body"
-    assert first("hook_first").start == 5 and first("hook_first").role == "opening"
-    assert first("twist_bridge").kind == "pair"
-    assert narrative.tell([], STORY, "linear")[0] == []
-    with pytest.raises(ValueError):
-        narrative.tell(pieces, STORY, "nope")
+def told(spark, pieces, template, target=15.0, interleave=False, book=STORY):
+    rows = [(1, k, t, kind, [shot], float(a), float(b), s) for k, (a, b, s, t, kind, shot) in enumerate(pieces)]
+    r = narrative.tell(spark.createDataFrame(rows, MATCHES), book, template, target, interleave).collect()
+    return ([(p["start"], p["role"]) for p in r[0]["pieces"]], r[0]["notes"]) if r else ([], [])
+
+
+def test_chain_goes_to_what_is_near(spark):
+    pieces = [(50, 53, 0.9, "t", "shot", 1), (5, 8, 0.5, "u", "shot", 2), (55, 57, 0.4, "t", "shot", 3)]
+    assert [s for s, _ in told(spark, pieces, "hook_first")[0]] == [50, 55, 5]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 60), st.floats(0.2, 6), st.floats(0, 1)), min_size=1, max_size=10), st.sampled_from(["linear", "hook_first", "twist_bridge"]), st.booleans())
-def test_timelines_keep_their_limits(raw, template, interleave):
-    pieces = sorted((piece(a, a + d, s, shot=k) for k, (a, d, s) in enumerate(raw)), key=lambda p: -p.score)
-    out, _ = narrative.tell(pieces, STORY, template, 15.0, interleave)
-    shots = [s for p in out for s in p.shots]
-    assert len(shots) == len(set(shots))
-    short = [p.length < STORY.min_shot_seconds for p in out]
-    assert sum(p.length for p in out) <= 15.0 + 60 * any(len(p.shots) > 1 for p in out) + 1e-3
-    assert len(out) <= len(pieces) and (not any(short) or len(out) >= 1)
+def test_templates(spark):
+    pieces = [(0, 4, 0.2, "t", "shot", 1), (5, 9, 0.9, "t", "shot", 2), (10, 14, 0.4, "p", "pair", 3)]
+    assert told(spark, pieces, "linear")[0][0] == (0.0, "body")
+    assert told(spark, pieces, "hook_first")[0][0] == (5.0, "opening")
+    assert told(spark, pieces, "twist_bridge") == ([(10.0, "opening")], [])
+    assert told(spark, pieces[:2], "twist_bridge") == ([(5.0, "opening"), (0.0, "body")], ["no pair matched; opened with the peak"])
+    assert told(spark, [], "linear") == ([], [])
+    from dataclasses import replace
+
+    assert "interleaving is disabled" in told(spark, pieces, "linear", interleave=True, book=replace(STORY, interleave=False))[1]
+    assert "timeline truncated to target duration" in told(spark, pieces, "linear", 4.0)[1]
+    # the tail of a quarter of a second goes after the cut
+    assert told(spark, [(0, 4, 0.2, "t", "shot", 1), (9, 12, 0.9, "t", "shot", 2)], "linear", 4.25) == ([(0.0, "body")], ["1 lone short pieces dropped"])
+    with pytest.raises(ValueError):
+        told(spark, pieces, "nope")
+
+
+def plain_chain(pieces):
+    """Re-sorting of all that is left, step by step."""
+    def related(a, b):
+        gap = max(0.0, b[0] - a[1], a[0] - b[1])
+        return max(0.0, 1 - gap / 10) + 0.5 * (a[3] == b[3]) + 0.25 * max(0.0, 1 - abs(a[2] - b[2]) / max(a[2], b[2], 1e-6))
+
+    left = sorted(pieces, key=lambda p: (-p[2], p[0]))
+    out = [left.pop(0)]
+    while left:
+        left.sort(key=lambda p: (-related(out[-1], p), -p[2]))
+        out.append(left.pop(0))
+    return [p[0] for p in out]
+
+
+def test_chains_of_many_videos(spark):
+    """Whole seconds and few scores and targets, so that ties abound."""
+    rng = random.Random(3)
+    videos = {v: [(float(4 * k), 4.0 * k + 2, rng.choice([0.2, 0.5, 0.5]), rng.choice("ab")) for k in rng.sample(range(40), rng.randrange(1, 14))] for v in range(60)}
+    rows = [(v, "ab".index(p[3]), p[3], "shot", [int(p[0])], p[0], p[1], p[2]) for v, ps in videos.items() for p in ps]
+    got = {}
+    for r in narrative.plan(spark.createDataFrame(rows, MATCHES), STORY, "hook_first", 1e9).orderBy("video_id", "position").collect():
+        got.setdefault(r["video_id"], []).append(r["start_seconds"])
+    assert got == {v: plain_chain(ps) for v, ps in videos.items()}
+
+
+def test_timelines_keep_their_limits(spark):
+    rng = random.Random(9)
+    rows, n = [], {}
+    for v in range(80):
+        cuts = sorted(rng.sample(range(0, 240), rng.randrange(2, 14)))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            rows.append((v, k % 3, f"t{k % 3}", rng.choice(["shot", "shot", "pair"]), [k], a / 4, b / 4, rng.random()))
+            n[v] = n.get(v, 0) + 1
+    d = spark.createDataFrame(rows, MATCHES)
+    for template in ("linear", "hook_first", "twist_bridge"):
+        for interleave in (False, True):
+            by = {}
+            for r in narrative.plan(d, STORY, template, 15.0, interleave).collect():
+                by.setdefault(r["video_id"], []).append(r)
+            for v, out in by.items():
+                shots = [s for r in out for s in r["shot_indexes"]]
+                assert len(shots) == len(set(shots)) and len(out) <= n[v]
+                assert sum(r["end_seconds"] - r["start_seconds"] for r in out) <= 15.0 + 1e-3
+                assert sorted(r["position"] for r in out) == list(range(len(out)))
 
 
 def test_average_hash(spark):
@@ -162,8 +211,11 @@ def test_likeness(spark):
     p = spark.createDataFrame([("a", 0), ("a", -1), ("b", 0)], "video_id string, hash long")
     s = fingerprints.similarity(spark.createDataFrame([("a", "b"), ("a", "z")], "a string, b string"), p).collect()
     assert {(r["a"], r["b"]): r["similarity"] for r in s} == {("a", "b"): 0.5, ("a", "z"): 0.0}
-    near = fingerprints.near_prints(spark.createDataFrame([("a", 0), ("b", 127), ("c", 0xFFFF)], "video_id string, hash long")).collect()
-    assert {(r["a"], r["b"]) for r in near} == {("a", "b")}
+    near = fingerprints.near_hashes(spark.createDataFrame([("a", 0), ("b", 127), ("c", 0xFFFF), ("d", 0)], "video_id string, hash long")).collect()
+    assert {(r["hash"], r["other"]) for r in near} == {(0, 127)}
+    many = spark.createDataFrame([("a", k) for k in range(65)] + [("b", 0)], "video_id string, hash long")
+    with pytest.raises(Exception, match="more frames"):
+        fingerprints.similarity(spark.createDataFrame([("a", "b")], "a string, b string"), many).collect()
 
 
 def test_verdicts(spark):
@@ -199,6 +251,46 @@ def test_reports(spark):
     assert one(spark, media.scene_cut_times(F.lit("x pts_time:4.5 y pts_time:1.25"))) == [1.25, 4.5]
     assert one(spark, media.mean_volume(F.lit("mean_volume: -23.4 dB"))) == -23.4
     assert one(spark, media.mean_volume(F.lit("nothing"))) is None
+    assert one(spark, media.scene_cut_times(F.lit("pts_time:x pts_time: 2\n pts_time:0.5\tpos"))) == [0.5, 2.0] and one(spark, media.scene_cut_times(F.lit(""))) == []
+
+
+FRAME = "video_id string, t long, height int, width int, gray binary"
+
+
+def test_gray_frames(spark):
+    """Frame pairs of all shapes, and a video of two shots: moving, then still."""
+    black, white = bytes(64), bytes([255] * 64)
+    half = bytes([255] * 32 + [0] * 32)
+    rows = [("same", 0, 8, 8, half), ("same", 1, 8, 8, half), ("flip", 0, 8, 8, black), ("flip", 1, 8, 8, white), ("half", 0, 8, 8, black), ("half", 1, 8, 8, half)]
+    w = Window.partitionBy("video_id").orderBy("t")
+    got = {r["video_id"]: (r["mean_diff"], r["changed_ratio"], r["lum_diff"]) for r in motion.with_steps(spark.createDataFrame(rows, FRAME), w).where("t = 1").collect()}
+    assert got == {"same": (0.0, 0.0, 0.0), "flip": (1.0, 1.0, 1.0), "half": (0.5, 0.5, 0.5)}
+    with pytest.raises(Exception, match="shape"):
+        motion.with_steps(spark.createDataFrame([("v", 0, 8, 8, black), ("v", 1, 8, 9, bytes(72))], FRAME), w).collect()
+    rng = random.Random(2)
+    video = [("v", t, 8, 8, bytes(rng.randrange(120) for _ in range(64)) if t < 6 else white) for t in range(12)]
+    info = spark.createDataFrame([("v", 1920, 1080, 25.0, -14.0)], "video_id string, width int, height int, fps double, audio_mean_volume_db double")
+    f = spark.createDataFrame(video, FRAME)
+    s = motion.video_signals(f, info=info).first()
+    assert (s["width"], s["height"], s["fps"], s["audio_mean_volume_db"], s["scene_count"]) == (1920, 1080, 25.0, -14.0, 1)
+    shots_ = storyboard.shot_signals(f, motion.scene_cuts(f)).orderBy("index").collect()
+    assert len(shots_) == 2 and shots_[0]["mean_motion_intensity"] > shots_[1]["mean_motion_intensity"] == 0
+    # a mean change without many changed pixels isn't abrupt, nor are many slight changes
+    two = lambda a, b: motion.motion_windows(d := spark.createDataFrame([("v", 0, 8, 8, a), ("v", 1, 8, 8, b)], FRAME), motion.tumbling(d)).first()
+    assert two(black, white)["pattern"] == "abrupt" and two(black, bytes([255] * 40 + [0] * 24))["pattern"] == "continuous"
+    assert two(black, bytes([60] * 64))["pattern"] == "continuous" and two(black, bytes([20] * 64))["pattern"] == "stable"
+
+
+def test_catalog_size(spark):
+    frames = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, v array<double>")
+    cat = lambda n: spark.createDataFrame([("mood", f"m{k}", [1.0, float(k)]) for k in range(n)], "question string, value string, v array<double>")
+    assert closed_set.answers(frames, cat(12)).first()["answer"] == "m0"
+    for n in (1, 13):
+        with pytest.raises(ValueError):
+            closed_set.answers(frames, cat(n))
+    # 0.09 is enough for a mood, not for an action
+    low = lambda q: closed_set.answers(frames, spark.createDataFrame([(q, "a", [0.09, 1.0]), (q, "b", [-1.0, 0.0])], "question string, value string, v array<double>")).first()["status"]
+    assert low("mood") == "answered" and low("action") == "abstained"
 
 
 def test_answers(spark):
