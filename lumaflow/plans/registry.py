@@ -235,30 +235,81 @@ def flash_runs(spark, d):
     return narrative.flash_runs(_shots(spark, d).withColumn("position", F.col("index")), replace(STORY, min_shot_seconds=2.0))
 
 
-@query()
+#: Pieces of each video, best first, for the oracles of timelines.
+PIECES = """pc AS (SELECT video_id, target_pos, {'s': start_seconds, 'e': end_seconds, 'sc': score, 'kind': kind, 'target': target_id, 'shots': shot_indexes, 'targets': list_distinct_in_order} AS p FROM md),
+pl AS (SELECT video_id, list(p ORDER BY p.sc DESC, p.s, target_pos) AS ps FROM pc GROUP BY video_id)"""
+
+
+def _told_sql(opening: bool, least: float, target: float = 15.0) -> str:
+    """CTEs from ``po`` (video_id, position, p) to ``fin`` (video_id, position, piece): no shot twice, the budget, the rhythm guard."""
+    hull = lambda x, y: f"{{'s': least({x}.s, {y}.s), 'e': greatest({x}.e, {y}.e), 'sc': greatest({x}.sc, {y}.sc), 'shots': list_sort(list_distinct(list_concat({x}.shots, {y}.shots))), 'targets': list_sort(list_distinct(list_concat({x}.targets, {y}.targets))), 'role': {x}.role}}"
+    touch = lambda x, y: f"least(abs({x}.s - {y}.e), abs({y}.s - {x}.e)) < 0.05"
+    role = "CASE WHEN position = 0 THEN 'opening' ELSE 'body' END" if opening else "'body'"
+    return f"""us1 AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS used, CAST([] AS BIGINT[]) AS kept FROM pl
+  UNION ALL SELECT u.video_id, u.k + 1, CASE WHEN list_has_any(u.used, po.p.shots) THEN u.used ELSE list_concat(u.used, po.p.shots) END, CASE WHEN list_has_any(u.used, po.p.shots) THEN u.kept ELSE list_append(u.kept, CAST(po.position AS BIGINT)) END FROM us1 u JOIN po ON po.video_id = u.video_id AND po.position = u.k),
+uk AS (SELECT video_id, unnest(kept) AS position FROM (SELECT video_id, max_by(kept, k) AS kept FROM us1 GROUP BY video_id)),
+un AS (SELECT po.video_id, row_number() OVER (PARTITION BY po.video_id ORDER BY position) - 1 AS position, p FROM po JOIN uk USING (video_id, position)),
+bu AS (SELECT *, {target} - coalesce(sum(p.e - p.s) OVER (PARTITION BY video_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM un),
+tr AS (SELECT video_id, position, {{'s': p.s, 'e': CASE WHEN p.e - p.s > room THEN round(p.s + room, 3) ELSE p.e END, 'sc': p.sc, 'shots': p.shots, 'targets': p.targets, 'role': {role}}} AS p FROM bu WHERE room > 0),
+sh AS (SELECT *, p.e - p.s < {least} AS short, lead(p) OVER (PARTITION BY video_id ORDER BY position) AS nx FROM tr),
+sr AS (SELECT *, sum(CASE WHEN short = pv THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY position) AS run FROM (SELECT *, lag(short) OVER (PARTITION BY video_id ORDER BY position) AS pv FROM sh)),
+sf2 AS (SELECT *, short AND count(*) OVER (PARTITION BY video_id, run) >= 2 AS flash FROM sr),
+gd AS (SELECT video_id, CAST(0 AS BIGINT) AS k, [p][:0] AS o, CASE WHEN false THEN p END AS held FROM sf2 WHERE position = 0
+  UNION ALL SELECT video_id, k + 1, CASE WHEN stays THEN list_append(o, own) WHEN joins THEN list_append(o[:-2], {hull('o[-1]', 'own')}) ELSE o END, CASE WHEN NOT stays AND NOT joins AND waits THEN own END
+  FROM (SELECT *, flash OR own.e - own.s >= {least} AS stays, len(o) > 0 AND {touch('o[-1]', 'own')} AS joins, nx IS NOT NULL AND {touch('own', 'nx')} AS waits
+        FROM (SELECT g.video_id, g.k, g.o, f.flash, f.nx, CASE WHEN g.held IS NULL THEN f.p ELSE {hull('f.p', 'g.held')} END AS own FROM gd g JOIN sf2 f ON f.video_id = g.video_id AND f.position = g.k))),
+fin AS (SELECT video_id, unnest(o) AS p, generate_subscripts(o, 1) - 1 AS position FROM (SELECT video_id, max_by(o, k) AS o FROM gd GROUP BY video_id))
+SELECT video_id, position, p.role AS role, p.s AS start_seconds, p.e AS end_seconds, p.sc AS score, array_to_string(p.targets, ',') AS target_ids FROM fin"""
+
+
+def _chain_sql(contrast: bool) -> str:
+    """CTE ``po``: always the piece most related to the one before; ties by score, then by the order of the step before."""
+    pair = "list_filter(ps, lambda x: x.kind = 'pair')" if contrast else "ps[:0]"
+    rel = "greatest(0.0, 1 - greatest(0.0, x.s - c.e, c.s - x.e) / 10.0) + CASE WHEN x.target = c.target THEN 0.5 ELSE 0.0 END + 0.25 * greatest(0.0, 1 - abs(x.sc - c.sc) / greatest(x.sc, c.sc, 1e-6))"
+    return f"""op AS (SELECT video_id, ps, coalesce({pair}[1], ps[1]) AS c, len({pair}) > 0 AS paired FROM pl),
+ch AS (SELECT video_id, CAST(0 AS BIGINT) AS k, c, list_filter(ps, lambda x: NOT (x.s = c.s AND x.e = c.e) AND (NOT paired OR x.s >= c.e)) AS rest FROM op
+  UNION ALL SELECT video_id, k + 1, so[1].p, list_transform(so[2:], lambda z: z.p) FROM (SELECT video_id, k, list_sort(list_transform(rest, lambda x, i: {{'r': -({rel}), 'sc': -x.sc, 'i': i, 'p': x}})) AS so FROM ch WHERE len(rest) > 0)),
+po AS (SELECT video_id, k AS position, c AS p FROM ch)"""
+
+
+STORY_SQL = f"WITH RECURSIVE {FR}, {SHOTS}, {MATCH}, {PIECES}"
+
+
+@query(f"{STORY_SQL}, {_chain_sql(False)}, {_told_sql(True, 1.0)}")
 def narrative_hook_chain(spark, d):
     return narrative.plan(_matches(spark, d), STORY, "hook_first").withColumn("target_ids", F.array_join("target_ids", ",")).drop("shot_indexes")
 
 
-@query()
+@query(f"{STORY_SQL}, {_chain_sql(True)}, {_told_sql(True, 1.0)}")
 def narrative_contrast_open(spark, d):
     return narrative.plan(_matches(spark, d), STORY, "twist_bridge").withColumn("target_ids", F.array_join("target_ids", ",")).drop("shot_indexes")
 
 
-@query()
+@query(f"""{STORY_SQL}, tc AS (SELECT video_id, p, row_number() OVER (PARTITION BY video_id ORDER BY p.s, p.sc DESC, target_pos) - 1 AS c FROM pc), th AS (SELECT *, count(*) OVER (PARTITION BY video_id) // 2 AS half FROM tc WHERE c < 6),
+po AS (SELECT video_id, p, CAST(CASE WHEN c < half THEN 2 * c WHEN c < 2 * half THEN 2 * (c - half) + 1 ELSE c END AS BIGINT) AS position FROM th), {_told_sql(False, 2.0)}""")
 def rhythm_guard(spark, d):
     from dataclasses import replace
 
     return narrative.plan(_matches(spark, d), replace(STORY, min_shot_seconds=2.0), "linear", 15.0, True).withColumn("target_ids", F.array_join("target_ids", ",")).drop("shot_indexes")
 
 
-@query()
+SEG = f"WITH {FR}, {CAND}, sg AS (SELECT video_id, start_seconds, start_seconds + duration_seconds AS end_seconds, score FROM cand), ia AS (SELECT *, CASE WHEN start_seconds <= max(end_seconds) OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS x FROM sg), ib AS (SELECT *, sum(x) OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM ia), im AS (SELECT video_id, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, max(score) AS score FROM ib GROUP BY video_id, k)"
+
+GREEDY = """gr AS (SELECT video_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s DOUBLE, e DOUBLE, sc DOUBLE)[]) AS l, CAST(0 AS DOUBLE) AS cov FROM n
+  UNION ALL SELECT video_id, k + 1, CASE WHEN take THEN nl ELSE l END, CASE WHEN take THEN nc ELSE cov END
+  FROM (SELECT *, duration_seconds >= 1.0 AND cov < 15.0 AND nc > cov + 1e-9 AS take
+        FROM (SELECT *, list_sum(list_transform(sl, lambda x, i: greatest(0.0, x.e - greatest(x.s, coalesce(list_max(list_transform(sl[:i - 1], lambda y: y.e)), x.s))))) AS nc
+              FROM (SELECT *, list_sort(nl) AS sl FROM (SELECT g.*, c.duration_seconds, list_append(g.l, {'s': c.start_seconds, 'e': c.start_seconds + c.duration_seconds, 'sc': c.score}) AS nl FROM gr g JOIN cand c ON c.video_id = g.video_id AND c.rank = g.k + 1)))))"""
+CHOSEN = "sg AS (SELECT video_id, w.s AS start_seconds, w.e AS end_seconds, w.sc AS score FROM (SELECT video_id, unnest(max_by(l, k)) AS w FROM gr GROUP BY video_id))"
+
+
+@query(f"""{SEG.replace('WITH ', 'WITH RECURSIVE ', 1).replace('sg AS (SELECT video_id, start_seconds, start_seconds + duration_seconds AS end_seconds, score FROM cand)', f'{GREEDY}, {CHOSEN}')},
+bl AS (SELECT *, 15.0 - coalesce(sum(end_seconds - start_seconds) OVER (PARTITION BY video_id ORDER BY start_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM im)
+SELECT video_id, start_seconds, CASE WHEN end_seconds - start_seconds > l THEN round(start_seconds + l, 3) ELSE end_seconds END AS end_seconds, score FROM bl WHERE l > 0 AND (end_seconds - start_seconds <= l OR l >= 1.0)""")
 def clip_plan_greedy(spark, d):
     return planner.plan_clips(motion.candidates(timelines(spark, d)))
 
 
-SEG = f"WITH {FR}, {CAND}, sg AS (SELECT video_id, start_seconds, start_seconds + duration_seconds AS end_seconds, score FROM cand), ia AS (SELECT *, CASE WHEN start_seconds <= max(end_seconds) OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS x FROM sg), ib AS (SELECT *, sum(x) OVER (PARTITION BY video_id ORDER BY start_seconds, end_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM ia), im AS (SELECT video_id, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, max(score) AS score FROM ib GROUP BY video_id, k)"
-
 
 def _segments(spark, d):
     c = motion.candidates(timelines(spark, d))
