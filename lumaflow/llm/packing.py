@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -12,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, prefix_sums
+from .common import cut, documents, prefix_sums, small_batches, texts_of
 
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Entries after which a worker's cache of encoded words starts anew.
-CACHE = 400_000
+#: Bytes after which a worker's cache of encoded words starts anew, and those that one entry takes besides its text.
+CACHE, ENTRY = 16 << 20, 200
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -30,6 +31,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """ids of a text as the byte-level BPE file of ``tokenizers`` gives them, as little-endian 32-bit bytes.
 
+    Where a text holds an added token of the file, that is its id, and what stands between is encoded by itself.
     Merges never cross a single space between two words, so words are encoded once and kept, with the space before
     them; the first word has none. Texts with a run of white space around a space are encoded whole. The merging itself
     is done by tiktoken over the file's own vocabulary, whose ids are its merge ranks: the same ids in a fifth of the
@@ -46,11 +48,14 @@ class Encoder:
         others = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         spec = json.load(open(path, encoding="utf-8"))
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.whole = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.starts = {i for t, i in ranks.items() if t[:1] == b" "}
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        self.added = {t: self.bytes_of([i]) for t, i in special.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     @staticmethod
     def bytes_of(ids: list[int]) -> bytes:
@@ -60,10 +65,16 @@ class Encoder:
         return out.tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.parts and self.parts.search(text):
+            return b"".join(self.added.get(part) or self.ordinary(part) for part in self.parts.split(text) if part)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         known = self.known
-        if len(known) > CACHE:
+        if self.held > CACHE:
             known.clear()
+            self.held = 0
         if new := [w for w in {*rest} if w not in known]:
             if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
                 return self.bytes_of(self.whole(text))
@@ -71,6 +82,7 @@ class Encoder:
             ids = self.whole(" " + " ".join(new))
             at = [i for i, x in enumerate(ids) if x in self.starts] + [len(ids)]
             known.update((w, self.bytes_of(ids[i:j])) for w, i, j in zip(new, at, at[1:]))
+            self.held += sum(map(len, new)) + 4 * len(ids) + ENTRY * len(new)
         if not first or first[-1].isspace():
             return self.bytes_of(self.whole(text))
         return self.bytes_of(self.whole(first)) + b"".join(map(known.__getitem__, rest))
@@ -86,8 +98,8 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: list[s
         encode = Encoder(path)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                ids = encode(t or "") + END_ID.to_bytes(4, "little")
+            for k, t in enumerate(texts_of(b.column(b.num_columns - 1))):
+                ids = encode(t) + END_ID.to_bytes(4, "little")
                 total = len(ids) // 4
                 first = (total - 1) % capacity + 1
                 for n, at in enumerate([0, *range(first, total, capacity)]):
@@ -198,4 +210,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None =
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences. Null or empty text: one piece, the end id alone. Repeated rows and equal keys are pieces of their own; null doc_ids stay null. No documents: no rows."""
+    small_batches(spark)
     return pack(tokenized(documents(spark, sf_dir), tokenizer_path())).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
