@@ -4,31 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_batches, texts_of
 
 #: Fixed by the contract: exact phrases and their labels.
 BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
-#: Short notices (folded: lower case, words parted by a space) and the labels they give.
+#: Short notices (folded: lower case, words parted by a space), the labels they give, and the words that tell a notice
+#: from those of other licences: these must stand in the text unedited, in this order.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "released under the terms of the mit license": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "this work is licensed under the gnu general public license": "gpl",
-    "under the terms of the gnu general public license": "gpl",
-    "under the terms of the gnu lesser general public license": "lgpl",
-    "subject to the terms of the mozilla public license": "mpl",
-    "licensed under a creative commons attribution": "cc-by",
-    "this work is licensed under cc by": "cc-by",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "dedicated to the public domain": "public-domain",
-    "no part of this publication may be reproduced": "reserved",
-    "unauthorized copying of this file is strictly prohibited": "proprietary",
+    "licensed under the apache license version 2 0": ("apache-2.0", "apache version 2 0"),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", ""),
+    "released under the terms of the mit license": ("mit", "mit"),
+    "redistribution and use in source and binary forms": ("bsd", "source binary"),
+    "this work is licensed under the gnu general public license": ("gpl", "gnu general"),
+    "under the terms of the gnu general public license": ("gpl", "gnu general"),
+    "under the terms of the gnu lesser general public license": ("lgpl", "gnu lesser"),
+    "subject to the terms of the mozilla public license": ("mpl", "mozilla"),
+    "licensed under a creative commons attribution": ("cc-by", "creative commons attribution"),
+    "this work is licensed under cc by": ("cc-by", "cc by"),
+    "creative commons attribution sharealike": ("cc-by-sa", "creative commons sharealike"),
+    "creative commons attribution noncommercial": ("cc-by-nc", "creative commons noncommercial"),
+    "dedicated to the public domain": ("public-domain", "public domain"),
+    "no part of this publication may be reproduced": ("reserved", "no part"),
+    "unauthorized copying of this file is strictly prohibited": ("proprietary", "unauthorized prohibited"),
 }
 #: A notice of n characters may have n // SPAN edits (insertions, deletions, substitutions), one at least.
 SPAN = 12
@@ -47,16 +49,16 @@ class Scanner:
     of a notice can't hold it; only the surroundings of a piece are matched with errors.
     """
 
-    def __init__(self, notices: dict[str, str] = NOTICES, span: int = SPAN):
+    def __init__(self, notices: dict[str, tuple[str, str]] = NOTICES, span: int = SPAN):
         import ahocorasick
         import regex
 
         self.notices, seeds = [], {}
-        for text, label in notices.items():
+        for text, (label, telling) in notices.items():
             k = max(1, len(text) // span)
             cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
             n = len(self.notices)
-            self.notices.append((text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")))
+            self.notices.append((text, label, telling.split(), k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")))
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((n, a))
         self.seeds = ahocorasick.Automaton()
@@ -65,22 +67,43 @@ class Scanner:
         self.seeds.make_automaton()
 
     def __call__(self, folded: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, edits, likeness) of the notices found; a place counts once for each notice."""
+        """(label, start, end, edits, likeness) of the notices found; a place counts once for each notice.
+
+        Edits may touch all words but a notice's telling ones: those stand whole and in order in the words of the match.
+        """
         found, done = [], {}
         for end, (length, of) in self.seeds.iter(folded):
             for n, at in of:
-                text, label, k, pattern = self.notices[n]
+                text, label, telling, k, pattern = self.notices[n]
                 start = end - length + 1 - at
                 if start < done.get(n, -1):
                     continue
                 low = max(0, start - k)
                 if m := pattern.search(folded, low, min(len(folded), start + len(text) + k)):
-                    done[n] = m.end()
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(text)))
+                    words = iter(folded[folded.rfind(" ", 0, m.start() + 1) + 1 : (folded + " ").find(" ", max(m.end() - 1, 0))].split())
+                    if all(w in words for w in telling):
+                        done[n] = m.end()
+                        edits = sum(m.fuzzy_counts)
+                        found.append((label, m.start(), m.end(), edits, 1 - edits / len(text)))
         return found
 
 
+def word_numbers(text: str, places: list[int]) -> list[int]:
+    """The number, from 0, of the word at each place of a folded text (a space belongs to the word after it)."""
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+    return (np.searchsorted(spaces, np.asarray(places, np.int64), side="right") - 1).tolist()
+
+
+def base_places(folded: bytes, phrase: bytes) -> list[int]:
+    """Numbers of the words at which the phrase starts; each byte is looked at twice at most."""
+    out, word, seen, at = [], 0, 0, folded.find(b" " + phrase + b" ")
+    while at >= 0:
+        word += folded.count(b" ", seen, at)
+        out.append(word)
+        seen, at = at, folded.find(b" " + phrase + b" ", at + 1)
+    return out
+
+
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
@@ -94,19 +117,18 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
         span = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())])
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for t in b.column(b.num_columns - 1).to_pylist():
-                folded = fold(t or "")
+            for t in texts_of(b.column(b.num_columns - 1)):
+                folded = fold(t)
                 n_words = folded.count(b" ") - 1 if len(folded) > 2 else 0
                 starts, base = [], set()
                 for phrase, label in BASE.items():
-                    at = folded.find(b" " + phrase + b" ")
-                    while at >= 0:
-                        starts.append(folded.count(b" ", 0, at))
+                    if at := base_places(folded, phrase):
+                        starts += at
                         base.add(label)
-                        at = folded.find(b" " + phrase + b" ", at + 1)
                 text = folded.decode("utf-8", "surrogatepass")
                 hits = scanner(text)
-                spans = [{"label": l, "first_word": text.count(" ", 0, a + 1) - 1 if text[a] != " " else text.count(" ", 0, a), "last_word": text.count(" ", 0, len(text[:e].rstrip())) - 1, "edits": d} for l, a, e, d, _ in hits]
+                ends = word_numbers(text, [p for _, a, e, *_ in hits for p in (a, a + len(text[a:e].rstrip()) - 1)]) if hits else []
+                spans = [{"label": h[0], "first_word": i, "last_word": j, "edits": h[3]} for h, i, j in zip(hits, ends[::2], ends[1::2])]
                 every = base | {h[0] for h in hits}
                 values = (n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(every)), 1.0 if base else max((h[4] for h in hits), default=0.0), spans)
                 for column, v in zip(out, values):
@@ -119,4 +141,5 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return scan(documents(spark, sf_dir), ["doc_id"]).drop("spans")
