@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,45 +11,32 @@ from .common import cut, documents, prefix_sums
 
 #: A tree of regions of racks of shards; a leaf is (number, weight). Racks and regions weigh what their shards weigh.
 Tree = list[list[list[tuple[int, float]]]]
-#: Shards in a rack and racks in a region of the default tree: 40 shards are two full regions.
+#: Shards in a rack and racks in a region of the default tree.
 RACK, REGION = 5, 4
 #: Leading hexadecimal digits of the order key in a shard: 4096 ranges of each.
 RANGE_DIGITS = 3
 
 
 def tree(shards: int, weights: dict[int, float] | None = None, rack: int = RACK, region: int = REGION) -> Tree:
-    """Shards in order fill racks, racks fill regions. One more shard after full regions opens a region of its own."""
+    """Shards in order fill racks, racks fill regions."""
     leaves = [(k, (weights or {}).get(k, 1.0)) for k in range(shards)]
     racks = [leaves[i : i + rack] for i in range(0, shards, rack)]
     return [racks[i : i + region] for i in range(0, len(racks), region)]
 
 
-def _draw(key: Column, path: list[Column], weights: list[float]) -> Column:
-    """The child with the least -ln(u) / weight, u a uniform hash of key, path and child: weighted rendezvous hashing.
+def shard_of(key: Column, t: Tree) -> Column:
+    """Descends region, rack and shard, each time to the child with the least draw.
 
-    A child's draw depends on nothing but itself, so a child that comes or gains weight only takes keys, and one that
-    goes or loses weight only gives keys; all others keep theirs.
+    A leaf's draw is -ln(u) / weight, u a uniform hash of key and shard: an exponential clock of the leaf's weight. A
+    rack's draw is the least of its leaves' draws, a region's the least of its racks', which makes each the clock of its
+    whole weight. A draw depends on the leaves below it alone, so keys move only out of subtrees that lose weight and
+    into leaves that come or gain weight, whatever the number of shards and wherever they stand; all others stay.
     """
-    if len(weights) == 1:
-        return F.lit(0)
-    def u(i: int) -> Column:
-        digits = F.substring(F.md5(F.concat_ws("/", key, *path, F.lit(str(i)))), 1, 12)
-        return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
-    draws = F.array(*[F.struct((-F.log(u(i)) / F.lit(w)).alias("d"), F.lit(i).alias("i")) for i, w in enumerate(weights)])
-    return F.array_min(draws)["i"]
-
-
-def shard_of(key: Column, t: Tree) -> Column:
-    """Descends region, rack and shard. Only keys of a subtree whose weights change can move, and into what grew."""
-    weigh = lambda x: sum(map(weigh, x)) if isinstance(x, list) else x[1]
-    out, regions = F.lit(None).cast("int"), _draw(key, [F.lit("g")], [weigh(g) for g in t])
-    for g, racks in enumerate(t):
-        inner, chosen = F.lit(None).cast("int"), _draw(key, [F.lit("r"), F.lit(str(g))], [weigh(r) for r in racks])
-        for r, leaves in enumerate(racks):
-            leaf = F.element_at(F.array(*[F.lit(k) for k, _ in leaves]), _draw(key, [F.lit("s"), F.lit(f"{g}.{r}")], [w for _, w in leaves]) + 1)
-            inner = F.when(chosen == r, leaf).otherwise(inner)
-        out = F.when(regions == g, inner).otherwise(out)
-    return out.cast("int")
+    leaves = F.from_json(F.lit(json.dumps([[[{"s": k, "w": w} for k, w in rack] for rack in region] for region in t])), "array<array<array<struct<s:int,w:double>>>>")
+    u = lambda x: (F.shiftrightunsigned(F.xxhash64(key, x["s"]), 11) + 0.5) / float(1 << 53)
+    drawn = F.transform(leaves, lambda region: F.transform(region, lambda rack: F.transform(rack, lambda x: F.struct((-F.log(u(x)) / x["w"]).alias("draw"), x["s"].alias("shard")))))
+    regions = F.transform(drawn, lambda region: F.array_min(F.transform(region, lambda rack: F.array_min(rack))))
+    return F.array_min(regions)["shard"]
 
 
 def assign(docs: DataFrame, t: Tree, grown: Tree | None = None) -> DataFrame:
