@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, partitions
+from .common import components, cut, documents, partitions, small_batches, texts_of
 from .shingles import SIZE, Shingler, set_id, sets_of, verified
 
 #: Permutations, rows of a band, and the likeness from which documents are near duplicates.
@@ -56,14 +56,24 @@ def neighbours(docs: DataFrame, n: int) -> DataFrame:
     without looking at the other: it is the document at which the next range begins (after the last, the very first).
     Order: doc_id descending, null last, then text.
     """
-    ids = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000).alias("at"), F.max("doc_id").alias("top")).first()
-    at = np.array(sorted({*(ids["at"] or [])}) if n > 1 else [], np.int64)
-    ranges, top = len(at) + 1, ids["top"]
+    id_ = F.col("doc_id").cast("long")
+    near = docs.select(F.percentile_approx(id_, F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)), 10_000).alias("at")).first()["at"]
+    near = np.array(sorted({*(near or [])}) if n > 1 else [], np.int64)
+
+    @F.pandas_udf("int")
+    def about(known: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(near, known.to_numpy(np.int64), side="right").astype(np.int32))
+
+    # quantiles pass through doubles; the greatest id of each range is one that exists
+    tops = sorted(r["top"] for r in docs.where("doc_id IS NOT NULL").groupBy(about(id_)).agg(F.max(id_).alias("top")).collect())
+    top = tops.pop() if tops else None
+    at = np.array(tops, np.int64)
+    ranges = len(at) + 1
 
     @F.pandas_udf("array<int>")
-    def dealt(doc_id: pd.Series) -> pd.Series:
-        null = doc_id.isna().to_numpy()
-        v = doc_id.fillna(0).astype("int64").to_numpy()
+    def dealt(known: pd.Series, none: pd.Series) -> pd.Series:
+        # pandas would make a column of longs with nulls one of doubles: nulls come as a column of their own
+        v, null = known.to_numpy(np.int64), none.to_numpy(bool)
         # ranges go from the greatest ids down; a boundary opens the range below the greater ids
         own = np.where(null, ranges - 1, len(at) - np.searchsorted(at, v, side="left"))
         opens = np.isin(v, at) & ~null
@@ -71,7 +81,7 @@ def neighbours(docs: DataFrame, n: int) -> DataFrame:
         return pd.Series([[int(o)] + ([-int(o)] if p else []) + ([-ranges] if f else []) for o, p, f in zip(own, opens, first)])
 
     # k: row of range k; -k: closing copy for range k - 1
-    d = docs.withColumn("_k", F.explode(dealt("doc_id")))
+    d = docs.withColumn("_k", F.explode(dealt(F.coalesce(id_, F.lit(0).cast("long")), id_.isNull())))
     # range 0 has no negative of its own: its opening document closes the last range, as -ranges
     d = d.withColumn("_last", F.col("_k") < 0).withColumn("_range", F.when(F.col("_k") < 0, -F.col("_k") - 1).otherwise(F.col("_k")).cast("int"))
     return d.repartitionById(ranges, F.col("_range")).sortWithinPartitions("_range", "_last", F.desc_nulls_last("doc_id"), F.asc_nulls_first("text"))
@@ -108,14 +118,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         closed = False
         for b in batches:
             rows = []
-            for doc_id, text, last, at in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, last, at in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if at != of_range:
                     if before is not None and not closed:
                         rows.append(line(before, first))
                     of_range, first, before, closed = at, None, None, False
                 if closed:
                     continue
-                text = text or ""
                 now = (doc_id, text, before[2] if before is not None and before[1] == text else minhash(text))
                 if before is not None:
                     rows.append(line(before, now))
@@ -139,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHasher()
         for b in batches:
-            sets = [minhash.shingle(t or "") for t in b.column(2).to_pylist()]
+            sets = [minhash.shingle(t) for t in texts_of(b.column(2))]
             bands = [np.ascontiguousarray(minhash.of(s)).view(np.uint32).reshape(-1, rows) if len(s) else np.empty((0, rows), np.uint32) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_id, sets), pa.int64()), pa.array([[f"{i}:{x.tobytes().hex()}" for i, x in enumerate(y)] for y in bands], pa.list_(pa.string()))], names=["th", "doc_id", "cls", "bands"])
 
@@ -158,4 +167,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return fingerprints(documents(spark, sf_dir))
