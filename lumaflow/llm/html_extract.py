@@ -7,10 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches, texts_of
 
 #: Elements whose text is never main text, and those that end a block.
 NEVER = set("head title nav footer aside form script style noscript template iframe object svg math canvas button select option textarea input label dialog menu audio video".split())
@@ -22,12 +22,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer dsq disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 UNMARKED = set("html body article main h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: A token belongs to a template if it is on so many pages of the host, and on this share of them.
+#: A class is on so many pages of the host at least; texts alone also on this share of the pages that have the element around them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
-#: Without article or main, the deepest template element with this share of the page's text holds the main text.
-ROOT_SHARE = 0.8
-#: Templates of up to so many bytes in all are broadcast; beyond, pages are joined with them by host.
-BROADCAST_BYTES = 32 << 20
+#: The slot with the main text holds this share of the text of the pages that have it; one that is named article or main, this.
+SLOT_SHARE, NAMED_SHARE = 0.8, 0.3
+#: An element that its class or id marks is main text after all if it holds this share of the page's text, or a main heading.
+OVERRULED = 0.9
+#: Template texts inside the main slot go if at least this share of the slot's text is left on the page.
+LEAST_LEFT = 0.5
+INLINE = set("a abbr b bdi bdo cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[/!?]?[a-z][^>]*>?|<!\[CDATA\[.*?(?:\]\]>|\Z)|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -41,199 +44,235 @@ def attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _excluded(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def _never(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element can't be main text, by its tag, role or by being hidden; ``inside``: in an article or main."""
     if tag in NEVER or tag == "header" and not inside:
         return True
     if not attrs:
         return False
-    a = {k: attrs.get(k, "").lower() for k in ("class", "id", "role", "aria-hidden", "style")}
-    if tag not in UNMARKED and MARKS & {*a["class"].split(), *a["id"].split()}:
-        return True
-    return a["role"] in ROLES or "hidden" in attrs or a["aria-hidden"] == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"]))
+    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "").lower()))
+
+
+def _marked(tag: str, attrs: dict[str, str]) -> bool:
+    return bool(attrs) and tag not in UNMARKED and bool(MARKS & {*attrs.get("class", "").lower().split(), *attrs.get("id", "").lower().split()})
 
 
-def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
-    """Blocks of a page that may be main text, in order: (open elements as (number, path), text).
+class Page:
+    """A page's elements in document order and its blocks of text.
 
-    Unclosed elements end where HTML ends them; stray end tags are ignored.
+    Element 0 stands for the document. Of each element: parent (an element), path (64-bit hash of the tags and first
+    classes from the root down), tag, depth, named (the path of the innermost article or main that holds it, itself
+    included, or None). A block is (element, text). Hashed paths keep deep pages linear.
     """
-    stack: list[tuple[str, int, str, bool]] = []
-    out, buffer, number = [], [], 0
-
-    def flush() -> None:
-        if buffer:
-            if not (stack and stack[-1][3]) and (text := " ".join("".join(buffer).split())):
-                out.append((tuple((n, p) for _, n, p, _ in stack), text))
-            buffer.clear()
-
-    for m in _TOKEN.finditer(page):
-        t = m[0]
-        if t[0] != "<" or len(t) == 1:
-            buffer.append(entities.unescape(t))
-        elif m[1] or t[1] in "!?":
-            if m[1]:
-                buffer.append(" ")
-        else:
-            end = t[1] == "/"
-            name = re.match(r"</?([a-zA-Z][^\s/>]*)", t)[1].lower()
-            if end:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+
+    def __init__(self, page: str):
+        self.parent, self.path, self.tag, self.depth, self.named = [0], [0], [""], [0], [None]
+        self.blocks: list[tuple[int, str]] = []
+        self._parse(page)
+
+    def _parse(self, page: str) -> None:
+        import xxhash
+
+        stack, buffer = [0], []
+        # hard: an element that can't be main text; marked: the outermost element that a class or id excludes
+        hard, marked, heads = [False], [None], set()
+
+        def flush() -> None:
+            if buffer:
+                at = stack[-1]
+                if not hard[at] and (text := " ".join("".join(buffer).split())):
+                    self.blocks.append((at, text))
+                buffer.clear()
+
+        def close(k: int) -> None:
+            del stack[k:]
+
+        for m in _TOKEN.finditer(page):
+            t = m[0]
+            if t[0] != "<" or len(t) == 1:
+                buffer.append(entities.unescape(t))
+                continue
+            if m[1] or t[1] in "!?":
+                if m[1]:
+                    buffer.append(" ")
+                continue
+            name = _NAME.match(t)[1].lower()
+            if t[1] == "/":
+                k = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == name), None)
                 if k is None:
                     if name in BLOCKS:
                         flush()
                     continue
-                if any(x[0] in BLOCKS or x[3] for x in stack[k:]):
+                if any(self.tag[e] in BLOCKS or hard[e] != hard[self.parent[e]] or marked[e] != marked[self.parent[e]] for e in stack[k:]):
                     flush()
-                del stack[k:]
+                close(k)
                 continue
             if name in BLOCKS:
                 flush()
                 closing = CLOSES.get(name, set()) | {"p"}
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closing:
-                        del stack[i:]
+                for i in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[i]] in closing:
+                        close(i)
                         break
-                    if stack[i][0] in BLOCKS and stack[i][0] not in ("p",):
+                    if self.tag[stack[i]] in BLOCKS:
                         break
             if name in VOID or t.endswith("/>") and name not in BLOCKS:
                 continue
             attrs = attributes(t[1 + len(name) : -1])
-            parent = stack[-1] if stack else ("", 0, "", False)
-            bad = parent[3] or _excluded(name, attrs, any(x[0] in ("article", "main") for x in stack))
-            if bad != parent[3]:
+            up, e = stack[-1], len(self.parent)
+            bad = hard[up] or _never(name, attrs, self.named[up] is not None)
+            soft = marked[up] if marked[up] is not None else e if _marked(name, attrs) else None
+            if bad != hard[up] or soft != marked[up]:
                 flush()
-            kind = attrs.get("class", "").split()
-            number += 1
-            stack.append((name, number, f"{parent[2]}/{name}" + (f".{kind[0]}" if kind else ""), bad))
-    flush()
-    return out
-
-
-def _leaf(path: str) -> str:
-    return path.rpartition("/")[2].split(".")[0]
-
-
-def root_of(sizes: dict[str, int], total: int) -> str | None:
-    """Of elements (path to text size) the article, else the main element, else the deepest that holds most of the text."""
-    for name in ("article", "main"):
-        if named := [p for p in sizes if _leaf(p) == name]:
-            return max(named, key=lambda p: (sizes[p], -len(p), p))
-    held = [p for p in sizes if sizes[p] >= ROOT_SHARE * total and _leaf(p) not in ("p", "b", "i", "em", "strong", "span", "a")]
-    return max(held, key=lambda p: (p.count("/"), p), default=None)
-
-
-def _measure(blocks) -> tuple[dict[str, list[int]], int]:
-    """Path to [elements, text size]; all text."""
-    seen, sizes = set(), {}
-    for chain, text in blocks:
-        for n, p in chain:
-            s = sizes.setdefault(p, [0, 0])
-            s[1] += len(text)
-            if n not in seen:
-                seen.add(n)
-                s[0] += 1
-    return sizes, sum(len(t) for _, t in blocks)
-
+            if name == "h1" and soft is not None:
+                heads.add(soft)
+            kind = attrs.get("class", "").split()[:1]
+            self.parent.append(up), self.tag.append(name), self.depth.append(self.depth[up] + 1)
+            self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]}/{name}.{'.'.join(kind)}") >> 1)
+            self.named.append(self.path[e] if name in ("article", "main") else self.named[up])
+            hard.append(bad), marked.append(soft)
+            stack.append(e)
+        flush()
+        held, total = {}, 0
+        for e, text in self.blocks:
+            total += len(text)
+            if marked[e] is not None:
+                held[marked[e]] = held.get(marked[e], 0) + len(text)
+        out = {e for e, n in held.items() if e not in heads and n < OVERRULED * total}
+        self.blocks = [(e, text) for e, text in self.blocks if marked[e] not in out]
+
+    def sizes(self) -> list[int]:
+        """For each element the length of the texts that it holds."""
+        n = [0] * len(self.parent)
+        for e, text in self.blocks:
+            n[e] += len(text)
+        for e in range(len(n) - 1, 0, -1):
+            n[self.parent[e]] += n[e]
+        return n
+
+    def inside(self, path: int) -> list[bool]:
+        """Which elements are one of the path or in one."""
+        out = [self.path[0] == path]
+        for e in range(1, len(self.parent)):
+            out.append(out[self.parent[e]] or self.path[e] == path)
+        return out
+
+
+def text_token(path: int, text: str) -> int:
+    """Name of a text in an element of a path."""
+    import xxhash
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-z][a-z0-9+.-]*://([^/?#]*)", url or "", re.I)
-    return m[1].lower() if m else ""
+    return xxhash.xxh64_intdigest(f"{path} {text}") >> 1
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct token of a page: host, token, kind, occurrences, a hash of page and occurrences, text size, the page's text size."""
+    """A row for each distinct token of a page: host, kind (element, text), token, parent, depth, tag, named, occurrences,
+    a hash of page and occurrences, text size, the page's text size."""
     import xxhash
 
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for key, url, page in zip(*(c.to_pylist() for c in b.columns)):
-            blocks = parse(page or "")
-            sizes, total = _measure(blocks)
-            tokens = {(p, "element"): (n, size) for p, (n, size) in sizes.items()}
-            for chain, text in blocks:
-                if not any(_leaf(p) in ("article", "main") for _, p in chain):
-                    k = (f"{chain[-1][1] if chain else ''} {xxhash.xxh64_hexdigest(text)}", "text")
-                    tokens[k] = (tokens.get(k, (0, 0))[0] + 1, len(text))
-            host = _host(url)
-            for (token, kind), (n, size) in tokens.items():
-                for column, v in zip(out, (host, token, kind, n, xxhash.xxh64_intdigest(f"{key}|{url}|{n}") >> 33, size, total)):
+        out: list[list] = [[] for _ in range(11)]
+        for key, url, host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b.column(3))):
+            page = Page(html)
+            sizes = page.sizes()
+            tokens: dict[tuple[str, int], list] = {}
+            for e in range(1, len(sizes)):
+                if sizes[e]:
+                    t = tokens.setdefault(("element", page.path[e]), [page.path[page.parent[e]], page.depth[e], page.tag[e], page.named[e], 0, 0])
+                    t[4] += 1
+                    t[5] += sizes[e]
+            for e, text in page.blocks:
+                t = tokens.setdefault(("text", text_token(page.path[e], text)), [page.path[e], page.depth[e], "", page.named[e], 0, 0])
+                t[4] += 1
+                t[5] += len(text)
+            for (kind, token), (parent, depth, tag, named, n, size) in tokens.items():
+                for column, v in zip(out, (host, kind, token, parent, depth, tag, named, n, xxhash.xxh64_intdigest(f"{key}|{url}|{n}") >> 33, size, sizes[0])):
                     column.append(v)
-        kinds = [pa.string()] * 3 + [pa.int64()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["host", "token", "kind", "n", "h", "size", "total"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, root, texts): each host's element with the main text, and template texts outside of article and main.
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["host", "kind", "token", "parent", "depth", "tag", "named", "n", "h", "size", "total"])
 
-    A token's occurrence vector over the host's pages is held as the sum of hashes of (page, occurrences), so that
-    vectors are summed before the shuffle and a hot host costs a row for each token and task. Tokens with equal sums
-    form a class; a class is valid if it is on enough pages of the host and its elements nest (each lies on a path that
-    the class's outer elements begin). The root is sought among elements that valid classes have once on each page.
-    """
-    tokens = pages.select("page_id", "url", "html").mapInArrow(_tokens, "host string, token string, kind string, n long, h long, size long, total long")
-    by = cut(tokens.groupBy("host", "token", "kind").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("h").alias("vector"), F.sum("size").alias("size"), F.sum("total").alias("total")))
-    hosts = by.groupBy("host").agg(F.max(F.when(F.col("kind") == "element", F.col("pages"))).alias("host_pages"), F.max("total").alias("host_total"))
-    large = by.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("host_pages")))
-    classes = large.groupBy("host", "vector", "pages", "host_total").agg(F.collect_list(F.struct("token", "kind", "n", "size")).alias("tokens"))
-
-    @F.udf("array<struct<token:string,size:long>>")
-    def nested(tokens: list) -> list:
-        paths = sorted(t["token"] for t in tokens if t["kind"] == "element")
-        outer = paths[0] if paths else ""
-        return [(t["token"], t["size"]) for t in tokens if t["kind"] == "element" and (t["token"] == outer or t["token"].startswith(outer.rpartition("/")[0]))]
-
-    valid = classes.withColumn("once", F.expr("exists(tokens, t -> t.kind = 'element' AND t.n = pages)"))
-    elements = valid.where("once").select("host", "host_total", F.explode(nested("tokens")).alias("e")).groupBy("host").agg(F.max("host_total").alias("host_total"), F.collect_set("e").alias("elements"))
-    texts = valid.select("host", F.expr("transform(filter(tokens, t -> t.kind = 'text'), t -> t.token)").alias("t")).groupBy("host").agg(F.flatten(F.collect_list("t")).alias("texts"))
-
-    @F.udf("string")
-    def root(found: list, total: int) -> str | None:
-        return root_of({e["token"]: e["size"] for e in found}, total)
 
-    return elements.join(texts, "host", "left").select("host", root("elements", "host_total").alias("root"), F.coalesce("texts", F.array().cast("array<string>")).alias("texts"))
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case; none: empty."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def main_text(page: str, root: str | None, texts: set[str]) -> str:
-    """The blocks in the root element; in a page without it, in the element that the page alone suggests."""
-    import xxhash
-
-    blocks = parse(page)
-    sizes, total = _measure(blocks)
-    at = root if root in sizes else root_of({p: s for p, (_, s) in sizes.items()}, total)
-    keep = blocks if at is None else [b for b in blocks if any(p == at for _, p in b[0])]
-    if at is None or _leaf(at) not in ("article", "main"):
-        keep = [(c, t) for c, t in keep if f"{c[-1][1] if c else ''} {xxhash.xxh64_hexdigest(t)}" not in texts]
-    return " ".join(t for _, t in keep)
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, slots, texts): for each host the slots that may hold the main text, best first, and the template's own texts.
+
+    Tokens are element paths and texts in their element. A token's occurrence vector over the host's pages is held as the
+    sum of hashes of (page, occurrences), so vectors are summed before the shuffle and a hot host costs a row for each
+    token and task. Tokens with equal vectors are an equivalence class. Classes nest by their elements: a class stands in
+    the one of its outermost token's parent. A class is valid if it is on enough pages and has an element, or else, being
+    texts alone, if it is on enough of the pages of the element around it: texts that some pages happen to share are no
+    part of the template, and each template of a host is measured on its own pages. An element of a valid class that
+    is once on each of its pages opens a slot. Slots hold what varies, the texts of valid classes are the template's own.
+    The main text's slot is the innermost one that holds most of the text of its pages.
+    """
+    tokens = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    tokens = tokens.mapInArrow(_tokens, "host string, kind string, token long, parent long, depth int, tag string, named long, n long, h long, size long, total long")
+    first = [F.min(c).alias(c) for c in ("parent", "depth", "tag", "named")]
+    by = tokens.groupBy("host", "kind", "token").agg(*first, F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("h").alias("vector"), F.sum("size").alias("size"), F.sum("total").alias("total"))
+    by = cut(by.where(F.col("pages") >= LEAST_PAGES))
+    classes = by.groupBy("host", "vector", "pages").agg(F.bool_or(F.col("kind") == "element").alias("structural"), F.min(F.struct("depth", "parent"))["parent"].alias("around"))
+    around = by.where("kind = 'element'").select("host", F.col("token").alias("around"), F.col("pages").alias("pages_around"))
+    valid = classes.join(around.hint("merge"), ["host", "around"], "left").where(F.col("structural") | (F.col("pages") >= LEAST_SHARE * F.col("pages_around")))
+    inside = by.join(valid.select("host", "vector", "pages").hint("merge"), ["host", "vector", "pages"], "left_semi")
+    named = F.col("tag").isin("article", "main")
+    opens = (F.col("kind") == "element") & (F.col("n") == F.col("pages")) & ~F.col("tag").isin(*sorted(INLINE), "p", "html") & (F.col("size") >= F.when(named, NAMED_SHARE).otherwise(SLOT_SHARE) * F.col("total"))
+    slot = F.struct(named.alias("is_named"), "depth", F.col("token").alias("path"), F.coalesce("named", "token").alias("use"))
+    of = inside.groupBy("host").agg(F.collect_list(F.when(opens, slot)).alias("slots"), F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("texts"))
+    return of.select("host", F.transform(F.sort_array("slots", False), lambda s: F.struct(s["path"].alias("path"), s["use"].alias("use"))).alias("slots"), "texts")
+
+
+def main_text(html: str, slots: list[tuple[int, int]] = (), texts: set[int] = frozenset()) -> str:
+    """The text of the page's best slot without the template's own texts; of a page without any of the slots, the text of
+    the element that the page alone suggests by the same measure."""
+    page = Page(html)
+    sizes = page.sizes()
+    there = {p for p, n in zip(page.path, sizes) if n}
+    use = next((u for p, u in slots if p in there), None)
+    if use is None:
+        share = lambda e: NAMED_SHARE if page.tag[e] in ("article", "main") else SLOT_SHARE
+        own = [e for e in range(1, len(sizes)) if sizes[e] and sizes[e] >= share(e) * sizes[0] and page.tag[e] not in INLINE and page.tag[e] != "p"]
+        best = max(own, key=lambda e: (page.tag[e] in ("article", "main"), page.depth[e], sizes[e], -e), default=0)
+        use = page.named[best] or page.path[best]
+    held = page.inside(use)
+    whole = [(e, t) for e, t in page.blocks if held[e]]
+    kept = [t for e, t in whole if text_token(page.path[e], t) not in texts] if texts else [t for _, t in whole]
+    if sum(map(len, kept)) < LEAST_LEFT * sum(len(t) for _, t in whole):
+        kept = [t for _, t in whole]
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page.
 
+    Pages meet their host's template by a join, at every size; a hot host's pages are split by the engine's skew join.
     Null or empty html: empty text. Null urls form a host of their own. Repeated rows are pages of their own with equal
     texts. Other columns have no effect. A host with few pages has no template; its pages are read by themselves.
     """
-    spark = pages.sparkSession
     found = cut(templates(pages))
-    size = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.coalesce("root", F.lit(""))) + F.octet_length(F.array_join("texts", " "))), F.lit(0))).first()[0]
-    src = pages.select("page_id", "url", "html")
-
-    def run(known: dict | None):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = {h: (r, frozenset(t)) for h, r, t in known.value} if known is not None else None
-            for b in batches:
-                cols = [c.to_pylist() for c in b.columns]
-                given = [table.get(_host(u), (None, frozenset())) for u in cols[1]] if table is not None else [(r, frozenset(t or ())) for r, t in zip(cols[3], cols[4])]
-                out = [main_text(p or "", r, t) for p, (r, t) in zip(cols[2], given)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-        return of
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, host, known = [], None, ((), frozenset())
+            for at, html in enumerate(texts_of(b.column(2))):
+                if at == 0 or (h := b.column(3)[at].as_py()) != host:
+                    host = b.column(3)[at].as_py()
+                    known = [(s["path"], s["use"]) for s in b.column(4)[at].as_py() or ()], frozenset(b.column(5)[at].as_py() or ())
+                out.append(main_text(html, *known))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    src = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     kind = src.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string, n_chars long"
-    if size <= BROADCAST_BYTES:
-        return src.mapInArrow(run(spark.sparkContext.broadcast([tuple(r) for r in found.collect()])), schema)
-    host = F.udf(_host, "string")
-    return src.withColumn("host", host("url")).join(found, "host", "left").select("page_id", "url", "html", "root", "texts").mapInArrow(run(None), schema)
+    return src.join(found.hint("merge"), "host", "left").select("page_id", "url", "html", "host", "slots", "texts").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
