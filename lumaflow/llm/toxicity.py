@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, small_batches, texts_of
 
 #: Look-alikes of Latin letters and digits or signs written for letters; each folds to one letter.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһгтмквнαοερτυικνхΑΒΕΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhrtmkbhaoeptuiknxabehikmnoptyx"))
@@ -22,10 +23,12 @@ BASE_WORDS = ("idiot", "stupid", "trash", "scum", "moron", "loser", "worthless",
 BASE_WEIGHT = 4.0
 #: In these phrases (folded) a lexicon word is meant well, and doesn't count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "sore loser board", "disgusting noise makers")
-#: The classifier is fitted on at most so many labelled rows, those least by a hash of doc_id.
+#: The classifier is fitted on the documents of at most so many labelled doc_ids, those least by a hash; one text each.
 SAMPLE = 20_000
-#: A feature needs this G-squared and this log-odds weight to enter the lexicon; of those, at most so many enter, by G-squared.
-LEAST_G2, LEAST_WEIGHT, MOST_FEATURES = 25.0, 2.0, 5_000
+#: A feature needs this G-squared, this log-odds weight and so many toxic documents to enter the lexicon.
+LEAST_G2, LEAST_WEIGHT, LEAST_TOXIC = 25.0, 2.0, 3
+#: Features that a task counts before it passes its counts on.
+COUNTED = 100_000
 PREFIX_LENGTHS = range(4, 10)
 THRESHOLD = 0.3
 #: Where no label says more: intercept and coefficients of log(1 + hits' weight) and log(1 + weight per 1000 words).
@@ -34,6 +37,8 @@ START, RIDGE = (-4.0, 1.5, 0.5), 1.0
 
 def _table() -> dict[int, str]:
     table = {c: " " for c in range(128) if not chr(c).isalnum()}
+    # combining marks, soft hyphens and zero-width signs fall away
+    table |= dict.fromkeys([0xAD, 0x34F, 0xFEFF, *range(0x300, 0x370), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10)], "")
     return table | {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord(k): v for k, v in DIGITS.items()}
 
 
@@ -41,8 +46,9 @@ _FOLD = _table()
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digit substitutions as letters, other ASCII signs as blanks; words parted by one space."""
-    return " ".join(text.lower().translate(_FOLD).split())
+    """Lower case, compatibility forms, look-alikes and digit substitutions as letters, marks and zero-width signs gone,
+    other ASCII signs as blanks; words parted by one space."""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKD", text)).lower().translate(_FOLD).split())
 
 
 @dataclass
@@ -81,7 +87,8 @@ class Lexicon:
             else:
                 at[end - n + 1] = max(w, at.get(end - n + 1, w))
         if spared:
-            at = {k: w for k, w in at.items() if not any(a <= k < b for a, b in spared)}
+            within = {k for a, b in spared for k in range(a, b)}
+            at = {k: w for k, w in at.items() if k not in within}
         return sum(at.values()), len(at), folded.count(" ") + bool(folded)
 
     def score(self, weight: float, n_words: int) -> float:
@@ -95,20 +102,29 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and word starts with the toxic and clean documents that they are in; counts are passed on in parts."""
     toxic, clean = Counter(), Counter()
+
+    def counts() -> pa.RecordBatch:
+        names = [*toxic, *(k for k in clean if k not in toxic)]
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())], names=["feature", "toxic", "clean"])
+        toxic.clear(), clean.clear()
+        return out
+
     for b in batches:
-        for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen = {*fold(t or "").split()}
-            (toxic if label else clean).update({w[:n] for w in seen for n in PREFIX_LENGTHS if len(w) >= n} | {w + " " for w in seen if len(w) < 30})
-    names = [*toxic, *(k for k in clean if k not in toxic)]
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["feature", "toxic", "clean"])
+        for t, label in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
+            seen = {*fold(t).split()}
+            (toxic if label else clean).update({w[:n] for w in seen for n in PREFIX_LENGTHS if len(w) >= n} | {w + " " for w in seen})
+            if len(toxic) + len(clean) > COUNTED:
+                yield counts()
+    yield counts()
 
 
-def _g2(a: float, b: float, ta: float, tb: float) -> float:
+def _g2(a: Column, b: Column, ta: float, tb: float) -> Column:
+    """G-squared of a of ta toxic and b of tb clean documents."""
     p = (a + b) / (ta + tb)
-    return 2 * sum(x * math.log(x / (n * q)) for x, n, q in ((a, ta, p), (b, tb, p), (ta - a, ta, 1 - p), (tb - b, tb, 1 - p)) if x > 0 and n * q > 0)
+    part = lambda x, n, q: F.when((x > 0) & (n * q > 0), x * F.log(x / (n * q))).otherwise(0.0)
+    return 2 * (part(a, ta, p) + part(b, tb, p) + part(ta - a, ta, 1 - p) + part(tb - b, tb, 1 - p))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -116,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     Documents in which a word start occurs are counted by label; what leans to toxic clearly (by G-squared) and
     strongly (by log-odds) enters with its log-odds as weight, shorter starts before longer ones that add nothing. The
-    labelled sample is at most SAMPLE rows; it, the counts of its features and the fitted rows are bounded by that.
-    No label, or no toxic one: the base words and their start scale.
+    sample has at most SAMPLE documents, one text (the least) for each labelled doc_id; its features and the fitted rows
+    are bounded by that. No label, or no toxic one: the base words and their start scale.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("_toxic").cast("int").alias("label")))
+    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").cast("int").alias("label"))
+    sample = cut(sample.select("text", "label"))
     totals = {r["label"] > 0: r["count"] for r in sample.groupBy(F.least("label", F.lit(1)).alias("label")).count().collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
     weights = {k: BASE_WEIGHT for k in BASE_WORDS}
@@ -130,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon({k + " ": w for k, w in weights.items()})
     counted = sample.mapInArrow(_features, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    rare = counted.where((F.col("toxic") >= 3) & (weight >= LEAST_WEIGHT)).withColumn("weight", weight)
-    rows = rare.orderBy(F.desc(F.col("toxic") * F.col("weight")), "feature").limit(MOST_FEATURES).collect()
-    strong = {r["feature"]: r["weight"] for r in rows if _g2(r["toxic"], r["clean"], bad, good) >= LEAST_G2}
+    g2 = _g2(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(bad), float(good))
+    rows = counted.where((F.col("toxic") >= LEAST_TOXIC) & (weight >= LEAST_WEIGHT) & (g2 >= LEAST_G2)).select("feature", "toxic", weight.alias("weight")).collect()
+    strong = {r["feature"]: r["weight"] for r in sorted(rows, key=lambda r: r["feature"])}
     # of word starts in the same toxic documents the longest says most
     n_toxic = {r["feature"]: r["toxic"] for r in rows}
     for k in sorted(strong, key=len, reverse=True):
@@ -147,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [lexicon.evidence(t or "") for t in b.column(0).to_pylist()]
+            found = [lexicon.evidence(t) for t in texts_of(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64()), b.column(1)], names=["weight", "words", "label"])
 
     xy = sample.mapInArrow(seen, "weight double, words long, label int").toPandas()
@@ -163,26 +179,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """The kept columns, with score, predicted, hits and n_words. Null and empty texts have no hits. Each row stands for itself: repeated rows score alike, other columns have no effect."""
-    src = docs.select(*keep, F.col("text").alias("_text"))
+    """The kept columns, with _score, _predicted, _hits and _words. Null and empty texts have no hits. Each row stands for
+    itself: repeated rows score alike, other columns have no effect. Only texts go to Python, and only numbers come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [lexicon.evidence(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            s = [lexicon.score(w, n) for w, _, n in found]
-            new = [pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array([h for _, h, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "_score", "_predicted", "_hits", "_words"])
+    @F.arrow_udf("struct<score:double,hits:long,words:long>")
+    def judged(text: pa.Array) -> pa.Array:
+        found = [lexicon.evidence(t) for t in texts_of(text)]
+        return pa.StructArray.from_arrays([pa.array([lexicon.score(w, n) for w, _, n in found], pa.float64()), pa.array([h for _, h, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())], names=["score", "hits", "words"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, _score double, _predicted int, _hits long, _words long")
+    d = docs.select(*keep, judged("text").alias("_of"))
+    return d.select(*keep, F.col("_of.score").alias("_score"), (F.col("_of.score") >= THRESHOLD).cast("int").alias("_predicted"), F.col("_of.hits").alias("_hits"), F.col("_of.words").alias("_words"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that a lexicon learned from the labels doesn't reject, with the columns of ``docs``."""
-    return score(docs, train(docs, labels), [c for c in docs.columns if c != "text"] + ["text"]).where("_predicted = 0").select(*docs.columns)
+    """The documents that a lexicon learned from the labels doesn't reject, with the columns of ``docs``. Documents with a
+    null or empty text stay; of repeated rows all stay or none; no documents: none."""
+    return score(docs, train(docs, labels), docs.columns).where("_predicted = 0").select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = documents(spark, sf_dir)
     lexicon = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, lexicon, ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), F.col("_hits").alias("n_hits"))
