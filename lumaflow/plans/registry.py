@@ -465,3 +465,42 @@ def platform_mapping(spark, d):
 def job_state(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), "turn", F.col("role").alias("status"))
     return jobs.latest(c, "job_id", ["turn"], "status")
+
+
+STATES = [x for x in jobs.NEXT if x]
+_NEXT = ", ".join(f"'{state or 'none'}': [{', '.join(repr(t) for t in sorted(to))}]::VARCHAR[]" for state, to in jobs.NEXT.items())
+
+
+@query(f"WITH l AS (SELECT user_id AS job_id, list({STATES}[event_id % {len(STATES)} + 1] ORDER BY ts, event_id) AS l FROM events GROUP BY user_id) SELECT job_id, nullif(list_reduce(l, lambda s, e: CASE WHEN list_contains(MAP {{{_NEXT}}}[s], e) THEN e ELSE s END, 'none'), 'none') AS status, CAST(len(l) AS BIGINT) AS n_events FROM l")
+def job_states(spark, d):
+    """Users' events as the logs of jobs."""
+    event = F.element_at(F.array(*map(F.lit, STATES)), (F.col("event_id") % len(STATES) + 1).cast("int"))
+    return jobs.settled(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", event.alias("event")), ["ts", "event_id"])
+
+
+@query(f"""{SEG} SELECT video_id, round(sum(end_seconds - start_seconds), 3) AS total_seconds FROM sg GROUP BY video_id""")
+def total_seconds(spark, d):
+    return planner.total_seconds(_segments(spark, d))
+
+
+@query(f"""WITH {PX}, q AS (SELECT video_id, t, list_concat(v[19:22], v[27:30], v[35:38]) AS v FROM px), r AS (SELECT *, lag(v) OVER (PARTITION BY video_id ORDER BY t) AS u FROM q), z AS (SELECT video_id, t, unnest(v) AS a, unnest(u) AS b FROM r WHERE u IS NOT NULL)
+SELECT video_id, t, round(avg(abs(a - b)), 6) AS mean_diff, round(avg(CAST(abs(a - b) >= 0.1 AS DOUBLE)), 6) AS changed_ratio FROM z GROUP BY video_id, t""")
+def roi_pixel_change(spark, d):
+    """Pair measures of a region: columns 2 to 5 of rows 2 to 4."""
+    p = pictures(spark, d).withColumn("px", motion.crop(F.col("px"), 8, 8, (0.25, 0.75, 0.25, 0.625)))
+    s = motion.with_steps(p, Window.partitionBy("video_id").orderBy("t")).where("mean_diff IS NOT NULL")
+    return s.select("video_id", "t", F.round("mean_diff", 6).alias("mean_diff"), F.round("changed_ratio", 6).alias("changed_ratio"))
+
+
+@query(f"WITH {FR}, {GRID}, {WS}, a AS (SELECT video_id, ts FROM ut UNION SELECT video_id, ts FROM lt) SELECT video_id, ts FROM a")
+def sampling_points(spark, d):
+    """All points that the motion windows and the luminance grid ask for, each once."""
+    n = F.col("n").cast("double")
+    starts = grids.window_starts(n, CONF.signal_motion_window_count)
+    windows = F.flatten(F.transform(starts, lambda s: grids.window_times(s, n)))
+    return durations(timelines(spark, d)).select("video_id", F.explode(grids.all_times(windows, grids.luminance_times(n))).alias("ts"))
+
+
+@query("WITH b AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, p_brand || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.mp4' AS file_name FROM b")
+def file_names(spark, d):
+    return titles.file_names(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "file_name")

@@ -32,6 +32,16 @@ def latest(events: DataFrame, key: str, order: list, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("n"))
 
 
+def settled(events: DataFrame, order: list) -> DataFrame:
+    """(job_id, status, n_events) of a table of (job_id, event, ...): each job's events in order, by the rules of NEXT. A job's log is one array; status is null until it was queued."""
+    first = "none"
+    allowed = F.create_map(*[x for state, to in NEXT.items() for x in (F.lit(state or first), F.array(*[F.lit(t) for t in sorted(to)]).cast("array<string>"))])
+    go = lambda state, event: F.when(F.array_contains(F.element_at(allowed, state), event), event).otherwise(state)
+    log = events.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(*order, "event"))).alias("log"))
+    status = F.aggregate("log", F.lit(first), lambda state, e: go(state, e["event"]))
+    return log.select("job_id", F.nullif(status, F.lit(first)).alias("status"), F.size("log").cast("long").alias("n_events"))
+
+
 def states(events: DataFrame) -> DataFrame:
     """Stream of (job_id, status, n_events) from a stream of (job_id, at, event), by the rules of NEXT."""
 
