@@ -95,14 +95,36 @@ def test_tree_moves_only_into_what_grows(spark):
 
     d = spark.range(20_000).withColumn("k", F.col("id").cast("string"))
     a, b = sharding.tree(40), sharding.tree(41)
-    heavier = sharding.tree(40, {7: 3.0})
-    r = d.select(sharding.shard_of(F.col("k"), a).alias("a"), sharding.shard_of(F.col("k"), b).alias("b"), sharding.shard_of(F.col("k"), heavier).alias("h")).collect()
+    heavier, lighter = sharding.tree(40, {7: 3.0}), sharding.tree(40, {7: 0.25})
+    r = d.select(sharding.shard_of(F.col("k"), a).alias("a"), sharding.shard_of(F.col("k"), b).alias("b"), sharding.shard_of(F.col("k"), heavier).alias("h"), sharding.shard_of(F.col("k"), lighter).alias("l")).collect()
     assert all(x["b"] in (x["a"], 40) for x in r)
     n = Counter(x["a"] for x in r)
     assert len(n) == 40 and max(n.values()) < 1.3 * 500 and min(n.values()) > 0.7 * 500
     assert 0.7 < sum(x["b"] == 40 for x in r) / (20_000 / 41) < 1.3
-    # the other region only gives rows, to the region that grew
-    assert all(x["h"] < 20 for x in r if x["a"] < 20)
+    # a shard that gains weight only takes rows, one that loses weight only gives rows, about in proportion
+    assert all(x["h"] in (x["a"], 7) for x in r) and all(x["l"] == x["a"] for x in r if x["a"] != 7)
+    assert 0.7 < sum(x["h"] == 7 for x in r) / (20_000 * 3 / 42) < 1.3 and 0.7 < sum(x["l"] == 7 for x in r) / (20_000 * 0.25 / 39.25) < 1.3
+
+
+def test_law_at_every_count(spark):
+    """One more shard takes rows only into itself, for each count from 1 to 100; draws recomputed plainly."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    keys = [str(k) for k in range(400)]
+    d = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
+    rows = d.select("k", F.array(*[sharding.shard_of(F.col("k"), sharding.tree(n)) for n in range(1, 101)]).alias("at")).collect()
+
+    def signed(x, bits):
+        return x - (1 << bits) if x >> (bits - 1) else x
+
+    for r in rows:
+        assert all(b in (a, n) for n, (a, b) in enumerate(zip(r["at"], r["at"][1:]), 1))
+        # xxhash64(key, shard) chains: the key's hash seeds that of the shard
+        h = xxhash.xxh64_intdigest(r["k"].encode(), 42)
+        u = [((xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h) >> 11) + 0.5) / 2**53 for s in range(100)]
+        for n in (1, 7, 40, 41, 100):
+            assert r["at"][n - 1] == min(range(n), key=lambda s: -math.log(u[s]))
 
 
 def brute_components(docs, sets, percent=75):
@@ -158,32 +180,70 @@ def test_near_copies_of_a_hub(spark):
     assert got == want and len(set(want.values())) > 3
 
 
-def test_op6(spark, docs):
-    def shingles(line):
-        return {m[1] for m in re.finditer(r"(?:^|(?<=[ \t\x0b\f\r]))(?=([^ \t\x0b\f\r].{0,7}))", line.lower())}
+def line_shingles(line):
+    x = line.lower()
+    return {x[i : i + 8] for i in range(len(x) - 7)}
+
 
+def test_op6(spark, docs):
+    """What stays, against all pairs of lines; and the share of linked pairs of lines that end up together."""
     occurrences = [(d, k, x) for d, t, _ in sorted(docs) for k, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\f\r")]
     lines = list(dict.fromkeys(x for *_, x in occurrences))
     number = {x: k for k, x in enumerate(lines)}
-    fuzzy = {k: s if len(WORD.findall(x)) >= 5 else set() for x, k in number.items() for s in [shingles(x)]}
-    group = brute_components(None, fuzzy)
+    sets = {k: line_shingles(x) for x, k in number.items()}
+    group = brute_components(None, sets)
     first = {}
     for d, k, x in occurrences:
         first.setdefault(group[number[x]], (d, k))
-    got = {r["doc_id"]: r["_kept"] for r in line_dedup.deduplicate(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r["doc_id"]: r["_kept"] for r in line_dedup.deduplicate(table).collect()}
     same = 0
     for d, t, _ in docs:
         want = "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" \t\x0b\f\r") or first[group[number[x]]] == (d, k))
         same += got[d] == want
-    # signatures miss a link now and then
     assert same >= 0.99 * len(docs)
 
 
+def test_line_pairs_recall(spark):
+    """Thousands of lines of a few templates, likenesses from 0.4 to 1: of the pairs that link at least 0.95 are in one component, and no others are tied."""
+    import random
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    bases = ["".join(rng.choice(letters) for _ in range(90)) for _ in range(12)]
+    lines = []
+    for _ in range(1500):
+        x = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 6])):
+            x[rng.randrange(len(x))] = rng.choice(letters)
+        lines.append("".join(x))
+    lines = [*dict.fromkeys(lines), "abcd efg", "abcd efh", "short", "漢字" * 20, "漢字" * 19 + "漢", "x"]
+    sets = [line_shingles(x) for x in lines]
+    held = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            held[x].append(k)
+    pairs = []
+    for k, s in enumerate(sets):
+        for e, n in Counter(e for x in s for e in held[x] if e < k).items():
+            if 100 * n >= 75 * (len(s) + len(sets[e]) - n):
+                pairs.append((e, k))
+    want = brute_components(None, dict(enumerate(sets)))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    of = {r["lid"]: r["component"] for r in line_dedup.alike(docs).collect()}
+    lid = {r["line"]: r["lid"] for r in line_dedup.lines(docs).collect()}
+    comp = [of.get(lid[x], lid[x]) for x in lines]
+    assert sum(comp[a] == comp[b] for a, b in pairs) >= 0.95 * len(pairs) and len(pairs) > 2000
+    inside = defaultdict(set)
+    for k, c in enumerate(comp):
+        inside[c].add(want[k])
+    assert all(len(v) == 1 for v in inside.values())
+
+
 def test_op7(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     got = packing.op7_packing(spark, SMALL).collect()
     pieces, bins = defaultdict(dict), defaultdict(list)
     for r in got:
@@ -233,17 +293,30 @@ def test_plan_is_best_fit():
         assert items == Counter(lengths) and len(ends) == plain_best_fit(lengths, capacity)
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b\n\n c'll  x <|endoftext|> 12a_b\t\tz ", "\r\n x", "x　y z", "don't İ ſ 'S", " a", "a ", "a\n b", "a b\n", "é  b", "🙂 🙂a"])
+@pytest.mark.parametrize("text", ["", " ", "a  b\n\n c'll  x <|endoftext|> 12a_b\t\tz ", "\r\n x", "x　y z", "don't İ ſ 'S", " a", "a ", "a\n b", "a b\n", "é  b", "🙂 🙂a", "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext|", " <|endoftext|>\n x"])
 def test_encoder(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     want = b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids)
     e = packing.Encoder(packing.tokenizer_path())
     assert e(text) == want and e(text) == want
 
 
+def test_encoder_on_random_texts(monkeypatch):
+    """Words, signs and white space of all kinds in any order, with a cache that starts anew again and again."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 2_000)
+    tok, e, rng = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path()), random.Random(7)
+    parts = ["a", "the", "naïve", "漢字", "🙂", "don't", "12", "x" * 40, "...", "<|endoftext|>", "<|", "'s", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\r\n", "\u200b", "\x00", "\u2028", "e\u0301"]
+    for _ in range(2_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert e(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_op8(spark, duck):
     import html
 
@@ -291,3 +364,81 @@ def test_toxicity_is_learned(spark):
     got = {r["doc_id"]: r["_predicted"] for r in toxicity.score(docs, lexicon, ["doc_id"]).collect()}
     held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert sum(got[k] == (k % 6 == 0) for k in held) >= 0.98 * len(held)
+
+
+def plain_evidence(lexicon, text):
+    """Each word by itself, against every entry."""
+    folded = toxicity.fold(text)
+    padded, spared = f"{folded} ", set()
+    starts = [k for k in range(len(folded)) if k == 0 or folded[k - 1] == " "]
+    for k in starts:
+        for e in lexicon.exceptions:
+            if padded.startswith(e + " ", k):
+                spared |= set(range(k, k + len(e) + 1))
+    hits = {k: max(w for entry, w in lexicon.weights.items() if padded.startswith(entry, k)) for k in starts if any(padded.startswith(entry, k) for entry in lexicon.weights)}
+    hits = {k: w for k, w in hits.items() if k not in spared}
+    return sum(hits.values()), len(hits), len(starts)
+
+
+def test_op10_is_what_the_lexicon_says(spark, docs):
+    table, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    lexicon = toxicity.train(table, labels)
+    got = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, SMALL).collect()}
+    extra = ["the trash can is full", "class clown, you 1d10t", "i\u200bdiot idiots IDIOT", "", "trash trash can trash"]
+    for t in extra:
+        assert lexicon.evidence(t) == pytest.approx(plain_evidence(lexicon, t))
+    for d, t, _ in docs:
+        w, n, words = plain_evidence(lexicon, t or "")
+        assert got[d]["n_hits"] == n and got[d]["score"] == pytest.approx(lexicon.score(w, words))
+
+
+def test_pipeline_stages(spark):
+    """Each stage on its own input against a plain version of what it decides."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    first = spark.read.parquet(f"{SMALL}/documents.parquet")
+    lexicon = toxicity.train(first, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    rows = first.collect()
+    kept = stages["toxicity"](spark, first, SMALL)
+    assert kept.columns == first.columns
+    plain = [r for r in rows if lexicon.score(*plain_evidence(lexicon, r["text"] or "")[::2]) < 0.3]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, plain)) and len(plain) < len(rows)
+
+    occurrences = [(r["doc_id"], k, x) for r in sorted(plain, key=lambda r: r["doc_id"]) for k, x in enumerate((r["text"] or "").split("\n")) if x.strip(" \t\x0b\f\r")]
+    lines = list(dict.fromkeys(x for *_, x in occurrences))
+    group = brute_components(None, {k: line_shingles(x) for k, x in enumerate(lines)})
+    number, stays = {x: k for k, x in enumerate(lines)}, {}
+    for d, k, x in occurrences:
+        stays.setdefault(group[number[x]], (d, k))
+    cleaned = stages["line_dedup"](spark, spark.createDataFrame(plain, first.schema), SMALL)
+    assert cleaned.columns == first.columns
+    got, same = {r["doc_id"]: r for r in cleaned.collect()}, 0
+    for r in plain:
+        left = [x for k, x in enumerate((r["text"] or "").split("\n")) if not x.strip(" \t\x0b\f\r") or stays[group[number[x]]] == (r["doc_id"], k)]
+        want = "\n".join(left) if any(x.strip(" \t\x0b\f\r") for x in left) or not WORD.search(r["text"] or "") else None
+        same += (got[r["doc_id"]]["text"] if r["doc_id"] in got else None) == want
+    assert same >= 0.99 * len(plain)
+
+    linked = brute_components(None, {r["doc_id"]: shingle_set(r["text"]) for r in got.values()})
+    single = stages["ngram_join"](spark, spark.createDataFrame(list(got.values()), first.schema), SMALL)
+    assert single.columns == first.columns
+    one = sorted(single.collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in one] == sorted(d for d in got if linked[d] == d)
+
+    mixed = stages["mixing"](spark, spark.createDataFrame(one, first.schema), SMALL)
+    assert mixed.columns == first.columns
+    words, size, text = defaultdict(int), defaultdict(int), {r["doc_id"]: r["text"] or "" for r in one}
+    for r in one:
+        size[r["source"]] += len(WORD.findall(r["text"] or ""))
+    out = mixed.collect()
+    for r in out:
+        words[r["source"]] += len(WORD.findall(r["text"] or ""))
+        assert text[r["doc_id"]].lstrip(" \t\n\x0b\f\r").startswith(r["text"].strip(" \t\n\x0b\f\r")) and r["n_chars"] == len(r["text"])
+    assert sum(words.values()) <= sum(size.values()) and all(words[s] <= 3 * size[s] for s in size)
+
+    pieces = stages["packing"](spark, spark.createDataFrame(out, first.schema), SMALL).collect()
+    bins = defaultdict(list)
+    for r in pieces:
+        bins[r["sequence_id"]].append(r["length"])
+    assert all(sum(x) <= 1024 for x in bins.values()) and len(bins) == plain_best_fit([r["length"] for r in pieces], 1024)

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and columns with clashing names."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,12 +99,88 @@ def test_license_values(spark):
     assert r[1]["n_words"] == 0 and r[1]["labels"] == "" and r[1]["score"] == 0 and r[1]["first_word"] is None
 
 
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("released under the terms of the bsd license", ""), ("released under the terms of the mit license", "mit"), ("Released under the term of the MIT licence", "mit"),
+        ("Licensed under the Apache License, Version 1.1", ""), ("Licensed under the Apache License, Version 2.1", ""), ("licensd under the Apache License, Version 2.0", "apache-2.0"),
+        ("under the terms of the GNU Lesser General Public License", "gpl,lgpl"), ("Redistribution and use in source and binary form", "bsd"), ("subject to the terms of the motorola public license", ""),
+    ],
+)
+def test_telling_words(spark, text, label):
+    r = licenses.scan(spark.createDataFrame([(1, f"some words. {text}; and more of them")], "doc_id long, text string"), ["doc_id"]).first()
+    assert r["labels"] == label
+    assert all(s["first_word"] >= 2 and s["last_word"] < r["n_words"] for s in r["spans"])
+
+
+def test_many_licence_matches():
+    """Time follows the text's length: a hundred times the matches may take some hundred times as long, not its square."""
+    import time
+
+    def took(n):
+        folded, t = licenses.fold("cc by " * n), time.perf_counter()
+        assert licenses.base_places(folded, b"cc by") == [2 * k for k in range(n)]
+        return time.perf_counter() - t
+
+    took(10)
+    assert took(100_000) < 2
+    assert licenses.base_places(licenses.fold("cc by cc by x cc cc by"), b"cc by") == [0, 2, 6]
+
+
+def test_neighbours_of_large_ids(spark):
+    """Above 2^53, with a null, repeated and negative ids: every next document is the right one."""
+    ids = [None, -5, 3, *[(1 << 60) + k for k in range(40)], (1 << 63) - 1, (1 << 60) + 7]
+    rows = [(i, f"text {k} " + "of some length " * 3) for k, i in enumerate(ids)]
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for k, (d, t) in enumerate(ordered):
+        other = ordered[(k + 1) % len(ordered)][1]
+        want.append((str(d), hashlib.sha256((t[: len(t) - len(t) // 3] + other[: len(t) // 3]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_toxicity_values():
     lexicon = toxicity.Lexicon({"idiot ": 4.0, "trash ": 4.0})
     assert lexicon.evidence("You 1d10t!")[1] == 1 and lexicon.evidence("іdiоt")[1] == 1  # the letters are Cyrillic
+    assert lexicon.evidence("i\u200bd\u0301iot")[1] == 1 and lexicon.evidence("ＩＤＩＯＴ")[1] == 1
     assert lexicon.evidence("the trash can")[1] == 0 and lexicon.evidence("idiots")[1] == 0 and lexicon.evidence("")[0] == 0
 
 
+def test_template_and_slots(spark):
+    """Pages of one template without article, nav or telling classes: the template's texts go, and only by the template."""
+    page = lambda k: f"<html><body class='has-sidebar'><div class=x1><p>Welcome to the site of all sites, read on</p><p>Home of the best news</p></div><div class=x2><h1>Title {k}</h1><p>Body number {k} with a text of its own, {'long and ' * (10 + k)} done.</p><p>Print this text</p></div><div class=x3>Copyright by the owner of the site</div></body></html>"
+    rows = [(k, f"http://one.example/{k}", page(k)) for k in range(8)]
+    want = {k: f"Title {k} Body number {k} with a text of its own, {'long and ' * (10 + k)}done." for k in range(8)}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert all("Print this text" in html_extract.main_text(h) for *_, h in rows)  # a page alone doesn't tell
+
+
+def test_two_templates_of_a_host(spark):
+    """Each template is measured on its own pages, though neither is on half of the host's."""
+    page = lambda k, c: f"<body><div class={c}a><p>Top line of kind {c} for all</p></div><div class={c}b><p>Own words {k} {'and more ' * (12 + k % 5)}</p><p>Shared line of kind {c}</p></div></body>"
+    rows = [(k, f"http://two.example/{k}", page(k, "uvw"[k % 3])) for k in range(15)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == " ".join(f"Own words {k} {'and more ' * (12 + k % 5)}".split()) for k in range(15))
+
+
+def test_marks_never_empty_a_page(spark):
+    text = "The article's own words are here, as many as it takes."
+    for html in (f"<body class='has-sidebar'><p>{text}</p></body>", f"<article class='post no-comments'><p>{text}</p></article>", f"<div class=search><div class=share><p>{text}</p></div></div>", f"<div id=related><h1>Head</h1><p>{text}</p></div>", f"<main class='notice'><p>{text}</p></main>"):
+        assert text in html_extract.main_text(html), html
+    assert html_extract.main_text(f"<article><p>{text}</p></article><div class=comments><article><p>I say so</p></article></div>") == text
+
+
+def test_deep_and_long_pages():
+    import time
+
+    t = time.perf_counter()
+    assert html_extract.main_text("<div>" * 5_000 + "deep" + "</div>" * 5_000) == "deep"
+    assert len(html_extract.main_text("<p>word " * 50_000)) == 5 * 50_000 - 1
+    assert time.perf_counter() - t < 20
+
+
 def test_pages(spark):
     page = "<html><body><nav>menu</nav><header><p>top</p></header><main><article><h1>T &amp; t</h1><p>a <b>b</b>c<p>d\n e<aside>x</aside><div class='comments'>no</div><form>f</form></article></main><footer>z</footer><script>var a='<p>';</script></body></html>"
     soup = lambda k: f"<div class=wrap><div class=top>Same words on every page here</div><div class=body><p>Own text number {k} which is much longer than the rest of the page, by far and {'more ' * k}</p></div></div>"
@@ -156,9 +234,9 @@ def test_templated_lines_between_strangers(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = dict(line_dedup.alike(docs).collect())
     # the bands as alike makes them
-    h = line_dedup.lines(docs).select("doc_id", "lid", F.explode(line_dedup.shingles(F.col("line"))).alias("h")).withColumn("h", F.pmod("h", F.lit(line_dedup.PRIME)))
-    sig = h.groupBy("doc_id", "lid").agg(*[F.min((F.col("h") * a + b) % line_dedup.PRIME).alias(f"m{i}") for i, (a, b) in enumerate(line_dedup.FACTORS)]).collect()
-    by = {r["doc_id"]: (r["lid"], [tuple(r[f"m{i * line_dedup.ROWS + j}"] for j in range(line_dedup.ROWS)) for i in range(line_dedup.BANDS)]) for r in sig}
+    h = line_dedup.lines(docs).select("doc_id", "lid", F.explode(line_dedup.shingles(F.col("line"))).alias("h"))
+    sig = h.groupBy("doc_id", "lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(line_dedup.ORDERS)]).collect()
+    by = {r["doc_id"]: (r["lid"], [tuple(r[f"m{j}"] for j in x) for x in line_dedup.TRIPLES]) for r in sig}
     share = [(by[k][0], by[k + 1][0]) for k in range(0, len(rows), 2) if any(x == y for x, y in zip(by[k][1], by[k + 1][1]))]
     assert len(share) > 1400
     assert all(found.get(a, a) == found.get(b, b) for a, b in share)
@@ -182,4 +260,4 @@ def test_marks_are_whole_names_and_tokens():
     """Values of other attributes, words of compounds, and marks on body, article or headings exclude nothing."""
     page = '<body class="no-sidebar has-banner search"><article class="share"><h2 id="related-work">Related work</h2><h2 id="search">Search</h2><p title="the hidden truth">One <a href="/hidden-valley">valley</a></p><p data-class="ad" data-hidden="x">two</p>{}</article></body>'
     gone = '<p hidden>a</p><p class="big ad">b</p><div id=comments>c</div><p HIDDEN="">d</p><p aria-hidden="true">e</p><p style="display: none">f</p><div role="search">g</div>'
-    assert html_extract.main_text(page.format(gone), None, set()) == "Related work Search One valley two"
+    assert html_extract.main_text(page.format(gone)) == "Related work Search One valley two"
