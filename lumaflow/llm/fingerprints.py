@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, partitions, small_batches, texts_of
+from .common import WORDS, components, cut, documents, linked_in_bands, partitions, small_batches, texts_of
 from .shingles import SIZE, Shingler, set_id, sets_of, verified
 
 #: Permutations, rows of a band, and the likeness from which documents are near duplicates.
@@ -139,33 +140,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """doc_id, component_id: documents tied by verified pairs of near duplicates; component_id is the least doc_id.
 
-    Signatures are cut into bands of ``rows`` values; classes of equal shingle sets that share a band are tied to the
-    band's least and greatest class (no band is expanded into all its pairs), the exact Jaccard likeness of each such
-    pair is verified, and verified pairs are joined up. Documents without words are duplicates of nothing.
+    Signatures are cut into bands of ``rows`` values. Classes of equal shingle sets that share a band are ranked by their
+    number of documents, and ``linked_in_bands`` connects every two of them whose exact Jaccard likeness is verified,
+    without listing a band's pairs. Documents without words are duplicates of nothing; null ids don't name a component.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHasher()
         for b in batches:
-            sets = [minhash.shingle(t) for t in texts_of(b.column(2))]
-            bands = [np.ascontiguousarray(minhash.of(s)).view(np.uint32).reshape(-1, rows) if len(s) else np.empty((0, rows), np.uint32) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_id, sets), pa.int64()), pa.array([[f"{i}:{x.tobytes().hex()}" for i, x in enumerate(y)] for y in bands], pa.list_(pa.string()))], names=["th", "doc_id", "cls", "bands"])
-
-    d = cut(docs.select(F.xxhash64("text").alias("th"), "doc_id", "text").mapInArrow(run, f"th long, doc_id {kind}, cls long, bands array<string>"))
-    named = d.where(F.size("bands") > 0).groupBy("cls").agg(F.min("th").alias("th"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    posts = named.select("cls", F.explode("bands").alias("band"))
-    ends = posts.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    pairs = posts.join(ends, "band").select("cls", F.explode(F.array("lo", "hi")).alias("o")).where("cls != o").select(F.least("cls", "o").alias("a"), F.greatest("cls", "o").alias("b")).distinct()
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    found = cut(components(verified(pairs, sets_of(docs, named.join(wanted, "cls").select("cls", "th")), percent)))
+            ids, bands = [], []
+            for t in texts_of(b.column(2)):
+                s = minhash.shingle(t)
+                ids.append(set_id(s))
+                parts = minhash.of(s).reshape(-1, rows) if len(s) else ()
+                bands.append([xxhash.xxh3_64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(parts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["th", "doc_id", "cls", "bands"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes and parity bits of sets, as ``parity`` makes them of rows."""
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
+            odd = [np.packbits(np.bincount((x & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1, bitorder="little").view("<i8") for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), *(pa.array([int(x[i]) for x in odd], pa.int64()) for i in range(WORDS))], names=["node", "size", *(f"w{i}" for i in range(WORDS))])
+
+    d = cut(docs.select(F.xxhash64("text").alias("th"), "doc_id", "text").mapInArrow(run, f"th long, doc_id {kind}, cls long, bands array<long>"))
+    named = d.where(F.size("bands") > 0).groupBy("cls").agg(F.min("th").alias("th"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("bands").alias("bands"))
+    of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
+    posts = named.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("band"))
+    ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band))
+    ranked = cut(ranked.where("rank > 1 OR next IS NOT NULL").select("band", "node", "rank"))
+    sets = lambda nodes: sets_of(docs, named.join(nodes.withColumnRenamed("node", "cls").hint("merge"), "cls").select("cls", "th"))
+    marks = lambda nodes: sets(nodes).mapInArrow(marked, "node long, size long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
+    check = lambda pairs: verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)
+    found = cut(components(linked_in_bands(ranked, marks, check, percent)))
     per = named.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     least = per.join(per.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "component_id")
     out = d.select("doc_id", F.when(F.size("bands") > 0, F.col("cls")).alias("cls")).join(least, "cls", "left")
     return out.select("doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of the fingerprints joined and verified, over all documents."""
+    small_batches(spark)
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return fingerprints(documents(spark, sf_dir))
