@@ -70,12 +70,19 @@ def sieved(df: DataFrame, key: Column, wanted: DataFrame, how: str = "inner") ->
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``, see ``shared_folder``.
+    The folder is the session's ``spark.checkpoint.dir``, see ``shared_folder``. What the optimizer infers from the rows'
+    conditions isn't carried over the cut: of wide conditions on renamed columns it would grow with every step.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -113,70 +120,82 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list, value
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_base")
 
 
-#: Members of a band that meet in one block, and longs of a set's parity bits.
-BLOCK, WORDS = 512, 8
+#: Longs of a set's parity bits, and how many times more hubs each round has than all before.
+WORDS, GROWTH = 16, 16
 
 
 def parity(h: str) -> list[Column]:
-    """Aggregates over the distinct 64-bit hashes ``h`` of a set: its size and WORDS longs of parity bits, as ``crowd`` takes them."""
+    """Aggregates over the distinct 64-bit hashes ``h`` of a set: its size and WORDS longs of parity bits, as ``plausible`` takes them."""
     words = [F.bit_xor(F.expr(f"IF((({h} >> 6) & {WORDS - 1}) = {i}, shiftleft(1L, CAST({h} & 63 AS INT)), 0L)")).alias(f"w{i}") for i in range(WORDS)]
     return [F.count("*").alias("size"), *words]
 
 
-def crowd(shared: DataFrame, linked: DataFrame, marks: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
-    """Pairs (a, b) still to be verified, after each band's members were compared with its ends; None if there are none.
+def plausible(l: str, r: str, percent: int) -> str:
+    """SQL: whether sets with the sizes and parity bits in columns of these prefixes can be alike by ``percent``: two sets differ in at least as many elements as their parity bits differ in."""
+    apart = " + ".join(f"bit_count({l}w{i} ^ {r}w{i})" for i in range(WORDS))
+    return f"100 * least({l}size, {r}size) >= {percent} * greatest({l}size, {r}size) AND {100 + percent} * ({apart}) <= {100 - percent} * ({l}size + {r}size)"
 
-    ``shared`` (band, node, lo, hi): members of bands and the bands' ends; ``linked`` (node, component): what those
-    comparisons tied. Of the members between the ends, every two of a band that aren't of one component are looked at,
-    but those of the band's largest component only meet the others, and only pairs whose sizes and parity bits allow
-    ``percent`` of likeness become rows: two sets differ in at least as many elements as their parity bits differ in.
-    ``marks`` gives (node, size, w0, w1, ...) for a table of nodes. A band is dealt into blocks of about BLOCK members,
-    so a hot one is spread; its rows grow with members outside the largest component times blocks.
+
+def linked_in_bands(ranked: DataFrame, marks: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Verified links (a, b) by which every two members of a band that are alike are connected.
+
+    ``ranked`` (band, node, rank): members of bands, each band numbered from 1; ``marks`` gives (node, size, w0, w1, ...)
+    of a table of nodes; ``verified`` keeps the pairs (a, b) that are alike. In each round the next members of a band are
+    its hubs, one in the first round, then GROWTH - 1 times as many as all before, and meet the later members that aren't
+    known to be of their component, if the pair is ``plausible``. What links by then meets no other hub of its component:
+    a group of near copies costs some pairs for each member, not the square. Bands of one component are closed. When all
+    members have been hubs, no two of a band are left that neither met nor were known to be connected. Joins are merge
+    joins at every size: a table that is broadcast would pass through the driver, each time.
     """
-    held = shared.where("node != lo AND node != hi").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    held = cut(held)
-    per = held.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    left_over = cut(held.join(per, "band"))
-    if left_over.isEmpty():
-        return None
-    x = left_over.join(marks(left_over.select("node").distinct()), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    x = cut(x)
-    words = [f"w{i}" for i in range(WORDS)]
-    left = x.where("component != main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("node", "component", "size", *words)])
-    right = x.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "main", *[F.col(c).alias(f"r_{c}") for c in ("node", "component", "size", *words)])
-    apart = " + ".join(f"bit_count(l_{w} ^ r_{w})" for w in words)
-    once = "l_component != r_component AND (r_component = main OR l_node < r_node)"
-    sizes = f"100 * least(l_size, r_size) >= {percent} * greatest(l_size, r_size)"
-    pairs = left.hint("shuffle_merge").join(right, ["band", "block"]).where(f"{once} AND {sizes} AND {100 + percent} * ({apart}) <= {100 - percent} * (l_size + r_size)")
-    return cut(pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct())
-
-
-#: Links of a node from which on they are dealt to several tasks, so many to each.
-HUB = 100_000
-
-
-def _with_least(links: DataFrame) -> DataFrame:
-    """(u, v, m): the links with the least v of each u. A hub's links are dealt by a hash of v; there is at most one hub for
-    every HUB links, so the table of hubs that is broadcast has a HUB-th of their rows at most."""
-    per = links.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / HUB).cast("int").alias("deals"))
-    hubs = F.broadcast(per.where("deals > 1").select("u", "deals"))
-    dealt = links.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("deals")).cast("int"), F.lit(0)).alias("deal"))
-    return dealt.join(per.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal")), ["u", "deal"]).drop("deal")
+    def named(members: DataFrame, found: DataFrame, last: int) -> DataFrame:
+        """The members of bands that stay open. Nodes take the least label that theirs is linked with, in two steps; labels
+        of one component may still differ, those of two components never agree."""
+        label = members.select("node", "label").distinct()
+        of = found.join(label.withColumnRenamed("node", "a").withColumnRenamed("label", "x").hint("merge"), "a").join(label.withColumnRenamed("node", "b").withColumnRenamed("label", "y").hint("merge"), "b")
+        to = lambda c: F.struct(F.col(c).alias("label"), F.least("x", "y").alias("to"))
+        least = cut(of.select(F.explode(F.array(to("x"), to("y"))).alias("z")).groupBy("z.label").agg(F.min("z.to").alias("to")))
+        further = least.join(least.select(F.col("label").alias("to"), F.col("to").alias("then")).hint("merge"), "to", "left").select("label", F.coalesce("then", "to").alias("to"))
+        m = members.join(further.hint("merge"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        several = m.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("rank").alias("most")).where((F.col("lo") < F.col("hi")) & (F.col("most") > last)).select("band")
+        return cut(m.join(several.hint("merge"), "band", "left_semi"))
+
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    first = ranked.where("rank = 1").select("band", F.col("node").alias("hub"))
+    links = cut(verified(cut(ranked.where("rank > 1").join(first.hint("merge"), "band").select(*pair).distinct())))
+    open_ = named(ranked.withColumn("label", F.col("node")), links, 2)
+    if open_.isEmpty():
+        return links
+    known = cut(marks(open_.select("node").distinct()))
+    cols = [*[c for c in known.columns if c != "node"], "label"]
+    at, last = 2, GROWTH
+    while True:
+        now = open_.join(known.hint("merge"), "node")
+        hubs = now.where((F.col("rank") >= at) & (F.col("rank") < last)).select("band", F.col("node").alias("hub"), F.col("rank").alias("h_rank"), *[F.col(c).alias(f"h_{c}") for c in cols])
+        met = now.where(F.col("rank") > at).hint("merge").join(hubs, "band").where(f"rank > h_rank AND label != h_label AND {plausible('h_', '', percent)}")
+        found = cut(verified(cut(met.select(*pair).distinct())))
+        links = links.union(found)
+        open_ = named(open_, found, last)
+        if open_.isEmpty():
+            return links
+        at, last = last, last * GROWTH
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links as (node, component), component the smallest node.
 
     Large-star and small-star turns (Kiveris et al. 2014) until no link changes. Links stay distributed; each turn is
-    checkpointed, so a lost executor costs at most one turn. A hub's links are spread over tasks.
+    checkpointed, so a lost executor costs at most one step. The least neighbours are a table of their own, so that
+    the join of a hub's links with them has a shuffle on either side and the engine's skew join can split it.
     Nodes without links are not in the result; self links and repeated links do no harm; null ends are dropped.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
-        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(small.select("x.u", "x.v").where("u > v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, crowd, cut, documents, parity, partitions
+from .common import components, cut, documents, linked_in_bands, parity, sieved
 
 #: Characters of a shingle; shorter lines are only compared as wholes.
 SHINGLE, PERCENT = 8, 75
-#: Bands of rows of a signature: at a likeness of 0.75 a band is shared with odds 0.99, at 0.85 with 0.9999.
-BANDS, ROWS = 8, 3
-#: A prime above the hashes (31 bits), so that hash * factor fits 63 bits.
-PRIME = (1 << 31) - 1
-#: Up to so many lines are broadcast as a filter; beyond, they are joined.
-BROADCAST_LINES = 500_000
+#: Values of a signature: each is the least hash of the line's shingles in another order, hash XOR a number of its own.
+VALUES, BANDS = 9, 12
 _rng = random.Random(6)
-FACTORS = [(_rng.randrange(1, PRIME), _rng.randrange(PRIME)) for _ in range(BANDS * ROWS)]
+ORDERS = [_rng.getrandbits(64) - (1 << 63) for _ in range(VALUES)]
+
+
+def _triples(values: int, bands: int) -> list[tuple[int, ...]]:
+    """Bands of three values of which any two have one in common at most, taken from all triples in a seeded order."""
+    for seed in itertools.count():
+        every, out = [*itertools.combinations(range(values), 3)], []
+        random.Random(seed).shuffle(every)
+        for x in every:
+            if all(len({*x} & {*y}) < 2 for y in out):
+                out.append(x)
+        if len(out) >= bands:
+            return out[:bands]
+
+
+#: With nine values these are the twelve lines of an affine plane. A band is shared at a likeness of 0.75 with odds 0.975, at 0.8 with 0.99, at 0.9 with 0.9995. Values that serve in
+#: several bands cost less than values of their own, at the same odds.
+TRIPLES = _triples(VALUES, BANDS)
+#: Bytes of a code point, and of a shingle.
+WIDE = 4
+WIDTH = WIDE * SHINGLE
+
+
+def code_points(line: Column) -> Column:
+    """A line in lower case, each character in WIDE bytes, so that any shingle is found by its place."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def _starts(points: Column) -> Column:
+    """Byte places, from 1, of the shingles: one at each character."""
+    return F.sequence(F.lit(1), F.octet_length(points) - (WIDTH - 1), F.lit(WIDE))
 
 
 def shingles(line: Column) -> Column:
     """Hashes of a line's character shingles: SHINGLE code points from each place, in lower case."""
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
+    def of(points: Column) -> Column:
+        hashed = F.transform(_starts(points), lambda at: F.xxhash64(F.substring(points, at, F.lit(WIDTH))))
+        return F.when(F.octet_length(points) >= WIDTH, hashed).otherwise(F.array().cast("array<long>"))
+    return F.transform(F.array(code_points(line)), of)[0]
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -35,41 +65,35 @@ def lines(docs: DataFrame) -> DataFrame:
 def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(lid, component): near-duplicate lines, tied by verified pairs.
 
-    Signatures are least universal hashes, summed up by line before and after one shuffle, so a line that occurs
-    everywhere is one row for each task. Lines that share a band are tied to the band's least and greatest line, and
-    each such pair's exact Jaccard likeness is verified. Then ``crowd`` finds, among the other lines of a band, those
-    not yet of one component that can be alike; these are verified too, and all verified pairs are joined up. So every
-    two lines that share a band are compared or of one component.
+    Signatures are least hashes in several orders, summed up by line before and after one shuffle, so a line that
+    occurs everywhere is one row for each task. The lines of a band are ranked by frequency: of near copies the most
+    frequent one is most often what the others were made of. By ``linked_in_bands`` every two lines that share a band
+    and are alike by their exact Jaccard likeness get connected.
     """
-    spark = docs.sparkSession
-    h = lines(docs).where("lid IS NOT NULL").select("lid", F.explode(shingles(F.col("line"))).alias("h")).withColumn("h", F.pmod("h", F.lit(PRIME)))
-    signature = [F.min((F.col("h") * a + b) % PRIME).cast("int").alias(f"m{i}") for i, (a, b) in enumerate(FACTORS)]
-    s = h.groupBy("lid").agg(*signature)
-    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{i * ROWS + j}") for j in range(ROWS)]) for i in range(BANDS)])
-    posts = s.select("lid", F.explode(bands).alias("band")).repartition(partitions(spark), "band")
-    ends = posts.groupBy("band").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")
-    shared = cut(posts.join(ends, "band").select("band", F.col("lid").alias("node"), "lo", "hi"))
-    tied = shared.select("node", F.explode(F.array("lo", "hi")).alias("o")).where("node != o")
-    pairs = cut(tied.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct())
+    points = lines(docs).where("lid IS NOT NULL").select("lid", code_points(F.col("line")).alias("points")).where(F.octet_length("points") >= WIDTH)
+    h = points.select("lid", "points", F.explode(_starts(F.col("points"))).alias("at")).select("lid", F.xxhash64(F.substring(F.col("points"), F.col("at"), F.lit(WIDTH))).alias("h"))
+    s = h.groupBy("lid").agg(F.count("*").alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(ORDERS)])
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in x]) for i, x in enumerate(TRIPLES)])
+    of_band = Window.partitionBy("band")
+    of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
+    posts = s.select(F.col("lid").alias("node"), "n", F.explode(bands).alias("band"))
+    ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band))
+    shared = cut(ranked.where("rank > 1 OR next IS NOT NULL").select("band", "node", "rank"))
     wanted = cut(shared.select(F.col("node").alias("lid")).distinct())
-    few = wanted.count() <= BROADCAST_LINES
-    full = lines(docs).where("lid IS NOT NULL").select("lid", "line").join(F.broadcast(wanted) if few else wanted, "lid", "left_semi")
-    texts = cut(full.groupBy("lid").agg(F.first("line").alias("line")))
-    linked = cut(verified(pairs, texts, percent))
-    found = components(linked)
+    full = sieved(lines(docs).where("lid IS NOT NULL").select("lid", "line"), F.col("lid"), wanted)
+    texts = cut(full.groupBy("lid").agg(F.first("line").alias("line")).join(wanted.hint("merge"), "lid", "left_semi"))
 
     def marks(nodes: DataFrame) -> DataFrame:
-        of = texts.join(nodes.withColumnRenamed("node", "lid"), "lid", "left_semi")
+        of = texts.join(nodes.withColumnRenamed("node", "lid").hint("merge"), "lid", "left_semi")
         return of.select(F.col("lid").alias("node"), F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")).groupBy("node").agg(*parity("h"))
 
-    if (rest := crowd(shared, found, marks, percent)) is not None:
-        found = components(linked.union(verified(rest, texts, percent)))
-    return found.select(F.col("node").alias("lid"), "component")
+    links = linked_in_bands(shared, marks, lambda pairs: verified(pairs, texts, percent), percent)
+    return components(links).select(F.col("node").alias("lid"), "component")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have 100 * intersection >= percent * union; ``texts`` has (lid, line)."""
-    p = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    p = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     p = p.select("a", "b", F.array_distinct(shingles(F.col("la"))).alias("s"), F.array_distinct(shingles(F.col("lb"))).alias("t"))
     return p.withColumn("shared", F.size(F.array_intersect("s", "t"))).where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared"))).select("a", "b")
 
@@ -82,11 +106,11 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gives null. Rows with a null doc_id take part, last in order. Other columns are kept and have no effect.
     """
     found = cut(alike(docs, percent))
-    occurrences = lines(docs).drop("line").join(found, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    occurrences = lines(docs).drop("line").join(found.hint("merge"), "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     occurrences = cut(occurrences.select("doc_id", "th", "place", "component"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "place")
     first = occurrences.where("component IS NOT NULL").groupBy("component").agg(F.min(place).alias("first"))
-    stays = occurrences.where("component IS NOT NULL").join(first, "component").where(place == F.col("first")).select("doc_id", "th", "place")
+    stays = first.select("first.doc_id", "first.th", "first.place")
     blank = occurrences.where("component IS NULL").select("doc_id", "th", "place")
     kept = stays.union(blank).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("place")).alias("_places")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_places")
     th = F.xxhash64("text")
