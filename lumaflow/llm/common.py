@@ -124,10 +124,12 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list, value
 WORDS, GROWTH = 16, 16
 
 
-def parity(h: str) -> list[Column]:
-    """Aggregates over the distinct 64-bit hashes ``h`` of a set: its size and WORDS longs of parity bits, as ``plausible`` takes them."""
-    words = [F.bit_xor(F.expr(f"IF((({h} >> 6) & {WORDS - 1}) = {i}, shiftleft(1L, CAST({h} & 63 AS INT)), 0L)")).alias(f"w{i}") for i in range(WORDS)]
-    return [F.count("*").alias("size"), *words]
+def parity(hashes: DataFrame) -> DataFrame:
+    """(node, size, w0, w1, ...) of distinct rows (node, h): a set's size and WORDS longs of parity bits, as ``plausible`` takes
+    them. Each hash toggles one bit; its word is part of the first key, so a row is one update and not WORDS of them."""
+    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1).cast("int")
+    by = hashes.groupBy("node", word.alias("w")).agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("x"))
+    return by.groupBy("node").agg(F.sum("n").alias("size"), *[F.coalesce(F.max(F.when(F.col("w") == i, F.col("x"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)])
 
 
 def plausible(l: str, r: str, percent: int) -> str:

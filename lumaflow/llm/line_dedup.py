@@ -85,7 +85,7 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def marks(nodes: DataFrame) -> DataFrame:
         of = texts.join(nodes.withColumnRenamed("node", "lid").hint("merge"), "lid", "left_semi")
-        return of.select(F.col("lid").alias("node"), F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")).groupBy("node").agg(*parity("h"))
+        return parity(of.select(F.col("lid").alias("node"), F.explode(F.array_distinct(shingles(F.col("line")))).alias("h")))
 
     links = linked_in_bands(shared, marks, lambda pairs: verified(pairs, texts, percent), percent)
     return components(links).select(F.col("node").alias("lid"), "component")
