@@ -56,12 +56,19 @@ class Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         merging = lambda pattern: tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.short, self.as_one = merging(PATTERN), cache(lambda: merging(r"[\s\S]+"))
-        self.starts = {i for t, i in ranks.items() if t[:1] == b" "}
+        self.ranks, self.starts = ranks, {i for t, i in ranks.items() if t[:1] == b" "}
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.added = {t: self.bytes_of([i]) for t, i in special.items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id; an id that no text gives has none."""
+        out = [b""] * (max(self.ranks.values()) + 1)
+        for t, i in self.ranks.items():
+            out[i] = t
+        return out
+
     @staticmethod
     def bytes_of(ids: list[int]) -> bytes:
         out = array("I", ids)
