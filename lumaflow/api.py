@@ -71,8 +71,9 @@ def analyze_visual(frames: DataFrame, catalog: DataFrame, score: float | None =
     return closed_set.answers(frames, catalog, score, margin)
 
 
-def compute_signals(frames: DataFrame, conf: EngineConf = EngineConf()) -> tuple[DataFrame, DataFrame]:
-    return motion.video_signals(frames, conf), motion.candidates(frames, conf)
+def compute_signals(frames: DataFrame, conf: EngineConf = EngineConf(), info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signals and ranked candidates; ``info`` as the report source gives it."""
+    return motion.video_signals(frames, conf, info), motion.candidates(frames, conf)
 
 
 def evaluate_profiles(signals: DataFrame, book: RuleBook | None = None, production: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -179,11 +180,11 @@ class JobStore:
         return self.move(job_id, "queued", error=None)
 
 
-def run_job(store: JobStore, job_id: str, frames: DataFrame, out: str) -> dict:
+def run_job(store: JobStore, job_id: str, frames: DataFrame, out: str, info: DataFrame | None = None) -> dict:
     """Runs the pipeline for a job and writes each stage's table below ``out``; a failure ends in the record."""
     store.move(job_id, "analyzing")
     try:
-        for name, table in run_pipeline(frames).items():
+        for name, table in run_pipeline(frames, info=info).items():
             if store.get(job_id)["status"] == "cancelled":
                 return store.get(job_id)
             table.write.mode("overwrite").parquet(f"{out}/{job_id}/{name}")

@@ -15,13 +15,14 @@ from ..functions.rules import Narrative, RuleBook
 from ..operators import motion, narrative, planner, storyboard, styles
 
 
-def run_pipeline(frames: DataFrame, style: RuleBook | None = None, story: Narrative | None = None, template: str = "hook_first", conf: EngineConf = EngineConf()) -> dict[str, DataFrame]:
+def run_pipeline(frames: DataFrame, style: RuleBook | None = None, story: Narrative | None = None, template: str = "hook_first", conf: EngineConf = EngineConf(), info: DataFrame | None = None) -> dict[str, DataFrame]:
     """signals, candidates, matches, referrals, shots, target_matches, clips and timeline, all lazy, by name.
 
-    A caller writes those it wants to keep; stages that share frames share their scan and shuffle.
+    A caller writes those it wants to keep; stages that share frames share their scan and shuffle. ``info`` (as the
+    report source gives it) fills the signals that frames don't have.
     """
     style, story = style or books.styles(), story or books.narratives()
-    out = {"signals": motion.video_signals(frames, conf), "candidates": motion.candidates(frames, conf)}
+    out = {"signals": motion.video_signals(frames, conf, info), "candidates": motion.candidates(frames, conf)}
     out["matches"] = styles.evaluate(out["signals"], style)
     out["referrals"] = styles.referrals(out["matches"], style)
     out["clips"] = planner.plan_clips(out["candidates"], conf.target_duration_seconds, conf.min_segment_seconds)

@@ -504,3 +504,6 @@ def sampling_points(spark, d):
 @query("WITH b AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, p_brand || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.mp4' AS file_name FROM b")
 def file_names(spark, d):
     return titles.file_names(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "file_name")
+
+
+from . import ingest  # noqa: E402, F401  adds its queries

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What the tools print.
+RATE, CUT, VOLUME = "avg_frame_rate", "pts_time", "mean_volume"
+
 
 def media_info(df: DataFrame, text: str = "probe") -> DataFrame:
     """Adds duration_seconds, width, height, fps and has_audio from a probe's key=value lines. No duration: an error."""
     first = lambda key: F.regexp_extract(F.col(text), rf"(?m)^{key}=([^\s]+)", 1)
     num = lambda c: c.try_cast("double")
-    rate = F.split(first("r_frame_rate"), "/")
+    rate = F.split(F.regexp_extract(F.col(text), rf"(?m)^{RATE}=([0-9.]+/0*[1-9][0-9]*)", 1), "/")  # the first that has a denominator
     duration = num(first("duration"))
     d = df.withColumn("duration_seconds", F.when(duration.isNull(), F.raise_error(F.lit("probe without a duration")).cast("double")).otherwise(duration))
     d = d.withColumn("width", first("width").try_cast("int")).withColumn("height", first("height").try_cast("int"))
@@ -27,12 +32,34 @@ def _values(log: Column, key: str) -> Column:
 
 def scene_cut_times(log: Column) -> Column:
     """Sorted seconds of the cuts in a scene filter's log."""
-    return F.array_sort(_values(log, "pts_time"))
+    return F.array_sort(_values(log, CUT))
 
 
 def mean_volume(log: Column) -> Column:
     """Decibels, or null."""
-    return F.get(_values(log, "mean_volume"), F.lit(0))
+    return F.get(_values(log, VOLUME), F.lit(0))
+
+
+def parse_probe(text: str) -> dict:
+    """The values of ``media_info`` for one probe's text. No duration, or a number that isn't one: ValueError."""
+    lines = [(k.strip(), v.strip()) for k, sep, v in (line.partition("=") for line in text.splitlines()) if sep]
+    first = {k: v for k, v in reversed(lines)}
+    if "duration" not in first:
+        raise ValueError("probe without a duration")
+    whole = lambda key: int(first[key]) if key in first else None
+    rates = (re.fullmatch(r"([0-9.]+)/([0-9.]+)", v) for k, v in lines if k == RATE)
+    fps = next((float(m[1]) / float(m[2]) for m in rates if m and float(m[2]) > 0), None)
+    return {"duration_seconds": float(first["duration"]), "width": whole("width"), "height": whole("height"), "fps": fps, "has_audio": ("codec_type", "audio") in lines}
+
+
+def parse_scenes(log: str) -> list[float]:
+    """Sorted seconds of the cuts in one scene filter's log."""
+    return sorted(float(x) for x in re.findall(rf"{CUT}:\s*([0-9]+(?:\.[0-9]+)?)", log))
+
+
+def parse_volume(log: str) -> float | None:
+    found = re.search(rf"{VOLUME}:\s*(-?[0-9]+(?:\.[0-9]+)?)\s*dB", log)
+    return float(found[1]) if found else None
 
 
 def jpeg_data_url(jpeg: Column) -> Column:

@@ -243,7 +243,7 @@ def test_file_names(spark):
 
 
 def test_reports(spark):
-    probe = "width=1920\nheight=1080\nr_frame_rate=30000/1001\ncodec_type=audio\nduration=12.5\n"
+    probe = "width=1920\nheight=1080\navg_frame_rate=30000/1001\ncodec_type=audio\nduration=12.5\n"
     r = media.media_info(spark.createDataFrame([(probe,)], "probe string")).first()
     assert (r["duration_seconds"], r["width"], r["height"], r["has_audio"]) == (12.5, 1920, 1080, True) and abs(r["fps"] - 29.97) < 0.01
     with pytest.raises(Exception, match="duration"):
