@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import EngineConf
 from ..functions import decode
-from ..operators import grids, motion, styles
+from ..operators import fingerprints, grids, motion, styles
 from ..sources import files
 from ..sources.views import durations, gray_frames, pictures, timelines
-from .registry import FR, PX, RULES, SIG, STYLE, query
+from ..streaming import frames as live
+from . import reviewer
+from .registry import CAND, FR, MEASURE, PATTERN, PX, RULES, SIG, STYLE, WS, query
 
 CONF = EngineConf()
 
@@ -106,3 +110,55 @@ def decoded_pair_change(spark, d):
 
     s = motion.with_steps(_decoded(spark, d), Window.partitionBy("video_id").orderBy("ts")).where("mean_diff IS NOT NULL")
     return s.select("video_id", "ts", F.round("mean_diff", 6).alias("mean_diff"), F.round("changed_ratio", 6).alias("changed_ratio"))
+
+
+@query(f"WITH {FR}, w AS (SELECT video_id, t // 3 * 3.0 AS start, abs(lum - lag(lum) OVER (PARTITION BY video_id, t // 3 ORDER BY t)) AS d FROM fr), m AS (SELECT video_id, CAST(start AS DOUBLE) AS start, {MEASURE} FROM w GROUP BY video_id, start) SELECT video_id, start, samples, pairs, active AS active_pairs, round(mean, 6) AS mean_ratio, round(peak, 6) AS peak_ratio, round(spike, 6) AS spike, CASE WHEN pairs > 0 THEN {PATTERN} END AS pattern, CASE WHEN samples >= 2 THEN 'completed' ELSE 'insufficient_data' END AS status FROM m")
+def live_motion_windows(spark, d):
+    """The batch's windows, measured by the stream."""
+    f = timelines(spark, d).select("video_id", live.media_time(F.col("t")).alias("ts"), "lum")
+    w = live.replayed(f, live.live_windows, files.work_folder(spark, "live"))
+    return w.select("video_id", "start", "samples", "pairs", "active_pairs", F.round("mean_ratio", 6).alias("mean_ratio"), F.round("peak_ratio", 6).alias("peak_ratio"), F.round("spike", 6).alias("spike"), "pattern", "status")
+
+
+@query(f"WITH {FR}, p AS (SELECT * FROM pr WHERE d IS NOT NULL) SELECT video_id, t, round(d, 6) AS diff FROM p")
+def live_pair_diff(spark, d):
+    f = timelines(spark, d).select("video_id", live.media_time(F.col("t")).alias("ts"), "lum")
+    p = live.replayed(f, live.live_pairs, files.work_folder(spark, "live"))
+    return p.select("video_id", (F.unix_seconds("ts") - live.BASE).alias("t"), F.round("mean_diff", 6).alias("diff"))
+
+
+@query(f"""WITH {PX}, b AS (SELECT video_id * 100000 + t AS id, 5 * t + video_id % 5 AS day, list_transform(v, lambda x: CASE WHEN x > list_aggregate(v, 'sum') / 64 THEN 1 ELSE 0 END) AS bits FROM px),
+h AS (SELECT *, list_aggregate(list_transform(bits, lambda x: x::VARCHAR), 'string_agg', '') AS h FROM b),
+p AS (SELECT a.id, a.day, z.id AS earlier, z.day AS before_day, z.h AS of, 64 - list_aggregate(list_transform(list_zip(a.bits, z.bits), lambda q: CASE WHEN q[1] = q[2] THEN 1 ELSE 0 END), 'sum') AS apart FROM h a JOIN h z ON z.day < a.day OR z.day = a.day AND z.id::VARCHAR < a.id::VARCHAR),
+l AS (SELECT *, row_number() OVER (PARTITION BY id, of ORDER BY before_day DESC, earlier::VARCHAR DESC) AS k FROM p WHERE apart <= 6)
+SELECT id::VARCHAR AS upload_id, earlier::VARCHAR AS earlier_id, CAST(apart AS INT) AS bits, CAST(day - before_day AS INT) AS days FROM l WHERE k = 1 AND day - before_day <= 90""")
+def repeated_uploads(spark, d):
+    """Frames as uploads some days apart, against the stock of the last ninety days."""
+    p = pictures(spark, d)
+    day = 5 * F.col("t") + F.col("video_id") % 5
+    u = p.select((F.col("video_id") * 100000 + F.col("t")).cast("string").alias("upload_id"), F.timestamp_seconds(live.BASE * (1 + day)).alias("ts"), fingerprints.average_hash(F.col("px")).alias("hash"))
+    r = live.replayed(u, live.near_repeats, files.work_folder(spark, "live"))
+    return r.select("upload_id", "earlier_id", "bits", F.date_diff("ts", "earlier_ts").alias("days"))
+
+
+def _rubric(request: str) -> str:
+    """A reviewer's rule in place of a service: it keeps a video whose best candidate scores one half or more."""
+    text = json.loads(request)["messages"][1]["content"][0]["text"]
+    best = json.loads(text.partition("INPUT:\n")[2])["candidates"]
+    return json.dumps({"verdict": "keep" if best and best[0]["score"] >= 0.5 else "drop", "seen": len(best), "prompt": text.partition("\n")[0]})
+
+
+@query(f"""WITH {FR}, {SIG}, {RULES}, {CAND.removeprefix(WS).lstrip(', ')}, k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS c FROM pm),
+rf AS (SELECT video_id, profile_id, CASE profile_id WHEN 'ran_xiang' THEN 3 ELSE 2 END AS most, CASE profile_id WHEN 'ran_xiang' THEN 'prompts/style_ran_xiang.md' WHEN 'fast_dialogue' THEN 'prompts/style_dialogue.md' ELSE 'prompts/quality_review.md' END AS prompt_ref FROM k WHERE profile_id <> 'ran_xiang' OR c >= 2)
+SELECT video_id, profile_id, prompt_ref, 'answered' AS status, CASE WHEN max(score) FILTER (rank <= most) >= 0.5 THEN 'keep' ELSE 'drop' END AS verdict, count(*) FILTER (rank <= most) AS seen, 'Rubric ' || prompt_ref AS prompt FROM rf JOIN cand USING (video_id) GROUP BY video_id, profile_id, prompt_ref""")
+def review_answers(spark, d):
+    """Referred videos with a reviewer's answers: prompts from files, a request for each referral, each asked once."""
+    f = timelines(spark, d)
+    signals = motion.video_signals(f)
+    referred = styles.referrals(styles.evaluate(signals, STYLE), STYLE)
+    refs = sorted({p.fallback.prompt_ref for p in STYLE.profiles if p.fallback})
+    texts = spark.createDataFrame([(r, f"Rubric {r}\nKeep what moves.") for r in refs], "path string, text string").select("path", F.col("text").cast("binary").alias("content"))
+    files.commit(texts, folder := files.work_folder(spark, "prompts"))
+    asked = reviewer.requests(referred, signals, motion.candidates(f), reviewer.prompts(spark, folder), "local-rule")
+    a = reviewer.results(reviewer.ask(asked, _rubric, files.work_folder(spark, "ledger")))
+    return a.select("video_id", "profile_id", "prompt_ref", "status", F.col("result")["verdict"].alias("verdict"), F.col("result")["seen"].cast("long").alias("seen"), F.col("result")["prompt"].alias("prompt"))

@@ -37,7 +37,8 @@ class MediaError(RuntimeError):
     pass
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI, and the path there."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -75,7 +76,7 @@ class ReportReader(DataSourceReader):
 
     def partitions(self) -> list[Videos]:
         """Whole videos, small ones together. Files and folders that begin with _ or . are not looked at."""
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         found: dict[str, dict[str, str]] = {}
         sizes: dict[str, int] = {}
         for f in sorted(store.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda f: f.path):
@@ -89,7 +90,7 @@ class ReportReader(DataSourceReader):
         return [Videos(g) for g in _dealt([(sizes[v], (v, found[v])) for v in sorted(found)], self.limit) or [[]]]
 
     def read(self, partition: Videos) -> Iterator[pa.RecordBatch]:
-        store, _ = _store(self.path)
+        store, _ = opened(self.path)
         rows = []
         for video, files in partition.videos:
             try:
@@ -156,13 +157,13 @@ class FilesWriter(DataSourceArrowWriter):
         self._refuse()
 
     def _refuse(self) -> tuple[fs.FileSystem, str]:
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         if store.get_file_info(f"{path}/{MANIFEST}").type != fs.FileType.NotFound:
             raise FileExistsError(f"{self.path} was written before")
         return store, path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         folder, files = f"{path}/_staged/{self.job}/{uuid.uuid4().hex}", []
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
@@ -194,7 +195,7 @@ class FilesWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         """Takes away what the job has staged; nothing of it was visible."""
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         if store.get_file_info(at := f"{path}/_staged/{self.job}").type == fs.FileType.Directory:
             store.delete_dir(at)
 
@@ -209,14 +210,14 @@ class FilesReader(DataSourceReader):
         self.path, self.limit = options["path"], int(options.get("maxPartitionBytes", PARTITION))
 
     def partitions(self) -> list[Listed]:
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.NotFound:
             raise FileNotFoundError(f"nothing was committed to {self.path}")
         files = json.loads(_read(store, f"{path}/{MANIFEST}"))["files"]
         return [Listed(g) for g in _dealt([(OPEN + f["bytes"], f) for f in files], self.limit) or [[]]]
 
     def read(self, partition: Listed) -> Iterator[tuple]:
-        store, path = _store(self.path)
+        store, path = opened(self.path)
         for f in partition.files:
             if len(data := _read(store, f"{path}/{f['path']}")) != f["bytes"]:
                 raise MediaError(f"{f['name']} isn't what was committed")
