@@ -73,7 +73,7 @@ def analyze_visual(frames: DataFrame, catalog: DataFrame, score: float | None =
 
 def compute_signals(frames: DataFrame, conf: EngineConf = EngineConf(), info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Signals and ranked candidates; ``info`` as the report source gives it."""
-    return motion.video_signals(frames, conf, info), motion.candidates(frames, conf)
+    return motion.video_signals(frames, conf, info, True), motion.candidates(frames, conf, True)
 
 
 def evaluate_profiles(signals: DataFrame, book: RuleBook | None = None, production: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def compare(videos: DataFrame, references: DataFrame, prints: DataFrame, overlay
 
 
 def extract_storyboard(frames: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
-    return storyboard.shot_signals(frames, motion.scene_cuts(frames, conf), conf)
+    return storyboard.shot_signals(frames, motion.scene_cuts(frames, conf), conf, True)
 
 
 def plan_narrative(shots: DataFrame, template: str, style_id: str | None = None, target: float = 15.0, interleave: bool = False) -> DataFrame:

@@ -24,6 +24,9 @@ class EngineConf:
     max_frames: int = 240
     target_duration_seconds: float = 15.0
     min_segment_seconds: float = 1.0
+    # digits to which measures are shipped, rounded exactly; rates and shares of windows have three
+    signal_digits: int = 4
+    rate_digits: int = 3
 
     @classmethod
     def of(cls, spark: SparkSession) -> EngineConf:

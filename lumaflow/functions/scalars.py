@@ -8,6 +8,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def exact_round(x: Column, digits: int) -> Column:
+    """x to ``digits`` decimal places (0 to 15) by its exact binary value, ties to even: what Python's ``round`` gives.
+
+    ``round`` of the engine goes by the shortest decimal text of x and rounds halves up. Here the error of x times a power
+    of ten is found exactly by splitting both factors, so the side of the half on which the true product lies is known.
+    Numbers so large that no double lies between two decimals of that length, NaN and infinities stay as they are.
+    """
+    if not 0 <= digits <= 15:
+        raise ValueError("digits must be in 0..15")
+    power, split = 10.0**digits, 134217729.0
+    high = lambda v: v * split - (v * split - v)  # noqa: E731  the upper half of v's bits
+    b1 = high(power)
+    b2 = power - b1
+    x = x.cast("double")
+    p, a1 = x * power, high(x)
+    a2 = x - a1
+    error = ((a1 * b1 - p) + a1 * b2 + a2 * b1) + a2 * b2
+    floor = F.floor(p).cast("double")
+    below = (p == floor) & (error < 0)
+    low = F.when(below, floor - 1).otherwise(floor)
+    over = F.when(below, 0.5).otherwise(p - floor - 0.5)
+    up = (over > -error) | (over == -error) & (F.pmod(low, F.lit(2.0)) == 1)
+    return F.when(F.abs(x) * power < 2.0**53, (low + F.when(up, 1.0).otherwise(0.0)) / power).otherwise(x)
+
+
+def rounded(x: Column, digits: int | None, wide: int) -> Column:
+    """x as it is shipped, to ``digits``; without them, to ``wide`` digits for the steps that follow."""
+    return F.round(x, wide) if digits is None else exact_round(x, digits)
+
+
 def clamp01(x: Column) -> Column:
     """x in 0..1; null stays null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..conf import EngineConf
+from ..functions import scalars
+from ..functions.scalars import rounded
 from ..sources.views import durations
 from . import grids
 
@@ -125,8 +127,8 @@ def scene_cuts(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
     return pair_diffs(frames).where(F.col("diff") > conf.scene_cut_threshold).select("video_id", F.col("t").cast("double").alias("ts"), F.col("diff").alias("scene_score"))
 
 
-def video_signals(frames: DataFrame, conf: EngineConf = CONF, info: DataFrame | None = None) -> DataFrame:
-    """A row of signals for each video with a measured window.
+def video_signals(frames: DataFrame, conf: EngineConf = CONF, info: DataFrame | None = None, shipped: bool = False) -> DataFrame:
+    """A row of signals for each video with a measured window; ``shipped`` rounds them exactly, to the settings' digits.
 
     ``info`` (video_id and any of width, height, fps, audio_mean_volume_db) gives what a probe and an audio log say; what
     it lacks is null, and so is everything of it for videos that it doesn't have.
@@ -140,25 +142,29 @@ def video_signals(frames: DataFrame, conf: EngineConf = CONF, info: DataFrame |
     s = s if told is None else s.join(told, "video_id", "left")
     of = lambda c: (F.col(f"_{c}") if f"_{c}" in s.columns else F.lit(None).cast(kinds[c])).alias(c)
     count, seconds = F.coalesce("scene_count", F.lit(0)), F.col("n").cast("double")
+    fine, rate = (conf.signal_digits, conf.rate_digits) if shipped else (None, None)
+    fps = of("fps") if not shipped else scalars.exact_round(of("fps"), conf.rate_digits).alias("fps")
     return s.select(
-        "video_id", F.round(count / F.greatest(seconds / 60.0, F.lit(1e-6)), 3).alias("shot_cut_rate_per_min"), count.cast("int").alias("scene_count"),
-        F.round("mean_motion_intensity", 8).alias("mean_motion_intensity"), F.round("peak_motion_intensity", 6).alias("peak_motion_intensity"),
-        F.round("continuous_motion_window_ratio", 3).alias("continuous_motion_window_ratio"), of("audio_mean_volume_db"),
-        F.round("luminance_spike_ratio", 6).alias("luminance_spike_ratio"), seconds.alias("duration_seconds"),
-        of("width"), of("height"), of("fps"),
+        "video_id", rounded(count / F.greatest(seconds / 60.0, F.lit(1e-6)), rate, 3).alias("shot_cut_rate_per_min"), count.cast("int").alias("scene_count"),
+        rounded(F.col("mean_motion_intensity"), fine, 8).alias("mean_motion_intensity"), rounded(F.col("peak_motion_intensity"), fine, 6).alias("peak_motion_intensity"),
+        rounded(F.col("continuous_motion_window_ratio"), rate, 3).alias("continuous_motion_window_ratio"), of("audio_mean_volume_db"),
+        rounded(F.col("luminance_spike_ratio"), fine, 6).alias("luminance_spike_ratio"), seconds.alias("duration_seconds"),
+        of("width"), of("height"), fps,
     )
 
 
-def candidates(frames: DataFrame, conf: EngineConf = CONF) -> DataFrame:
-    """Scored windows with their rank in the video. Weights .65, .20, .15 and the motion scale of .5."""
+def candidates(frames: DataFrame, conf: EngineConf = CONF, shipped: bool = False) -> DataFrame:
+    """Scored windows with their rank in the video; ``shipped`` as in ``video_signals``. Weights .65, .20, .15 and the motion scale of .5."""
     w = motion_windows(frames, uniform(frames, conf), conf).where("status = 'completed'")
     motion = F.least(F.lit(1.0), F.col("mean_ratio") / 0.5)
     steady = F.when(F.col("continuous"), 1.0).otherwise(0.0)
     light = F.least(F.lit(1.0), F.col("spike") / max(conf.luminance_spike_threshold, 1e-6))
+    r = lambda x: rounded(x, conf.signal_digits if shipped else None, 6)
+    parts = F.map_from_arrays(F.array(F.lit("motion"), F.lit("continuity"), F.lit("luminance")), F.array(r(motion), steady, r(light)))
     c = w.select(
         "video_id", F.col("start").alias("start_seconds"), F.least(F.lit(3.0), F.col("n") - F.col("start")).alias("duration_seconds"),
-        F.round(0.65 * motion + 0.20 * steady + 0.15 * light, 6).alias("score"), F.round("mean_ratio", 6).alias("motion_intensity"), F.round("peak_ratio", 6).alias("peak_motion_intensity"),
-        F.col("pattern").alias("temporal_pattern"), F.round("spike", 6).alias("luminance_spike_ratio"), F.map_from_arrays(F.array(F.lit("motion"), F.lit("continuity"), F.lit("luminance")), F.array(F.round(motion, 6), steady, F.round(light, 6))).alias("score_components"),
+        r(0.65 * motion + 0.20 * steady + 0.15 * light).alias("score"), r(F.col("mean_ratio")).alias("motion_intensity"), r(F.col("peak_ratio")).alias("peak_motion_intensity"),
+        F.col("pattern").alias("temporal_pattern"), r(F.col("spike")).alias("luminance_spike_ratio"), parts.alias("score_components"),
     )
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "start_seconds")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import EngineConf
+from ..functions.scalars import rounded
 from ..sources.views import durations
 from . import grids, motion
 
@@ -25,14 +26,14 @@ def shots(cuts: DataFrame, videos: DataFrame) -> DataFrame:
     return s.unionByName(none)
 
 
-def shot_signals(frames: DataFrame, cuts: DataFrame, conf: EngineConf = CONF) -> DataFrame:
-    """Shots with motion and luminance measures of their samples; fewer than two samples give zeros."""
+def shot_signals(frames: DataFrame, cuts: DataFrame, conf: EngineConf = CONF, shipped: bool = False) -> DataFrame:
+    """Shots with motion and luminance measures of their samples; fewer than two samples give zeros. ``shipped`` rounds exactly, to the settings' digits."""
     videos = durations(frames)
     s = shots(cuts, videos).withColumn("in_video", F.count("*").over(Window.partitionBy("video_id"))).join(videos, "video_id")
     points = s.withColumn("ts", F.explode(grids.shot_times(F.col("start_seconds"), F.col("end_seconds"), grids.per_shot(F.col("in_video"), conf))))
     got = grids.sampled(points, frames)
     got = motion.with_steps(got, Window.partitionBy("video_id", "index").orderBy("ts"), conf)
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    zero = lambda c: rounded(F.coalesce(c, F.lit(0.0)), conf.signal_digits if shipped else None, 6)
     return got.groupBy("video_id", "index", "start_seconds", "end_seconds").agg(
         F.count("*").cast("int").alias("sampled_frames"), zero(F.avg("changed_ratio")).alias("mean_motion_intensity"), zero(F.max("changed_ratio")).alias("peak_motion_intensity"),
         zero(F.avg((F.col("lum_diff") >= conf.luminance_spike_threshold).cast("double"))).alias("luminance_spike_ratio"), zero(F.max("lum_diff")).alias("luminance_delta_max"),

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import EngineConf
-from ..functions import decode
-from ..operators import fingerprints, grids, motion, styles
+from ..functions import decode, scalars
+from ..operators import fingerprints, grids, motion, storyboard, styles
 from ..sources import files
-from ..sources.views import durations, gray_frames, pictures, timelines
+from ..sources.views import durations, gray_frames, pictures, table, timelines
 from ..streaming import frames as live
 from . import reviewer
-from .registry import CAND, FR, MEASURE, PATTERN, PX, RULES, SIG, STYLE, WS, query
+from .registry import CAND, FR, MEASURE, PATTERN, PX, RULES, SHOTS, SIG, STYLE, WS, query
 
 CONF = EngineConf()
 
@@ -162,3 +162,30 @@ def review_answers(spark, d):
     asked = reviewer.requests(referred, signals, motion.candidates(f), reviewer.prompts(spark, folder), "local-rule")
     a = reviewer.results(reviewer.ask(asked, _rubric, files.work_folder(spark, "ledger")))
     return a.select("video_id", "profile_id", "prompt_ref", "status", F.col("result")["verdict"].alias("verdict"), F.col("result")["seen"].cast("long").alias("seen"), F.col("result")["prompt"].alias("prompt"))
+
+
+EXACT = lambda x, digits: f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"  # noqa: E731  by the exact value, ties to even
+
+
+@query(f"SELECT event_id, {EXACT('value / 8', 4)} AS eighth, {EXACT('value / 3', 4)} AS third, {EXACT('value * 1.0009765625', 3)} AS scaled, {EXACT('value', 1)} AS tenth FROM events")
+def exact_rounding(spark, d):
+    e = table(spark, d, "events")
+    r = lambda x, digits: scalars.exact_round(x, digits)
+    v = F.col("value")
+    return e.select("event_id", r(v / 8, 4).alias("eighth"), r(v / 3, 4).alias("third"), r(v * 1.0009765625, 3).alias("scaled"), r(v, 1).alias("tenth"))
+
+
+@query(f"""WITH {FR}, {WS}, c AS (SELECT video_id, start AS start_seconds, least(1.0, mean / 0.5) AS m, CASE WHEN active = pairs THEN 1.0 ELSE 0.0 END AS k, least(1.0, spike / 0.12) AS l, mean, peak, spike FROM ws)
+SELECT video_id, start_seconds, {EXACT('0.65 * m + 0.20::DOUBLE * k + 0.15 * l', 4)} AS score, {EXACT('mean', 4)} AS motion_intensity, {EXACT('peak', 4)} AS peak_motion_intensity, {EXACT('spike', 4)} AS luminance_spike_ratio, {EXACT('m', 4)} AS motion, CAST(k AS DOUBLE) AS continuity, {EXACT('l', 4)} AS luminance FROM c""")
+def candidates_as_shipped(spark, d):
+    """Candidates with the components of their score, in the digits that are shipped."""
+    c = motion.candidates(timelines(spark, d), shipped=True)
+    part = lambda name: F.col("score_components")[name].alias(name)
+    return c.select("video_id", "start_seconds", "score", "motion_intensity", "peak_motion_intensity", "luminance_spike_ratio", part("motion"), part("continuity"), part("luminance"))
+
+
+@query(f"""WITH {FR}, {SHOTS}, sv AS (SELECT video_id, "index", start_seconds, end_seconds, count(*) AS sampled_frames, coalesce(avg(d), 0) AS m, coalesce(max(d), 0) AS p, coalesce(avg(CAST(d >= 0.12 AS DOUBLE)), 0) AS s FROM sf GROUP BY ALL)
+SELECT video_id, "index", start_seconds, end_seconds, sampled_frames, {EXACT('m', 4)} AS mean_motion_intensity, {EXACT('p', 4)} AS peak_motion_intensity, {EXACT('s', 4)} AS luminance_spike_ratio, {EXACT('p', 4)} AS luminance_delta_max FROM sv""")
+def shots_as_shipped(spark, d):
+    f = timelines(spark, d)
+    return storyboard.shot_signals(f, motion.scene_cuts(f), shipped=True).drop("duration_seconds")

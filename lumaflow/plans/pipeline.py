@@ -22,11 +22,11 @@ def run_pipeline(frames: DataFrame, style: RuleBook | None = None, story: Narrat
     report source gives it) fills the signals that frames don't have.
     """
     style, story = style or books.styles(), story or books.narratives()
-    out = {"signals": motion.video_signals(frames, conf, info), "candidates": motion.candidates(frames, conf)}
+    out = {"signals": motion.video_signals(frames, conf, info, True), "candidates": motion.candidates(frames, conf, True)}
     out["matches"] = styles.evaluate(out["signals"], style)
     out["referrals"] = styles.referrals(out["matches"], style)
     out["clips"] = planner.plan_clips(out["candidates"], conf.target_duration_seconds, conf.min_segment_seconds)
-    out["shots"] = storyboard.shot_signals(frames, motion.scene_cuts(frames, conf), conf)
+    out["shots"] = storyboard.shot_signals(frames, motion.scene_cuts(frames, conf), conf, True)
     out["target_matches"] = narrative.match_targets(out["shots"], story)
     out["timeline"] = narrative.plan(out["target_matches"], story, template, conf.target_duration_seconds)
     return out

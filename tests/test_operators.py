@@ -49,6 +49,22 @@ def test_shots(spark):
     assert s == {"a": [(0, 0.02, 2.0), (1, 2.0, 4.0)], "b": [(0, 0.0, 1.0), (1, 1.02, 4.0)], "c": [(0, 0.0, 4.0)]}
 
 
+def test_exact_round(spark):
+    """Python's round on random numbers, on ties of the binary value, and on decimals that only look like ties."""
+    rng = random.Random(4)
+    rows = [rng.uniform(-1, 1) for _ in range(30_000)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-8, 17) for _ in range(30_000)]
+    rows += [rng.randrange(-(10**6), 10**6) / 2 ** rng.randrange(1, 20) for _ in range(20_000)] + [rng.randrange(-(10**7), 10**7) / 10**5 for _ in range(20_000)] + [rng.randrange(10**9) / 1000 + 0.0005 for _ in range(5_000)]
+    rows += [0.0, -0.0, 0.5, 1.5, 2.5, 2.675, 1.005, 0.125, 0.375, 1e300, -1e-300, 5e-324, 2.0**52 + 0.5, 2.0**53, 4503599628.123457, 1e22, 0.00005, 0.00015]
+    df = spark.createDataFrame([(x,) for x in rows], "x double")
+    for digits in (0, 1, 3, 4, 6, 9, 12):
+        got = df.select("x", scalars.exact_round(F.col("x"), digits).alias("y")).collect()
+        assert [(r["x"], r["y"], round(r["x"], digits)) for r in got if r["y"] != round(r["x"], digits)] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double").select(scalars.exact_round(F.col("x"), 4)).collect()
+    assert odd[0][0] is None and odd[1][0] != odd[1][0] and [r[0] for r in odd[2:]] == [float("inf"), float("-inf")]
+    with pytest.raises(ValueError):
+        scalars.exact_round(F.col("x"), 16)
+
+
 SHOT3 = [("v", 0, 0.0, 2.0, 2.0, 3, 0.05, 0.05, 0.0, 0.0), ("v", 1, 2.05, 4.0, 1.95, 3, 0.45, 0.45, 0.3, 0.0), ("v", 2, 4.1, 6.0, 1.9, 3, 0.12, 0.12, 0.0, 0.0)]
 
 
