@@ -8,7 +8,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from .rules import Narrative, RuleBook, narrative, rule_book
+from ..schemas import VERSIONS
+from .rules import Narrative, RuleBook, RuleBookError, narrative, rule_book
 
 STYLE = {
     "calibration": {"status": "provisional", "sample_count": 9},
@@ -113,12 +114,41 @@ def read(path: str | Path) -> dict:
     return yaml.safe_load(text)
 
 
+def found(path: str | Path) -> dict:
+    """A book's file, which must be there and must hold a mapping."""
+    if not Path(path).is_file():
+        raise RuleBookError(f"not found: {path}")
+    raw = read(path)
+    if not isinstance(raw, dict):
+        raise RuleBookError(f"{path}: not a mapping")
+    return raw
+
+
+def platforms(path: str | Path | None = None) -> dict:
+    """The platform book, checked: a file's, or the shipped one in the same form."""
+    from .checks import platform_book
+
+    if path:
+        return platform_book(found(path))
+    categories = [{"id": c, "platforms": {p: {"name": names[0], "tid": tid} if p == "bilibili" and len(names) == 1 else names for p, names in by.items()}} for c, by, tid in PLATFORM_CATEGORIES]
+    specs = {p: {"aspect": a, "max_seconds": most, "recommend_seconds": rather} for p, a, most, rather in PLATFORM_SPECS}
+    rules = {p: {"detection": how} | ({"window_days": days} if days else {}) for p, how, days in DEDUP_RULES}
+    return platform_book({
+        "schema_version": VERSIONS["platform_profiles"], "status": "provisional",
+        "taxonomy": {"unified_categories": categories, "platform_specs": specs, "bilibili_tid_reference": BILIBILI_TIDS},
+        "dedup_rules": {"common_stages": ["file digest", "frame fingerprints", "likeness of content"], "platforms": rules, "thresholds": DEDUP_THRESHOLDS},
+    })
+
+
 def styles(path: str | Path | None = None) -> RuleBook:
-    return rule_book(read(path) if path else STYLE)
+    return rule_book(found(path) if path else STYLE)
+
 
+def narratives(path: str | Path | None = None, profiles: set[str] | None = None) -> Narrative:
+    """The narrative book; a file's is checked whole, also against the profiles of a style book if they are given."""
+    from .checks import narrative_book
 
-def narratives(path: str | Path | None = None) -> Narrative:
-    return narrative(read(path) if path else NARRATIVE)
+    return narrative(narrative_book(found(path), profiles) if path else NARRATIVE)
 
 
 def catalog(request: dict[str, dict[str, str]] | None = None) -> dict[str, dict[str, str]]:

@@ -197,15 +197,20 @@ class Narrative:
         return [(k, t) for k, t in enumerate(self.targets) if not style_id or not t.styles or style_id in t.styles]
 
 
+#: What targets may ask of a shot, and the seconds between a pair's shots where a target doesn't say.
+SHOT_FIELDS, PAIR_GAP = ("duration_seconds", "mean_motion_intensity", "peak_motion_intensity", "luminance_spike_ratio", "luminance_delta_max"), 0.5
+
+
 def narrative(raw: dict) -> Narrative:
-    signals, ops = tuple((raw.get("shot_signal_schema") or {}).get("fields") or ()), OPS[:4]
+    signals, ops = tuple((raw.get("shot_signal_schema") or {}).get("fields") or SHOT_FIELDS), OPS[:4]
     targets = []
     for t in raw.get("targets") or []:
-        if t.get("match") not in ("all", "any", "pair"):
-            raise RuleBookError(f"unknown match: {t.get('match')}")
+        t = {"match": "all", **t}
+        if t["match"] not in ("all", "any", "pair"):
+            raise RuleBookError(f"unknown match: {t['match']}")
         made = lambda xs: tuple(condition(x, signals, ops) for x in xs or [])
         pair = t.get("pair_conditions") or {}
-        targets.append(Target(t["id"], tuple(t.get("styles") or ()), t["match"], made(t.get("conditions")), made(pair.get("first")), made(pair.get("second")), float(t.get("pair_gap_seconds") or 0.0)))
+        targets.append(Target(t["id"], tuple(t.get("styles") or ()), t["match"], made(t.get("conditions")), made(pair.get("first")), made(pair.get("second")), float(t.get("pair_gap_seconds", PAIR_GAP))))
         if t["match"] == "pair" and not (targets[-1].first and targets[-1].second) or t["match"] != "pair" and not targets[-1].conditions:
             raise RuleBookError(f"{t['id']} has no conditions")
     if len({t.target_id for t in targets}) != len(targets):
