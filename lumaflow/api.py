@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conf import EngineConf
-from .functions import books
+from .functions import books, providers
 from .functions.rules import RuleBook
 from .operators import closed_set, fingerprints, gate, motion, narrative, planner, platforms, storyboard, styles, titles
 from .plans.pipeline import review, run_pipeline
@@ -67,6 +67,18 @@ def analyze_motion(frames: DataFrame, windows: DataFrame, conf: EngineConf = Eng
     return motion.motion_windows(frames, per_video(windows, "windows"), conf)
 
 
+def embed_frames(images: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
+    """(item_id, v) of images (item_id, name and perhaps content) by the provider that the settings name."""
+    content = F.col("content") if "content" in images.columns else None
+    return images.select("item_id", providers.image_vectors(F.col("name"), content, conf.embedding_provider).alias("v"))
+
+
+def embed_catalog(spark: SparkSession, request: dict | None = None, conf: EngineConf = EngineConf()) -> DataFrame:
+    """The request's catalog, over the default one, as ``analyze_visual`` takes it."""
+    rows = [(q, value, prompt) for q, by in books.catalog(request).items() for value, prompt in by.items()]
+    return providers.catalog_vectors(spark.createDataFrame(rows, "question string, value string, prompt string"), conf.embedding_provider)
+
+
 def analyze_visual(frames: DataFrame, catalog: DataFrame, score: float | None = None, margin: float = closed_set.MARGIN) -> DataFrame:
     return closed_set.answers(frames, catalog, score, margin)
 
@@ -137,6 +149,27 @@ def plan_narrative(shots: DataFrame, template: str, style_id: str | None = None,
     return narrative.plan(narrative.match_targets(shots, book, style_id), book, template, target, interleave)
 
 
+def narrative_response(shots: DataFrame, template: str, style_id: str | None = None, target: float = 15.0, interleave: bool = False) -> DataFrame:
+    """A row for each video with a match: matches (as many as a response may have), segments, their total and notes."""
+    within("target_seconds", target)
+    book = books.narratives()
+    if template not in book.templates:
+        raise RequestError(f"unknown template: {template}")
+    return narrative.response(narrative.match_targets(shots, book, style_id), book, template, target, interleave, LIMITS["matches"][1])
+
+
+def title_contexts(shots: DataFrame, style_id: str | None = None, target: float = 15.0, subject: str | None = None, action: str | None = None) -> DataFrame:
+    """What titles are made of: the targets of each video's first matches, and who does what."""
+    if (subject is None) != (action is None):
+        raise RequestError("a subject and an action go together")
+    m = narrative.title_targets(narrative.match_targets(shots, books.narratives(), style_id), LIMITS["title_matches"][1])
+    return m.select(F.col("video_id").alias("item_id"), "target_ids", F.lit(style_id).cast("string").alias("style_hint"), F.lit(subject).cast("string").alias("subject"), F.lit(action).cast("string").alias("action"), F.lit(float(target)).alias("duration_seconds"))
+
+
+def review_frames(candidates: DataFrame, frames: DataFrame) -> DataFrame:
+    return motion.review_frames(candidates, frames, LIMITS["review_frames"][1])
+
+
 def preview_titles(contexts: DataFrame, most: int = 3) -> DataFrame:
     return titles.titles(contexts, most)
 

@@ -24,6 +24,8 @@ class EngineConf:
     max_frames: int = 240
     target_duration_seconds: float = 15.0
     min_segment_seconds: float = 1.0
+    # see functions/providers.py
+    embedding_provider: str = "fake"
     # digits to which measures are shipped, rounded exactly; rates and shares of windows have three
     signal_digits: int = 4
     rate_digits: int = 3

@@ -172,3 +172,9 @@ def candidates(frames: DataFrame, conf: EngineConf = CONF, shipped: bool = False
 def top_windows(c: DataFrame, k: int) -> DataFrame:
     """The best k windows of each video: what a reviewer gets."""
     return c.where(F.col("rank") <= k)
+
+
+def review_frames(c: DataFrame, frames: DataFrame, most: int = 3) -> DataFrame:
+    """(video_id, rank, ts, ...): the frames at which the best ``most`` candidates of each video begin, for a reviewer who is given no pictures."""
+    points = top_windows(c, most).select("video_id", "rank", F.col("start_seconds").alias("ts")).join(durations(frames), "video_id")
+    return grids.sampled(points, frames).drop("n")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import EngineConf
-from ..functions import decode, scalars
-from ..operators import fingerprints, grids, motion, storyboard, styles
+from ..functions import decode, providers, scalars
+from ..operators import closed_set, fingerprints, grids, motion, narrative, storyboard, styles
 from ..sources import files
 from ..sources.views import durations, gray_frames, pictures, table, timelines
 from ..streaming import frames as live
 from . import reviewer
-from .registry import CAND, FR, MEASURE, PATTERN, PX, RULES, SHOTS, SIG, STYLE, WS, query
+from .registry import CAND, FR, MATCH, MEASURE, ORACLE_SQL, PATTERN, PX, RULES, SHOTS, SIG, STORY, STORY_SQL, STYLE, WS, _chain_sql, _matches, _told_sql, query
 
 CONF = EngineConf()
 
@@ -189,3 +189,55 @@ SELECT video_id, "index", start_seconds, end_seconds, sampled_frames, {EXACT('m'
 def shots_as_shipped(spark, d):
     f = timelines(spark, d)
     return storyboard.shot_signals(f, motion.scene_cuts(f), shipped=True).drop("duration_seconds")
+
+
+@query(ORACLE_SQL["closed_set_answers"])
+def provided_answers(spark, d):
+    """The closed-set question with vectors from a provider that was given a file of them: the answers are those of the vectors themselves."""
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL").withColumn("name", F.concat(F.lit("frames/"), F.col("vec_id"), F.lit(".jpg")))
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    texts = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector")).select(F.concat(F.lit("label "), F.col("label")).alias("key"), "vector", "label")
+    held = texts.select("key", "vector").union(e.select(F.substring_index("name", "/", -1), F.transform("embedding", lambda x: x.cast("double"))))
+    held.write.parquet(folder := files.work_folder(spark, "vectors"))
+    spec = f"file:{folder}"
+    catalog = providers.catalog_vectors(texts.select(F.lit("label").alias("question"), F.col("label").cast("string").alias("value"), F.col("key").alias("prompt")), spec)
+    frames = e.select(F.col("vec_id").alias("item_id"), providers.image_vectors(F.col("name"), None, spec).alias("v"))
+    return closed_set.answers(frames, catalog).select("item_id", "answer", "status", "margin", "confidence", "top_score")
+
+
+@query("WITH h AS (SELECT page_id, sha256('image:' || page_id || '.jpg') AS i, sha256('text:' || url) AS t FROM pages) SELECT page_id, round(('0x' || substr(i, 1, 2))::INT / 255.0 - 0.5, 6) AS image_first, round(('0x' || substr(i, 63, 2))::INT / 255.0 - 0.5, 6) AS image_last, round(('0x' || substr(t, 1, 2))::INT / 255.0 - 0.5, 6) AS text_first FROM h")
+def fake_provider(spark, d):
+    """The stand-in provider on images, which it tells by their names without folders, and on texts."""
+    p = table(spark, d, "pages").withColumn("name", F.concat(F.lit("/a/b/"), F.col("page_id"), F.lit(".jpg")))
+    v = p.select("page_id", providers.image_vectors(F.col("name"), None, "fake").alias("i"), providers.text_vectors(F.col("url"), "fake:64").alias("t"))
+    at = lambda c, k: F.round(F.col(c)[k], 6)
+    return v.select("page_id", at("i", 0).alias("image_first"), at("i", 31).alias("image_last"), at("t", 0).alias("text_first"))
+
+
+@query(f"WITH {FR}, {CAND} SELECT c.video_id, rank, start_seconds AS ts, t, lum FROM cand c JOIN fr ON fr.video_id = c.video_id AND fr.t = CAST(least(round_even(start_seconds, 0), (SELECT n FROM n WHERE n.video_id = c.video_id) - 1) AS BIGINT) WHERE rank <= 3")
+def review_frames(spark, d):
+    f = timelines(spark, d)
+    return motion.review_frames(motion.candidates(f), f).select("video_id", "rank", "ts", "t", "lum")
+
+
+#: The matches of a response in their order; ties beyond the order of the book don't occur in one target.
+SHOWN = f"WITH {FR}, {SHOTS}, {MATCH}, sh AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_seconds, target_pos, shot_indexes) AS place FROM mt)"
+
+
+@query(f"{SHOWN} SELECT video_id, place, target_id, kind, start_seconds, end_seconds, score FROM sh WHERE place <= 5")
+def shown_matches(spark, d):
+    return narrative.shown(_matches(spark, d), 5).select("video_id", "place", "target_id", "kind", "start_seconds", "end_seconds", "score")
+
+
+@query(f"{SHOWN} SELECT video_id, array_to_string(list_sort(list(DISTINCT target_id)), ',') AS target_ids FROM sh WHERE place <= 8 GROUP BY video_id")
+def title_targets(spark, d):
+    return narrative.title_targets(_matches(spark, d)).withColumn("target_ids", F.array_join("target_ids", ","))
+
+
+@query(f"""{STORY_SQL}, {_chain_sql(False)}, {_told_sql(True, 1.0).rpartition('SELECT video_id, position')[0].rstrip()},
+w AS (SELECT video_id, count(*) AS found FROM mt GROUP BY video_id), x AS (SELECT video_id, count(*) AS told FROM un GROUP BY video_id), y AS (SELECT video_id, count(*) AS kept FROM tr GROUP BY video_id), z AS (SELECT video_id, count(*) AS segments, round(sum(p.e - p.s), 3) AS total FROM fin GROUP BY video_id)
+SELECT video_id, least(found, 64) AS matches, coalesce(segments, 0) AS segments, coalesce(total, 0) AS total_duration_seconds, coalesce(kept, 0) < told AS truncated FROM w JOIN x USING (video_id) LEFT JOIN y USING (video_id) LEFT JOIN z USING (video_id)""")
+def narrative_response(spark, d):
+    r = narrative.response(_matches(spark, d), STORY, "hook_first")
+    n = lambda c: F.size(c).cast("long").alias(c)
+    return r.select("video_id", n("matches"), n("segments"), "total_duration_seconds", F.array_contains("notes", "timeline truncated to target duration").alias("truncated"))
