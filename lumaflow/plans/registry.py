@@ -351,7 +351,8 @@ def ahash_fingerprint(spark, d):
 PRINTS = f"""WITH {PX}, pn AS (SELECT video_id, count(*) AS n FROM px GROUP BY video_id), pk AS (SELECT video_id, n, greatest(4, least(24, greatest(4, n))) AS k FROM pn),
 pt AS (SELECT video_id, i, CAST(least(round_even(round(n * (i + 0.5) / k, 3), 0), n - 1) AS BIGINT) AS t FROM pk, range(24) r(i) WHERE i < k),
 b AS (SELECT px.video_id, pt.i, list_transform(v, lambda x: CASE WHEN x > list_aggregate(v, 'sum') / 64 THEN 1 ELSE 0 END) AS bits FROM px JOIN pt ON px.video_id = pt.video_id AND px.t = pt.t),
-rf AS (SELECT p.video_id AS a, q.video_id AS b FROM pn p, range(1, 9) r(k), pn q WHERE q.video_id = (p.video_id + k) % 10),
+pb AS (SELECT video_id, video_id // 1000 AS shelf, row_number() OVER (PARTITION BY video_id // 1000 ORDER BY video_id) - 1 AS i, count(*) OVER (PARTITION BY video_id // 1000) AS c FROM pn),
+rf AS (SELECT p.video_id AS a, q.video_id AS b FROM pb p, range(1, 9) r(k), pb q WHERE q.shelf = p.shelf AND k < p.c AND q.i = (p.i + k) % p.c),
 m AS (SELECT rf.a, rf.b, p.i AS ta, q.i AS tb, 1 - list_aggregate(list_transform(list_zip(p.bits, q.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END), 'sum') / 64.0 AS s FROM rf JOIN b p ON p.video_id = rf.a JOIN b q ON q.video_id = rf.b),
 l AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, ta, max(s) AS s FROM m GROUP BY a, b, ta) GROUP BY a, b), r AS (SELECT a, b, avg(s) AS s FROM (SELECT a, b, tb, max(s) AS s FROM m GROUP BY a, b, tb) GROUP BY a, b),
 fs AS (SELECT l.a, l.b, round(least(l.s, r.s), 6) AS similarity FROM l JOIN r ON l.a = r.a AND l.b = r.b)"""
@@ -365,11 +366,14 @@ def _prints(spark, d):
 
 
 def _similar(spark, d):
-    """Each video against eight given references: those of the eight numbers after its own, in a ring of ten."""
+    """Each video against eight references: the next ones on its shelf of a thousand numbers, round to the shelf's first."""
     p = _prints(spark, d)
-    v = p.select("video_id").distinct()
-    pairs = v.select(F.col("video_id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).select("a", F.pmod(F.col("a") + F.col("k"), F.lit(10)).alias("b"))
-    return fingerprints.similarity(pairs.join(v.withColumnRenamed("video_id", "b"), "b"), p)
+    w = Window.partitionBy("shelf")
+    v = p.select("video_id").distinct().withColumn("shelf", F.floor(F.col("video_id") / 1000))
+    v = v.withColumn("i", F.row_number().over(w.orderBy("video_id")) - 1).withColumn("c", F.count("*").over(w))
+    asked = v.select(F.col("video_id").alias("a"), "shelf", "i", "c", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("k")).where("k < c").select("a", "shelf", F.expr("(i + k) % c").alias("i"))
+    pairs = asked.join(v.select("shelf", F.col("i").cast("long").alias("i"), F.col("video_id").alias("b")), ["shelf", "i"])
+    return fingerprints.similarity(pairs.select("a", "b"), p)
 
 
 @query(f"{PRINTS} SELECT * FROM fs")
