@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -85,6 +86,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver look for tables that nothing refers to any more, so that their shuffle files and, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, their checkpoints go: in a loop they'd pile up until its
+    heap happens to be full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Only a session with a local master may do without: driver and executors are
     one process there, and a folder of that machine is used. On a cluster a session without the setting is an error."""
@@ -164,7 +173,9 @@ def linked_in_bands(ranked: DataFrame, marks: Callable[[DataFrame], DataFrame],
     pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
     first = ranked.where("rank = 1").select("band", F.col("node").alias("hub"))
     links = cut(verified(cut(ranked.where("rank > 1").join(first.hint("merge"), "band").select(*pair).distinct())))
+    let_go(links.sparkSession)
     open_ = named(ranked.withColumn("label", F.col("node")), links, 2)
+    let_go(links.sparkSession)
     if open_.isEmpty():
         return links
     known = cut(marks(open_.select("node").distinct()))
@@ -177,6 +188,7 @@ def linked_in_bands(ranked: DataFrame, marks: Callable[[DataFrame], DataFrame],
         found = cut(verified(cut(met.select(*pair).distinct())))
         links = links.union(found)
         open_ = named(open_, found, last)
+        let_go(links.sparkSession)
         if open_.isEmpty():
             return links
         at, last = last, last * GROWTH
@@ -203,5 +215,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+        let_go(e.sparkSession)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
