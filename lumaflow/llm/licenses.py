@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,32 @@ BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserv
 #: from those of other licences: these must stand in the text unedited, in this order.
 NOTICES = {
     "licensed under the apache license version 2 0": ("apache-2.0", "apache version 2 0"),
-    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", ""),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", "permission granted"),
     "released under the terms of the mit license": ("mit", "mit"),
+    "licensed under the mit license": ("mit", "mit"),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", "permission distribute"),
+    "this software is provided as is without any express or implied warranty": ("zlib", "software provided without"),
+    "this is free and unencumbered software released into the public domain": ("unlicense", "unencumbered public domain"),
     "redistribution and use in source and binary forms": ("bsd", "source binary"),
-    "this work is licensed under the gnu general public license": ("gpl", "gnu general"),
-    "under the terms of the gnu general public license": ("gpl", "gnu general"),
-    "under the terms of the gnu lesser general public license": ("lgpl", "gnu lesser"),
     "subject to the terms of the mozilla public license": ("mpl", "mozilla"),
-    "licensed under a creative commons attribution": ("cc-by", "creative commons attribution"),
-    "this work is licensed under cc by": ("cc-by", "cc by"),
-    "creative commons attribution sharealike": ("cc-by-sa", "creative commons sharealike"),
-    "creative commons attribution noncommercial": ("cc-by-nc", "creative commons noncommercial"),
+    "under the terms of the eclipse public license": ("epl", "eclipse"),
     "dedicated to the public domain": ("public-domain", "public domain"),
     "no part of this publication may be reproduced": ("reserved", "no part"),
     "unauthorized copying of this file is strictly prohibited": ("proprietary", "unauthorized prohibited"),
 }
+# families: the name of a licence decides, so it is part of the notice, and of its telling words
+for _kind, _label in {"general": "gpl", "lesser general": "lgpl", "affero general": "agpl"}.items():
+    for _start in ("this work is licensed under the gnu", "under the terms of the gnu"):
+        NOTICES[f"{_start} {_kind} public license"] = (_label, f"gnu {_kind}")
+_SPELT = {"nc": ("noncommercial", "non commercial"), "sa": ("sharealike", "share alike"), "nd": ("noderivatives", "no derivatives")}
+for _terms in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+    for _words in product(*(_SPELT[t] for t in _terms)):
+        _name = " ".join(("creative commons attribution", *_words))
+        for _start in ("", "licensed under a ", "licensed under the "):
+            NOTICES[_start + _name] = ("-".join(("cc-by", *_terms)), _name)
+NOTICES["this work is licensed under cc by"] = ("cc-by", "cc by")
+for _id, _label in {"mit": "mit", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "apache 2 0": "apache-2.0", "mpl 2 0": "mpl", "epl 2 0": "epl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl"}.items():
+    NOTICES[f"spdx license identifier {_id}"] = (_label, f"spdx identifier {_id}")
 #: A notice of n characters may have n // SPAN edits (insertions, deletions, substitutions), one at least.
 SPAN = 12
 _WORD = bytes(c if c >= 128 or chr(c).isdigit() or "a" <= chr(c) <= "z" else c + 32 if "A" <= chr(c) <= "Z" else 32 for c in range(256))
@@ -42,23 +54,50 @@ def fold(text: str) -> bytes:
     return b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_WORD).split()) + b" "
 
 
+def letters(pattern: str) -> dict[str, int]:
+    """For each character the places, as bits, at which it stands in the pattern."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def near(places: dict[str, int], size: int, text: str, most: int) -> bool:
+    """Whether a stretch of the text has at most so many edits from the pattern: a column of the distance table at a time,
+    its steps held as the bits of two numbers (Myers 1999). Tells cheaply where a search with errors finds nothing."""
+    full, top = (1 << size) - 1, 1 << size - 1
+    up, down, d = full, 0, size
+    for c in text:
+        eq = places.get(c, 0)
+        x = ((eq & up) + up ^ up) | eq
+        rise, fall = down | ~(x | up) & full, up & x
+        d += bool(rise & top) - bool(fall & top)
+        if d <= most:
+            return True
+        rise, fall, v = rise << 1 & full, fall << 1 & full, eq | down
+        up, down = fall | ~(v | rise) & full, rise & v
+    return False
+
+
 class Scanner:
     """Exact seeds by Aho-Corasick, then bounded-error matching around them.
 
     A notice with at most k edits keeps one of its k + 1 pieces unchanged (pigeonhole), so a text without any piece
-    of a notice can't hold it; only the surroundings of a piece are matched with errors.
+    of a notice can't hold it; only the surroundings of a piece are matched with errors, and those only if a notice's
+    telling words stand there.
     """
 
     def __init__(self, notices: dict[str, tuple[str, str]] = NOTICES, span: int = SPAN):
         import ahocorasick
         import regex
 
-        self.notices, seeds = [], {}
+        self.notices, self.letters, seeds = [], [], {}
         for text, (label, telling) in notices.items():
             k = max(1, len(text) // span)
             cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
             n = len(self.notices)
             self.notices.append((text, label, telling.split(), k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")))
+            self.letters.append(letters(text))
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((n, a))
         self.seeds = ahocorasick.Automaton()
@@ -66,27 +105,65 @@ class Scanner:
             self.seeds.add_word(s, (len(s), of))
         self.seeds.make_automaton()
 
-    def __call__(self, folded: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, edits, likeness) of the notices found; a place counts once for each notice.
+    def all(self, folded: str) -> list[tuple[str, int, int, int, float]]:
+        """(label, start, end, edits, likeness) of every notice found; a place counts once for each notice.
 
         Edits may touch all words but a notice's telling ones: those stand whole and in order in the words of the match.
         """
-        found, done = [], {}
+        found, done, tried, size = [], {}, {}, len(folded)
         for end, (length, of) in self.seeds.iter(folded):
             for n, at in of:
                 text, label, telling, k, pattern = self.notices[n]
                 start = end - length + 1 - at
-                if start < done.get(n, -1):
+                if start < done.get(n, -1) or tried.get(n) == start:
                     continue
-                low = max(0, start - k)
-                if m := pattern.search(folded, low, min(len(folded), start + len(text) + k)):
-                    words = iter(folded[folded.rfind(" ", 0, m.start() + 1) + 1 : (folded + " ").find(" ", max(m.end() - 1, 0))].split())
-                    if all(w in words for w in telling):
-                        done[n] = m.end()
-                        edits = sum(m.fuzzy_counts)
-                        found.append((label, m.start(), m.end(), edits, 1 - edits / len(text)))
+                tried[n] = start
+                if start >= 0 and folded.startswith(text, start) and folded[start - 1 : start] == " " == folded[start + len(text) : start + len(text) + 1]:
+                    done[n] = start + len(text)
+                    found.append((label, start, done[n], 0, 1.0))
+                    continue
+                low, high = max(0, start - k), min(size, start + len(text) + k)
+                if not self._told(telling, folded, low, high) or not near(self.letters[n], len(text), folded[low:high], k):
+                    continue
+                if (m := pattern.search(folded, low, high)) and self._told(telling, folded, m.start(), m.end()):
+                    done[n] = m.end()
+                    edits = sum(m.fuzzy_counts)
+                    found.append((label, m.start(), m.end(), edits, 1 - edits / len(text)))
         return found
 
+    @staticmethod
+    def _told(telling: list[str], folded: str, low: int, high: int) -> bool:
+        """Whether the words that this stretch touches hold the telling ones in order."""
+        near = folded[max(0, folded.rfind(" ", 0, low + 1)) : high + len(folded[high - 1 : high + 40].partition(" ")[0])] + " "
+        at = 0
+        for w in telling:
+            if (at := near.find(f" {w} ", at)) < 0:
+                return False
+            at += 1 + len(w)
+        return True
+
+    def __call__(self, folded: str) -> list[tuple[str, int, int, int, float]]:
+        """Of ``all``, where notices with different labels share characters, the longest one, then the one with fewest edits: a licence named in full is not also one whose name is part of its own."""
+        out: list[tuple[str, int, int, int, float]] = []
+        group: list[tuple[str, int, int, int, float]] = []
+        reach = -1
+        for hit in sorted(self.all(folded), key=lambda h: (h[1], h[2])):
+            if hit[1] + 1 >= reach:
+                out += _longest(group)
+                group = []
+            group.append(hit)
+            reach = max(reach, hit[2])
+        return out + _longest(group)
+
+
+def _longest(hits: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, float]]:
+    """Hits in the order of their places, without those that share more than a space with a longer one of another label."""
+    kept: list[tuple[str, int, int, int, float]] = []
+    for h in sorted(hits, key=lambda h: (h[1] - h[2], h[3], h[1])):
+        if all(h[0] == x[0] or min(h[2], x[2]) - max(h[1], x[1]) <= 1 for x in kept):
+            kept.append(h)
+    return sorted(kept, key=lambda h: (h[1], h[2]))
+
 
 def word_numbers(text: str, places: list[int]) -> list[int]:
     """The number, from 0, of the word at each place of a folded text (a space belongs to the word after it)."""
