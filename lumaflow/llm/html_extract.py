@@ -20,6 +20,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Whole tokens of class or id, and roles, that mark what isn't main text; elements that no class or id excludes.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer dsq disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: Of these the ones that mark an element also as one word of a longer token: ``comment-list``, ``user_comment``, ``adSlot``.
+PARTS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead nav navbar newsletter pagination popup promo sidebar social sponsor sponsored subscribe".split())
 UNMARKED = set("html body article main h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: A class is on so many pages of the host at least; texts alone also on this share of the pages that have the element around them.
@@ -57,8 +59,16 @@ def _never(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "").lower()))
 
 
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 def _marked(tag: str, attrs: dict[str, str]) -> bool:
-    return bool(attrs) and tag not in UNMARKED and bool(MARKS & {*attrs.get("class", "").lower().split(), *attrs.get("id", "").lower().split()})
+    if not attrs or tag in UNMARKED:
+        return False
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        if token.lower() in MARKS or any(x.lower() in PARTS for x in _PART.findall(token)):
+            return True
+    return False
 
 
 class Page:
@@ -249,28 +259,33 @@ def main_text(html: str, slots: list[tuple[int, int]] = (), texts: set[int] = fr
     return " ".join(kept)
 
 
+#: Pages of a group that meets its host's template at once, at most on average.
+GROUP = 500
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page.
 
-    Pages meet their host's template by a join, at every size; a hot host's pages are split by the engine's skew join.
-    Null or empty html: empty text. Null urls form a host of their own. Repeated rows are pages of their own with equal
-    texts. Other columns have no effect. A host with few pages has no template; its pages are read by themselves.
+    A host's pages are dealt to groups by hash, so many that no group has more than some hundred even if all pages are
+    of one host; each group meets the template once, in one task. Null or empty html: empty text. Null urls form a host
+    of their own. Repeated rows are pages of their own with equal texts. Other columns have no effect. A host with few
+    pages has no template; its pages are read by themselves.
     """
     found = cut(templates(pages))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, host, known = [], None, ((), frozenset())
-            for at, html in enumerate(texts_of(b.column(2))):
-                if at == 0 or (h := b.column(3)[at].as_py()) != host:
-                    host = b.column(3)[at].as_py()
-                    known = [(s["path"], s["use"]) for s in b.column(4)[at].as_py() or ()], frozenset(b.column(5)[at].as_py() or ())
-                out.append(main_text(html, *known))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
     src = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    groups = F.lit(-(-max(1, src.count()) // GROUP))
+    src = src.withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), groups))
+    told = src.select(F.col("host").alias("of"), F.col("part").alias("of_part")).distinct().join(found.withColumnRenamed("host", "of").hint("merge"), "of")
     kind = src.schema["page_id"].dataType.simpleString()
-    return src.join(found.hint("merge"), "host", "left").select("page_id", "url", "html", "host", "slots", "texts").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = ((), frozenset())
+        if right.num_rows:
+            known = [(s["path"], s["use"]) for s in right["slots"][0].as_py() or ()], frozenset(right["texts"][0].as_py() or ())
+        out = [main_text(html, *known) for html in texts_of(left["html"].combine_chunks())]
+        return pa.table([left["page_id"], left["url"], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return src.groupBy("host", "part").cogroup(told.groupBy("of", "of_part")).applyInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
