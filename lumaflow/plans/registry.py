@@ -446,7 +446,16 @@ def sanitize_title(spark, d):
     return table(spark, d, "pages").select("page_id", scalars.sanitize_title(F.concat(F.lit("  ."), F.col("url"), F.lit("<|>*. "))).alias("title"))
 
 
-@query()
+_POOL = ", ".join(f"('{key}', {k}, '{t}')" for key, texts in books.TITLE_POOLS.items() for k, t in enumerate(texts))
+_ROUTES = ", ".join(f"'{t}': {keys}" for t, keys in books.TITLE_ROUTES.items())
+
+
+@query(f"""WITH {FR}, {SHOTS}, {MATCH}, po(key, k, template) AS (VALUES {_POOL}), cx AS (SELECT video_id AS item_id, list_sort(list(DISTINCT target_id)) AS ts FROM md GROUP BY video_id),
+ks AS (SELECT item_id, list_concat(['ran_xiang'], flatten(list_transform(ts, lambda t: MAP {{{_ROUTES}}}[t])), ['generic']) AS keys FROM cx), u AS (SELECT item_id, unnest(keys) AS key, generate_subscripts(keys, 1) AS kp FROM ks),
+f AS (SELECT item_id, key, min(kp) AS kp FROM u GROUP BY ALL), t AS (SELECT item_id, replace(template, '{{seconds}}', '15') AS title, min(kp * 1000 + k) AS o FROM f JOIN po USING (key) WHERE NOT contains(template, '{{subject}}') AND NOT contains(template, '{{action}}') GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o) - 1 AS i FROM t),
+s AS (SELECT *, CASE WHEN length(title) BETWEEN 6 AND 22 THEN 2.0::DOUBLE ELSE -abs(length(title) - 14) * 0.15::DOUBLE END + CASE WHEN contains(title, '？') OR contains(title, '?') THEN 1.0 ELSE 0.0 END + CASE WHEN contains(title, '！') OR contains(title, '!') THEN 0.5 ELSE 0.0 END + ('0x' || substr(sha256(title || '#' || i), 1, 2))::INT / 1000.0::DOUBLE AS score FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i) AS rank FROM s) SELECT item_id, rank, title, CAST(round(score, 6) AS DOUBLE) AS score FROM r WHERE rank <= 3""")
 def title_candidates(spark, d):
     m = narrative.distinct_matches(_matches(spark, d)).groupBy(F.col("video_id").alias("item_id")).agg(F.array_sort(F.collect_set("target_id")).alias("target_ids"))
     c = m.select("item_id", "target_ids", F.lit("ran_xiang").alias("style_hint"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("action"), F.lit(15.0).alias("duration_seconds"))
