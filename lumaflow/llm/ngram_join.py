@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, sieved, small_batches, texts_of
+from .common import components, cut, documents, let_go, sieved, small_batches, texts_of
 from .shingles import SIZE, Shingler, against, set_id, sets_of, verified
 
 PERCENT = 75
@@ -116,7 +116,8 @@ def classes(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.uint32)
     for r in parts.collect():
         sketch[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return read.where("chunk IS NULL").select("th", "doc_id", "n", "cls"), sketch.reshape(-1)
+    # a table of its own: the sketches of all tasks needn't stay
+    return cut(read.where("chunk IS NULL").select("th", "doc_id", "n", "cls")), sketch.reshape(-1)
 
 
 def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -192,6 +193,7 @@ def links(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, percent: int = P
 def grouped(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """Rows (th, doc_id, n, component) of ``docs``: component names a group of linked classes, null without words."""
     rows, sketch = classes(docs, size)
+    let_go(docs.sparkSession)
     found = cut(links(docs, rows, sketch, percent, size))
     out = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left")
     return out.select("th", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
