@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..conf import EngineConf
+from ..operators.motion import gray_change
 
 #: Fixed value: seconds of a live window.
 LENGTH = 3
@@ -50,9 +51,7 @@ def step(before: tuple, now: tuple, threshold: float) -> tuple[float, float, flo
         return d, d, d
     if before[:2] != now[:2]:
         raise ValueError(f"frames differ in shape: {before[:2]}, {now[:2]}")
-    x, y = (np.frombuffer(f[2], np.uint8).astype(np.int16) for f in (before, now))
-    d = np.abs(y - x)
-    return float(d.mean()) / 255, float((d >= 255 * threshold).mean()), abs(float(y.mean()) - float(x.mean())) / 255
+    return gray_change(before[2], now[2], threshold)
 
 
 class _Waiting(StatefulProcessor):
