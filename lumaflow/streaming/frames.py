@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from datetime import timedelta
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,30 +85,6 @@ class _Waiting(StatefulProcessor):
         pass
 
 
-class Windows(_Waiting):
-    """One window of one video a key. The timer at its end summarises its frames and forgets them."""
-
-    def __init__(self, conf: EngineConf):
-        self.conf = conf
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.take(rows):
-            self.handle.registerTimer(1000 * (int(key[1]) + LENGTH))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frames = [f for _, f in self.due(1_000_000 * (int(key[1]) + LENGTH))]
-        c = self.conf
-        steps = [step(a, b, c.changed_pixel_threshold) for a, b in zip(frames, frames[1:])]
-        mean, ratio, light = (np.array([s[i] for s in steps]) for i in range(3))
-        active = int((ratio >= c.active_changed_pixel_ratio).sum())
-        row = {"video_id": key[0], "start": float(key[1] - BASE), "samples": len(frames), "pairs": len(steps), "active_pairs": active, "mean_ratio": None, "peak_ratio": None, "mean_difference": None, "spike": None, "pattern": None, "status": "completed" if steps else "insufficient_data"}
-        if steps:
-            abrupt = bool(((ratio >= c.abrupt_changed_pixel_ratio) & (mean >= c.abrupt_mean_absolute_difference)).any())
-            row |= {"mean_ratio": ratio.mean(), "peak_ratio": ratio.max(), "mean_difference": mean.mean(), "spike": (light >= c.luminance_spike_threshold).mean(), "pattern": "abrupt" if abrupt else "continuous" if active == len(steps) else "intermittent" if active else "stable"}
-        yield pd.DataFrame([row])
-
-
 class Pairs(_Waiting):
     """The last frame of a video stays between batches; each frame that the watermark has passed meets the one before it."""
 
@@ -142,17 +118,50 @@ def _framed(frames: DataFrame) -> DataFrame:
     return frames.select("video_id", "ts", *[(F.col(c) if c in frames.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+def _steps(windows: DataFrame, gray: bool, conf: EngineConf) -> DataFrame:
+    """Adds _d to windows with their frames ``f`` in order: an array of the changes of each against the one before it."""
+    if not gray:
+        before, now = F.slice("f", 1, F.size("f") - 1), F.slice("f", 2, F.size("f") - 1)
+        change = F.transform(F.arrays_zip(before.alias("a"), now.alias("b")), lambda p: F.abs(p["b"]["lum"] - p["a"]["lum"]))
+        return windows.withColumn("_d", F.transform(F.filter(change, lambda d: d.isNotNull()), lambda d: F.struct(d.alias("mean"), d.alias("ratio"), d.alias("light"))))
+
+    @F.arrow_udf("array<struct<mean: double, ratio: double, light: double>>")
+    def of(batch: pa.Array) -> pa.Array:
+        names = ("mean", "ratio", "light")
+        out = []
+        for window in batch:
+            known = [tuple(f[c] for c in ("height", "width", "gray", "lum")) for f in window.as_py()]
+            out.append([dict(zip(names, step(a, b, conf.changed_pixel_threshold))) for a, b in zip(known, known[1:])])
+        return pa.array(out, pa.list_(pa.struct([(c, pa.float64()) for c in names])))
+
+    return windows.withColumn("_d", of("f"))
+
+
 def live_windows(frames: DataFrame, late: str = "10 seconds", conf: EngineConf = EngineConf()) -> DataFrame:
     """Stream of window summaries with their pattern from a stream of frames (video_id, ts, and gray with height and width, or lum).
 
-    Windows of three seconds of ``ts`` (see ``media_time``), each emitted once when the watermark
-    passes its end. A video's windows are keys of their own, so one long video is spread over all tasks.
+    Windows of three seconds of ``ts`` (see ``media_time``), each emitted once when the watermark passes its end: a
+    grouping by video and window, whose frames are gathered, put in order and summed up. A frame counts as long as its
+    window is open. Of frames of one time the last to come counts. A video's windows are keys of their own, so one long
+    video is spread over all tasks.
     """
     stateful(frames.sparkSession)
-    f = _framed(frames).where("ts IS NOT NULL").withWatermark("ts", late).withColumn("start", (F.floor(F.unix_micros("ts") / (1_000_000 * LENGTH)) * LENGTH).cast("long"))
-    kind = dict(f.dtypes)["video_id"]
-    out = f"video_id {kind}, start double, samples long, pairs long, active_pairs long, mean_ratio double, peak_ratio double, mean_difference double, spike double, pattern string, status string"
-    return f.groupBy("video_id", "start").transformWithStateInPandas(Windows(conf), out, "Append", "EventTime")
+    f = _framed(frames).where("ts IS NOT NULL").withWatermark("ts", late)
+    f = f.groupBy("video_id", F.window("ts", f"{LENGTH} seconds").alias("w")).agg(F.collect_list(F.struct("ts", "height", "width", "gray", "lum")).alias("f"))
+    f = f.select("video_id", (F.unix_micros("w.start") / 1_000_000 - BASE).alias("start"), F.array_sort(F.transform("f", lambda x, k: F.struct(x["ts"].alias("ts"), k.alias("k"), x["height"].alias("height"), x["width"].alias("width"), x["gray"].alias("gray"), x["lum"].alias("lum")))).alias("f"))
+    f = f.withColumn("f", F.filter("f", lambda x, k: (k + 1 == F.size("f")) | (x["ts"] != F.get("f", k + 1)["ts"])))
+    s = _steps(f, "gray" in frames.columns, conf)
+    ratio, count = F.transform("_d", lambda d: d["ratio"]), F.size("_d")
+    active = F.size(F.filter(ratio, lambda x: x >= conf.active_changed_pixel_ratio))
+    mean = lambda c: F.when(count > 0, F.aggregate(F.transform("_d", lambda d: d[c]), F.lit(0.0), lambda a, x: a + x) / count)
+    spike = F.when(count > 0, F.size(F.filter("_d", lambda d: d["light"] >= conf.luminance_spike_threshold)) / count)
+    abrupt = F.exists("_d", lambda d: (d["ratio"] >= conf.abrupt_changed_pixel_ratio) & (d["mean"] >= conf.abrupt_mean_absolute_difference))
+    pattern = F.when(count < 1, F.lit(None)).when(abrupt, "abrupt").when(active == count, "continuous").when(active > 0, "intermittent").otherwise("stable")
+    return s.select(
+        "video_id", "start", F.size("f").cast("long").alias("samples"), count.cast("long").alias("pairs"), active.cast("long").alias("active_pairs"),
+        mean("ratio").alias("mean_ratio"), F.array_max(ratio).alias("peak_ratio"), mean("mean").alias("mean_difference"), spike.alias("spike"),
+        pattern.alias("pattern"), F.when(count > 0, "completed").otherwise("insufficient_data").alias("status"),
+    )
 
 
 def live_pairs(frames: DataFrame, late: str = "10 seconds", conf: EngineConf = EngineConf()) -> DataFrame:
