@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 from itertools import combinations
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -54,62 +55,73 @@ def step(before: tuple, now: tuple, threshold: float) -> tuple[float, float, flo
     return gray_change(before[2], now[2], threshold)
 
 
-class _Waiting(StatefulProcessor):
-    """Rows of a key that wait for the watermark, by their time; a later row of the same time takes its place."""
+#: Rows of one entry of a list of waiting rows: a key's rows of a batch go to its state in few calls, not one for each row.
+CHUNK = 256
+_COLUMNS = {"video": str, "at": int, "height": int, "width": int, "gray": bytes, "lum": float}
+#: Keys that share the videos whose frames are numbers.
+SHARES = 1024
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", _FRAME)
 
-    def take(self, rows: Iterator[pd.DataFrame]) -> list[int]:
-        times = []
-        for pdf in rows:
-            for ts, *frame in pdf[["ts", "height", "width", "gray", "lum"]].itertuples(index=False):
-                at = _micros(ts)
-                height, width, gray, lum = (None if not isinstance(x, (bytes, bytearray)) and pd.isna(x) else x for x in frame)
-                self.waiting.updateValue((at,), (None if height is None else int(height), None if width is None else int(width), None if gray is None else bytes(gray), None if lum is None else float(lum)))
-                times.append(at)
-        return times
-
-    def due(self, before: int) -> list[tuple[int, tuple]]:
-        """The rows before a time, in order; the next timer is the first one's of those that stay."""
-        rows = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator())
-        out = [r for r in rows if r[0] < before]
-        for at, _ in out:
-            self.waiting.removeKey((at,))
-        if len(out) < len(rows):
-            self.handle.registerTimer(rows[len(out)][0] // 1000 + 1)
-        return out
+def _held(state) -> list[tuple]:
+    """The rows of a list state whose entries are chunks of columns, in the order they came."""
+    return [row for chunk in state.get() for row in zip(*chunk)]
 
-    def close(self) -> None:
-        pass
+
+def _hold(state, rows: list[tuple], anew: bool = False) -> None:
+    """Appends rows to such a list, or has it hold them alone."""
+    chunks = [tuple(map(list, zip(*rows[k : k + CHUNK]))) for k in range(0, len(rows), CHUNK)]
+    if anew:
+        state.clear()
+    for chunk in chunks:
+        state.appendValue(chunk)
 
 
-class Pairs(_Waiting):
-    """The last frame of a video stays between batches; each frame that the watermark has passed meets the one before it."""
+class Pairs(StatefulProcessor):
+    """Frames of some videos wait for the watermark; the last one of each video stays. Each frame that the watermark has
+    passed meets the one before it. Of a video's frames of one time the last to come counts."""
 
     def __init__(self, conf: EngineConf):
         self.conf = conf
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", _FRAME)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "video array<string>, at array<long>, height array<int>, width array<int>, gray array<binary>, lum array<double>")
+        self.last = handle.getMapState("last", "video string", _FRAME)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if times := self.take(rows):
-            self.handle.registerTimer(min(times) // 1000 + 1)
+        first = None
+        for pdf in rows:
+            columns = [[None if x is None or x != x else k(x) for x in pdf[c].tolist()] for c, k in _COLUMNS.items()]
+            _hold(self.waiting, list(zip(*columns)))
+            first = min(columns[1] if first is None else [first, *columns[1]], default=first)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, out = self.last.get() if self.last.exists() else None, []
-        for at, frame in self.due(1000 * timerValues.getCurrentWatermarkInMs()):
-            if last is not None:
-                out.append((key[0], _time(at), *step(tuple(last), frame, self.conf.changed_pixel_threshold)))
-            last = frame
-        if last is not None:
-            self.last.update(last)
+        now, due, stay, out = 1000 * timerValues.getCurrentWatermarkInMs(), {}, [], []
+        for (video, at), frame in {(video, at): frame for video, at, *frame in _held(self.waiting)}.items():
+            if at < now:
+                due.setdefault(video, []).append((at, frame))
+            else:
+                stay.append((video, at, *frame))
+        if not due:
+            return
+        _hold(self.waiting, stay, anew=True)
+        if stay:
+            self.handle.registerTimer(min(r[1] for r in stay) // 1000 + 1)
+        for video, frames in due.items():
+            last = self.last.getValue((video,))
+            for at, frame in sorted(frames, key=itemgetter(0)):
+                if last is not None:
+                    out.append((video, at, *step(tuple(last), tuple(frame), self.conf.changed_pixel_threshold)))
+                last = frame
+            self.last.updateValue((video,), tuple(last))
         if out:
-            yield pd.DataFrame(out, columns=["video_id", "ts", "mean_diff", "changed_ratio", "lum_diff"])
+            yield pd.DataFrame(out, columns=["video", "at", "mean_diff", "changed_ratio", "lum_diff"])
+
+    def close(self) -> None:
+        pass
 
 
 def _framed(frames: DataFrame) -> DataFrame:
@@ -165,11 +177,16 @@ def live_windows(frames: DataFrame, late: str = "10 seconds", conf: EngineConf =
 
 
 def live_pairs(frames: DataFrame, late: str = "10 seconds", conf: EngineConf = EngineConf()) -> DataFrame:
-    """Stream of (video_id, ts, mean_diff, changed_ratio, lum_diff) of each frame against the one before it, in order and across batches."""
+    """Stream of (video_id, ts, mean_diff, changed_ratio, lum_diff) of each frame against the one before it, in order and across batches.
+
+    Videos whose frames are pictures are keys of their own; those whose frames are numbers share SHARES keys by their hash,
+    as a key of its own would cost more than its rows."""
     stateful(frames.sparkSession)
     f = _framed(frames).where("ts IS NOT NULL").withWatermark("ts", late)
-    out = f"video_id {dict(f.dtypes)['video_id']}, ts timestamp, mean_diff double, changed_ratio double, lum_diff double"
-    return f.groupBy("video_id").transformWithStateInPandas(Pairs(conf), out, "Append", "EventTime")
+    kind, video = dict(f.dtypes)["video_id"], F.col("video_id").cast("string")
+    f = f.select(video.alias("video"), "ts", F.unix_micros("ts").alias("at"), "height", "width", "gray", "lum", (video if "gray" in frames.columns else F.pmod(F.xxhash64("video_id"), F.lit(SHARES))).alias("share"))
+    p = f.groupBy("share").transformWithStateInPandas(Pairs(conf), "video string, at long, mean_diff double, changed_ratio double, lum_diff double", "Append", "EventTime")
+    return p.select(F.col("video").cast(kind).alias("video_id"), F.timestamp_micros("at").alias("ts"), "mean_diff", "changed_ratio", "lum_diff")
 
 
 #: Pairs of a hash's bytes: two hashes that differ in at most BITS bits agree in two bytes at least.
