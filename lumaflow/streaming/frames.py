@@ -7,7 +7,6 @@ results don't depend on how the rows were dealt to batches. Rows behind the wate
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 from itertools import combinations
 from operator import itemgetter
 
@@ -23,7 +22,6 @@ from ..operators.motion import gray_change
 #: Fixed value: seconds of a live window.
 LENGTH = 3
 _FRAME = "height int, width int, gray binary, lum double"
-_EPOCH = pd.Timestamp(0)
 #: Second at which media time 0 stands: the watermark begins at the epoch, and rows that aren't after it are late.
 BASE = 86_400
 
@@ -32,14 +30,6 @@ def stateful(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return (ts - _EPOCH) // timedelta(microseconds=1)
-
-
-def _time(micros: int) -> pd.Timestamp:
-    return _EPOCH + timedelta(microseconds=micros)
-
-
 def media_time(seconds: Column) -> Column:
     """The timestamp of a second of media time; ``live_windows`` gives its starts in media time again."""
     return F.timestamp_seconds(seconds + BASE)
@@ -202,48 +192,62 @@ def _agreeing(a: int, b: int) -> int:
 
 
 class Stock(StatefulProcessor):
-    """Hashes that share two given bytes: of each the last upload, for so many days after it."""
+    """Hashes that share a byte at one place: of each the last upload, for so many days after it. They are compared where
+    they share a second byte further on."""
 
     def __init__(self, days: int, bits: int):
         self.span, self.bits = days * 86_400_000_000, bits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id string", "hash long")
-        self.stock = handle.getMapState("stock", "hash long", "at long, id string")
+        chunk = "at array<long>, id array<string>, hash array<long>"
+        self.waiting, self.stock = handle.getListState("waiting", chunk), handle.getListState("stock", chunk)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = []
+        first = None
         for pdf in rows:
-            for ts, upload, h in pdf[["ts", "upload_id", "hash"]].itertuples(index=False):
-                times.append(at := _micros(ts))
-                self.waiting.updateValue((at, upload), (int(h),))
-        if times:
-            self.handle.registerTimer(min(times) // 1000 + 1)
+            columns = [pdf[c].tolist() for c in ("at", "upload_id", "hash")]
+            _hold(self.waiting, list(zip(*columns)))
+            first = min(columns[0] if first is None else [first, *columns[0]], default=first)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = 1000 * timerValues.getCurrentWatermarkInMs()
-        rows = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
+        now, place, out = 1000 * timerValues.getCurrentWatermarkInMs(), int(key[0]), []
+        rows = sorted((at, upload, h) for (at, upload), h in {(at, upload): h for at, upload, h in _held(self.waiting)}.items())
         due = [r for r in rows if r[0] < now]
+        if due:
+            _hold(self.waiting, rows[len(due) :], anew=True)
         if len(due) < len(rows):
             self.handle.registerTimer(rows[len(due)][0] // 1000 + 1)
-        known = {k[0]: tuple(v) for k, v in self.stock.iterator()}
-        out = []
+        # all hashes, and those that share a second byte, each in the order of their last uploads
+        known, sharing = {}, {}
+
+        def put(h: int, entry: tuple[int, str]) -> None:
+            for shelf in (known, *(sharing.setdefault((j, h >> 8 * j & 255), {}) for j in range(place + 1, 8))):
+                shelf.pop(h, None)
+                shelf[h] = entry
+
+        for at, upload, h in _held(self.stock):
+            put(h, (at, upload))
         for at, upload, h in due:
-            self.waiting.removeKey((at, upload))
-            for other, (then, earlier) in known.items():
-                apart = ((h ^ other) & (1 << 64) - 1).bit_count()
-                if apart <= self.bits and at - then <= self.span and _agreeing(h, other) == key[0]:
-                    out.append((upload, _time(at), earlier, _time(then), apart))
-            known[h] = at, upload
-            self.stock.updateValue((h,), (at, upload))
-            self.handle.registerTimer((at + self.span) // 1000 + 1)
-        for h, (then, _) in known.items():
-            if then + self.span < now:
-                self.stock.removeKey((h,))
+            for j in range(place + 1, 8):
+                shelf = sharing.get((j, h >> 8 * j & 255), {})
+                while shelf and at - shelf[first := next(iter(shelf))][0] > self.span:
+                    del shelf[first]
+                for other, (then, earlier) in shelf.items():
+                    apart = ((h ^ other) & (1 << 64) - 1).bit_count()
+                    if apart <= self.bits and BYTES[_agreeing(h, other)] == (place, j):
+                        out.append((upload, at, earlier, then, apart))
+            put(h, (at, upload))
+        stay = [(at, upload, h) for h, (at, upload) in known.items() if at + self.span >= now]
+        if due or len(stay) < len(known):
+            _hold(self.stock, stay, anew=True)
+        if stay:
+            self.handle.registerTimer((stay[0][0] + self.span) // 1000 + 1)
         if out:
-            yield pd.DataFrame(out, columns=["upload_id", "ts", "earlier_id", "earlier_ts", "bits"])
+            yield pd.DataFrame(out, columns=["upload_id", "at", "earlier_id", "earlier_at", "bits"])
 
     def close(self) -> None:
         pass
@@ -254,7 +258,8 @@ def near_repeats(uploads: DataFrame, days: int = DAYS, bits: int = BITS, late: s
 
     An upload is linked with the last earlier upload of each hash that differs from its own in at most ``bits`` of 64,
     if that was ``days`` ago or less; ties in time go by id. Hashes are found by each two of their eight bytes, of which
-    near ones share two: 28 keys an upload, one in 65,536 hashes a key; a pair is told by the first key it shares. Copies
+    near ones share two: a key is the first of two places and its byte, seven keys an upload, and hashes of a key are
+    compared where they share a second byte, one in 65,536; a pair is told by the first two places that it shares. Copies
     of one hash are one entry of the stock, so a group of copies gives a link for each member, not for each pair. An
     entry goes when the watermark is ``days`` past its last upload. Rows without a time, id or hash are left out.
     """
@@ -262,10 +267,10 @@ def near_repeats(uploads: DataFrame, days: int = DAYS, bits: int = BITS, late: s
         raise ValueError(f"at most {BITS} bits can be found by two bytes")
     stateful(uploads.sparkSession)
     u = uploads.select(F.col("upload_id").cast("string").alias("upload_id"), "ts", F.col("hash").cast("long").alias("hash")).dropna().withWatermark("ts", late)
-    byte = lambda i: F.shiftrightunsigned("hash", 8 * i).bitwiseAND(255)
-    keys = F.array(*[F.struct(F.lit(n).alias("which"), (256 * byte(i) + byte(j)).cast("int").alias("value")) for n, (i, j) in enumerate(BYTES)])
-    u = u.withColumn("k", F.explode(keys)).select("upload_id", "ts", "hash", "k.which", "k.value")
-    return u.groupBy("which", "value").transformWithStateInPandas(Stock(days, bits), "upload_id string, ts timestamp, earlier_id string, earlier_ts timestamp, bits int", "Append", "EventTime")
+    keys = F.array(*[F.struct(F.lit(i).alias("place"), F.shiftrightunsigned("hash", 8 * i).bitwiseAND(255).cast("int").alias("value")) for i in range(7)])
+    u = u.withColumn("k", F.explode(keys)).select("upload_id", "ts", F.unix_micros("ts").alias("at"), "hash", "k.place", "k.value")
+    out = u.groupBy("place", "value").transformWithStateInPandas(Stock(days, bits), "upload_id string, at long, earlier_id string, earlier_at long, bits int", "Append", "EventTime")
+    return out.select("upload_id", F.timestamp_micros("at").alias("ts"), "earlier_id", F.timestamp_micros("earlier_at").alias("earlier_ts"), "bits")
 
 
 def replayed(rows: DataFrame, stream, folder: str, far: str = "2100-01-01") -> DataFrame:
