@@ -70,7 +70,7 @@ def analyze_motion(frames: DataFrame, windows: DataFrame, conf: EngineConf = Eng
 def embed_frames(images: DataFrame, conf: EngineConf = EngineConf()) -> DataFrame:
     """(item_id, v) of images (item_id, name and perhaps content) by the provider that the settings name."""
     content = F.col("content") if "content" in images.columns else None
-    return images.select("item_id", providers.image_vectors(F.col("name"), content, conf.embedding_provider).alias("v"))
+    return providers.with_images(images, F.col("name"), content, conf.embedding_provider).select("item_id", "v")
 
 
 def embed_catalog(spark: SparkSession, request: dict | None = None, conf: EngineConf = EngineConf()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Embedding providers: named in a setting, loaded once a worker, fed whole batches."""
+"""Embedding providers: named in a setting, loaded once a worker, fed whole batches. Vectors of a file meet tables by a join."""
 
 from __future__ import annotations
 
@@ -42,7 +42,10 @@ class Fake:
 
 
 class FromFile:
-    """Vectors that were made elsewhere: Parquet files (key STRING, vector ARRAY of numbers) below a folder. Keys are texts, and images' names without folders."""
+    """Vectors that were made elsewhere: Parquet files (key STRING, vector ARRAY of numbers) below a folder. Keys are texts, and images' names without folders.
+
+    A column function has each worker hold the files, as Arrow arrays; ``with_texts`` and ``with_images`` join them instead.
+    """
 
     def __init__(self, folder: str):
         import pyarrow.parquet as pq
@@ -54,15 +57,17 @@ class FromFile:
         found = [f for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.base_name.endswith(".parquet")]
         if sum(f.size for f in found) > MOST:
             raise ValueError(f"{folder} holds more than a worker may: join such vectors by key instead")
-        self.known: dict[str, list[float]] = {}
-        for f in found:
+        self.vectors, self.known = [], {}
+        for n, f in enumerate(found):
             t = pq.read_table(store.open_input_file(f.path), columns=["key", "vector"])
-            self.known.update(zip(t["key"].to_pylist(), t["vector"].to_pylist()))
+            self.vectors.append(t["vector"])
+            self.known.update((key, (n, k)) for k, key in enumerate(t["key"].to_pylist()))
 
     def _of(self, key: str) -> list[float]:
         if key not in self.known:
             raise KeyError(f"no vector for {key!r}")
-        return self.known[key]
+        n, k = self.known[key]
+        return self.vectors[n][k].as_py()
 
     def texts(self, texts):
         return [self._of(t) for t in texts]
@@ -122,6 +127,25 @@ def _placed(valid: list[bool], made) -> pa.Array:
     return pa.array([None if x is None else [float(y) for y in x] for x in out], pa.list_(pa.float64()))
 
 
+def _joined(df: DataFrame, key: Column, spec: str) -> DataFrame:
+    """``df`` with ``v``, the vector that the files of a ``file:`` provider have for the key; null for null, an error for a key without one. Of several of a key the greatest counts."""
+    read = df.sparkSession.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(spec.partition(":")[2])
+    known = read.select(F.col("key").alias("_key"), F.transform("vector", lambda x: x.cast("double")).alias("v")).groupBy("_key").agg(F.max("v").alias("v"))
+    missing = F.raise_error(F.concat(F.lit("no vector for '"), F.col("_of"), F.lit("'"))).cast("array<double>")
+    met = df.withColumn("_of", key).join(known, F.col("_of") == F.col("_key"), "left")
+    return met.withColumn("v", F.when(F.col("_of").isNotNull(), F.coalesce("v", missing))).drop("_of", "_key")
+
+
+def with_texts(df: DataFrame, text: Column, spec: str) -> DataFrame:
+    """``df`` with ``v``, the vector of a text, at any number of vectors."""
+    return _joined(df, text, spec) if spec.startswith("file:") else df.withColumn("v", text_vectors(text, spec))
+
+
+def with_images(df: DataFrame, name: Column, content: Column | None, spec: str) -> DataFrame:
+    """``df`` with ``v``, the vector of an image, at any number of vectors."""
+    return _joined(df, F.regexp_extract(name, "([^/]*)/*$", 1), spec) if spec.startswith("file:") else df.withColumn("v", image_vectors(name, content, spec))
+
+
 def catalog_vectors(df: DataFrame, spec: str) -> DataFrame:
     """(question, value, v) of a catalog (question, value, prompt)."""
-    return df.select("question", "value", text_vectors(F.col("prompt"), spec).alias("v"))
+    return with_texts(df, F.col("prompt"), spec).select("question", "value", "v")

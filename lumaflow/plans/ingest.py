@@ -201,7 +201,7 @@ def provided_answers(spark, d):
     held.write.parquet(folder := files.work_folder(spark, "vectors"))
     spec = f"file:{folder}"
     catalog = providers.catalog_vectors(texts.select(F.lit("label").alias("question"), F.col("label").cast("string").alias("value"), F.col("key").alias("prompt")), spec)
-    frames = e.select(F.col("vec_id").alias("item_id"), providers.image_vectors(F.col("name"), None, spec).alias("v"))
+    frames = providers.with_images(e.select(F.col("vec_id").alias("item_id"), "name"), F.col("name"), None, spec).select("item_id", "v")
     return closed_set.answers(frames, catalog).select("item_id", "answer", "status", "margin", "confidence", "top_score")
 
 
