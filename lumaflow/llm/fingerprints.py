@@ -17,8 +17,8 @@ from .shingles import SIZE, Shingler, set_id, sets_of, verified
 
 #: Permutations, rows of a band, and the likeness from which documents are near duplicates.
 PERMUTATIONS, ROWS, PERCENT, SEED = 64, 4, 75, 20240
-#: Shingles hashed at a time: bounds the memory of a very long text.
-BLOCK = 8192
+#: Shingles hashed at a time, by all permutations at once: so few that their values stay in a core's cache.
+BLOCK = 256
 
 
 class MinHasher:
@@ -36,9 +36,9 @@ class MinHasher:
     def of(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(shingles), BLOCK):
-            part = shingles[i : i + BLOCK]
-            for j in range(len(self.a)):
-                least[j] = min(least[j], (part * self.a[j] + self.b[j]).min())
+            h = shingles[i : i + BLOCK, None] * self.a
+            h += self.b
+            np.minimum(least, h.min(axis=0), out=least)
         return (least >> np.uint64(32)).astype(np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
