@@ -62,6 +62,21 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.withColumn("lid", F.when(F.btrim("line", F.lit(" \t\x0b\f\r")) != "", F.xxhash64("line")))
 
 
+def signatures(points: DataFrame) -> DataFrame:
+    """(lid, n, m0, m1, ...) of rows (lid, points): the number of shingles and each order's least hash, over all rows of a lid.
+
+    A row holds the shingles of two neighbouring places, whose lesser value goes on, so that two cost one update of the
+    sums; a last one that is alone stands twice in its row.
+    """
+    last = F.octet_length("points") - (WIDTH - 1)
+    hashed = lambda at: F.xxhash64(F.substring(F.col("points"), at, F.lit(WIDTH)))
+    two = points.select("lid", "points", F.explode(F.sequence(F.lit(1), last, F.lit(2 * WIDE))).alias("at"))
+    two = two.select("lid", F.when(F.col("at") < last, 2).otherwise(1).alias("k"), hashed(F.col("at")).alias("g"), hashed(F.least(F.col("at") + WIDE, last)).alias("h"))
+    two = two.select("lid", "k", *[F.col(c).bitwiseXOR(F.lit(x)).alias(f"{c}{i}") for i, x in enumerate(ORDERS) for c in "gh"])
+    least = [F.when(F.col(f"g{i}") < F.col(f"h{i}"), F.col(f"g{i}")).otherwise(F.col(f"h{i}")).alias(f"m{i}") for i in range(VALUES)]
+    return two.select("lid", "k", *least).groupBy("lid").agg(F.sum("k").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(VALUES)])
+
+
 def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(lid, component): near-duplicate lines, tied by verified pairs.
 
@@ -71,10 +86,8 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     and are alike by their exact Jaccard likeness get connected.
     """
     points = lines(docs).where("lid IS NOT NULL").select("lid", code_points(F.col("line")).alias("points")).where(F.octet_length("points") >= WIDTH)
-    h = points.select("lid", "points", F.explode(_starts(F.col("points"))).alias("at")).select("lid", F.xxhash64(F.substring(F.col("points"), F.col("at"), F.lit(WIDTH))).alias("h"))
-    s = h.groupBy("lid").agg(F.count("*").alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(ORDERS)])
+    s = signatures(points)
     bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in x]) for i, x in enumerate(TRIPLES)])
-    of_band = Window.partitionBy("band")
     of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
     posts = s.select(F.col("lid").alias("node"), "n", F.explode(bands).alias("band"))
     ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band))
@@ -94,8 +107,12 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have 100 * intersection >= percent * union; ``texts`` has (lid, line)."""
     p = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
-    p = p.select("a", "b", F.array_distinct(shingles(F.col("la"))).alias("s"), F.array_distinct(shingles(F.col("lb"))).alias("t"))
-    return p.withColumn("shared", F.size(F.array_intersect("s", "t"))).where(100 * F.col("shared") >= percent * (F.size("s") + F.size("t") - F.col("shared"))).select("a", "b")
+    # generators keep the arrays and the overlap from being computed again in the condition
+    p = p.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("la")).alias("s"), shingles(F.col("lb")).alias("t")))))
+    p = p.select("a", "b", "s", "t", F.explode(F.array(F.size(F.array_intersect("s", "t")))).alias("shared"))
+    # repeated shingles only make arrays longer: what is enough for these lengths is enough for the sets
+    enough = (100 + percent) * F.col("shared") >= percent * (F.size("s") + F.size("t"))
+    return p.where(enough | (100 * F.col("shared") >= percent * F.size(F.array_union("s", "t")))).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

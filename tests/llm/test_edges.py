@@ -261,3 +261,18 @@ def test_marks_are_whole_names_and_tokens():
     page = '<body class="no-sidebar has-banner search"><article class="share"><h2 id="related-work">Related work</h2><h2 id="search">Search</h2><p title="the hidden truth">One <a href="/hidden-valley">valley</a></p><p data-class="ad" data-hidden="x">two</p>{}</article></body>'
     gone = '<p hidden>a</p><p class="big ad">b</p><div id=comments>c</div><p HIDDEN="">d</p><p aria-hidden="true">e</p><p style="display: none">f</p><div role="search">g</div>'
     assert html_extract.main_text(page.format(gone)) == "Related work Search One valley two"
+
+
+def test_line_signatures_and_likeness_by_plain_sets(spark):
+    """Odd and even numbers of shingles, one alone, and lines that repeat theirs; a pair's shingles are hashed once for each line."""
+    lines = ["x" * 8, "abcdefghi", "abcdefghij", "ab" * 30, "ab" * 30 + "c", "ab" * 300, "abcdefgh" * 9, "abcdefgh" * 9 + "0", "abcdefgh" * 9 + "012", "abcdefgh" * 9 + "0123", "漢字かな交じり文の行です" * 2]
+    t = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    hashes = {r["lid"]: r["h"] for r in t.select("lid", line_dedup.shingles(F.col("line")).alias("h")).collect()}
+    got = line_dedup.signatures(t.select("lid", line_dedup.code_points(F.col("line")).alias("points"))).collect()
+    assert {r["lid"]: [r["n"], *[r[f"m{i}"] for i in range(line_dedup.VALUES)]] for r in got} == {k: [len(h), *[min(x ^ y for x in h) for y in line_dedup.ORDERS]] for k, h in hashes.items()}
+    pairs = [(a, b) for b in hashes for a in range(b)]
+    linked = line_dedup.verified(spark.createDataFrame(pairs, "a long, b long"), t, 75)
+    alike = lambda s, t: 100 * len(s & t) >= 75 * len(s | t)
+    want = {(a, b) for a, b in pairs if alike({*hashes[a]}, {*hashes[b]})}
+    assert {(r["a"], r["b"]) for r in linked.collect()} == want and 3 < len(want) < len(pairs)
+    assert linked._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
