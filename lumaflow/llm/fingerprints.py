@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, components, cut, documents, linked_in_bands, partitions, small_batches, texts_of
+from .common import WORDS, components, cut, documents, linked_in_bands, partitions, ranked_in_bands, small_batches, texts_of
 from .shingles import SIZE, Shingler, set_id, sets_of, verified
 
 #: Permutations, rows of a band, and the likeness from which documents are near duplicates.
@@ -166,10 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
 
     d = cut(docs.select(F.xxhash64("text").alias("th"), "doc_id", "text").mapInArrow(run, f"th long, doc_id {kind}, cls long, bands array<long>"))
     named = d.where(F.size("bands") > 0).groupBy("cls").agg(F.min("th").alias("th"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("bands").alias("bands"))
-    of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
-    posts = named.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("band"))
-    ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band))
-    ranked = cut(ranked.where("rank > 1 OR next IS NOT NULL").select("band", "node", "rank"))
+    ranked = ranked_in_bands(named.select(F.col("cls").alias("node"), "n", F.explode("bands").alias("band")))
     sets = lambda nodes: sets_of(docs, named.join(nodes.withColumnRenamed("node", "cls").hint("merge"), "cls").select("cls", "th"))
     marks = lambda nodes: sets(nodes).mapInArrow(marked, "node long, size long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
     check = lambda pairs: verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import itertools
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, linked_in_bands, parity, sieved
+from .common import components, cut, documents, linked_in_bands, parity, ranked_in_bands, sieved
 
 #: Characters of a shingle; shorter lines are only compared as wholes.
 SHINGLE, PERCENT = 8, 75
@@ -88,10 +88,7 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     points = lines(docs).where("lid IS NOT NULL").select("lid", code_points(F.col("line")).alias("points")).where(F.octet_length("points") >= WIDTH)
     s = signatures(points)
     bands = F.array(*[F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in x]) for i, x in enumerate(TRIPLES)])
-    of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
-    posts = s.select(F.col("lid").alias("node"), "n", F.explode(bands).alias("band"))
-    ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band))
-    shared = cut(ranked.where("rank > 1 OR next IS NOT NULL").select("band", "node", "rank"))
+    shared = ranked_in_bands(s.select(F.col("lid").alias("node"), "n", F.explode(bands).alias("band")))
     wanted = cut(shared.select(F.col("node").alias("lid")).distinct())
     full = sieved(lines(docs).where("lid IS NOT NULL").select("lid", "line"), F.col("lid"), wanted)
     texts = cut(full.groupBy("lid").agg(F.first("line").alias("line")).join(wanted.hint("merge"), "lid", "left_semi"))
@@ -105,14 +102,14 @@ def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets have 100 * intersection >= percent * union; ``texts`` has (lid, line)."""
+    """The rows (a, b, ...) of pairs of lines whose shingle sets have 100 * intersection >= percent * union; ``texts`` has (lid, line)."""
     p = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     # generators keep the arrays and the overlap from being computed again in the condition
-    p = p.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("la")).alias("s"), shingles(F.col("lb")).alias("t")))))
-    p = p.select("a", "b", "s", "t", F.explode(F.array(F.size(F.array_intersect("s", "t")))).alias("shared"))
+    p = p.select(*pairs.columns, F.inline(F.array(F.struct(shingles(F.col("la")).alias("s"), shingles(F.col("lb")).alias("t")))))
+    p = p.select(*pairs.columns, "s", "t", F.explode(F.array(F.size(F.array_intersect("s", "t")))).alias("shared"))
     # repeated shingles only make arrays longer: what is enough for these lengths is enough for the sets
     enough = (100 + percent) * F.col("shared") >= percent * (F.size("s") + F.size("t"))
-    return p.where(enough | (100 * F.col("shared") >= percent * F.size(F.array_union("s", "t")))).select("a", "b")
+    return p.where(enough | (100 * F.col("shared") >= percent * F.size(F.array_union("s", "t")))).select(*pairs.columns)
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

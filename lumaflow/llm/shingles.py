@@ -80,23 +80,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
-    sets = cut(sets)
-    p = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b")
+    """The rows (a, b, ...) of pairs of classes whose sets have 100 * intersection >= percent * union."""
+    sets, names = cut(sets), pairs.columns
+    p = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("s")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("t")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for s, t in zip(b.column(2), b.column(3)):
+            for s, t in zip(b.column(0), b.column(1)):
                 s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 both = np.concatenate((s, t))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared) and shared > 0)
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(2, b.num_columns)], names=names)
 
-    return p.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return p.select("s", "t", *names).mapInArrow(run, pairs.schema)
 
 
 def against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
