@@ -36,6 +36,8 @@ TRIPLES = _triples(VALUES, BANDS)
 #: Bytes of a code point, and of a shingle.
 WIDE = 4
 WIDTH = WIDE * SHINGLE
+#: Neighbouring shingles of a row while signatures are made.
+TOGETHER = 4
 
 
 def code_points(line: Column) -> Column:
@@ -65,16 +67,16 @@ def lines(docs: DataFrame) -> DataFrame:
 def signatures(points: DataFrame) -> DataFrame:
     """(lid, n, m0, m1, ...) of rows (lid, points): the number of shingles and each order's least hash, over all rows of a lid.
 
-    A row holds the shingles of two neighbouring places, whose lesser value goes on, so that two cost one update of the
-    sums; a last one that is alone stands twice in its row.
+    A row holds the shingles of TOGETHER neighbouring places, whose least values go on, so that they cost one update of
+    the sums; where a line ends within a row, its last one stands there several times.
     """
-    last = F.octet_length("points") - (WIDTH - 1)
-    hashed = lambda at: F.xxhash64(F.substring(F.col("points"), at, F.lit(WIDTH)))
-    two = points.select("lid", "points", F.explode(F.sequence(F.lit(1), last, F.lit(2 * WIDE))).alias("at"))
-    two = two.select("lid", F.when(F.col("at") < last, 2).otherwise(1).alias("k"), hashed(F.col("at")).alias("g"), hashed(F.least(F.col("at") + WIDE, last)).alias("h"))
-    two = two.select("lid", "k", *[F.col(c).bitwiseXOR(F.lit(x)).alias(f"{c}{i}") for i, x in enumerate(ORDERS) for c in "gh"])
-    least = [F.when(F.col(f"g{i}") < F.col(f"h{i}"), F.col(f"g{i}")).otherwise(F.col(f"h{i}")).alias(f"m{i}") for i in range(VALUES)]
-    return two.select("lid", "k", *least).groupBy("lid").agg(F.sum("k").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(VALUES)])
+    last, at = F.octet_length("points") - (WIDTH - 1), F.col("at")
+    t = points.select("lid", "points", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(TOGETHER * WIDE))).alias("at"))
+    places = [at, *[F.least(at + i * WIDE, "last") for i in range(1, TOGETHER)]]
+    own = F.least(F.lit(TOGETHER), F.shiftright(F.col("last") - at, WIDE.bit_length() - 1) + 1)
+    t = t.select("lid", own.alias("k"), *[F.xxhash64(F.substring("points", x, F.lit(WIDTH))).alias(f"h{i}") for i, x in enumerate(places)])
+    t = t.select("lid", "k", *[F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(x)) for j in range(TOGETHER)]).alias(f"m{i}") for i, x in enumerate(ORDERS)])
+    return t.groupBy("lid").agg(F.sum("k").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(VALUES)])
 
 
 def alike(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
