@@ -150,9 +150,10 @@ def plausible(l: str, r: str, percent: int) -> str:
 def ranked_in_bands(posts: DataFrame) -> DataFrame:
     """(band, node, rank, hub), written, of rows (band, node, n): the members of bands that have several, each band's numbered
     from 1 by the largest n, then the least node; hub is the first."""
+    # most bands have one member: those go before the others are put in order, as a sort by the band alone costs less
+    several = posts.withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1")
     of_band = Window.partitionBy("band").orderBy(F.desc("n"), "node")
-    ranked = posts.withColumn("rank", F.row_number().over(of_band)).withColumn("next", F.lead("node").over(of_band)).where("rank > 1 OR next IS NOT NULL")
-    return cut(ranked.select("band", "node", "rank", F.first("node").over(of_band).alias("hub")))
+    return cut(several.select("band", "node", F.row_number().over(of_band).alias("rank"), F.first("node").over(of_band).alias("hub")))
 
 
 def linked_in_bands(ranked: DataFrame, marks: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

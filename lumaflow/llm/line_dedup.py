@@ -61,7 +61,8 @@ def shingles(line: Column) -> Column:
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), place, line, lid (64-bit hash of the line; null if it has no word)."""
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-    return d.withColumn("lid", F.when(F.btrim("line", F.lit(" \t\x0b\f\r")) != "", F.xxhash64("line")))
+    # trimmed from the left only: to look for the end of a line from the right, btrim goes through every character
+    return d.withColumn("lid", F.when(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "", F.xxhash64("line")))
 
 
 def signatures(points: DataFrame) -> DataFrame:
